@@ -101,11 +101,6 @@ def variant_str_array(value: Column) -> Column:
     )
 
 
-def variant_json(value: Column) -> Column:
-    """Nested values as JSON text; scalar values as plain text; JSON null as NULL."""
-    return _whole(value, "string")
-
-
 def prefixed_json(record: Column, prefixes: list[str]) -> Column:
     """The entries whose key starts with one of ``prefixes``, as JSON; NULL when there are none."""
     entries = F.map_filter(

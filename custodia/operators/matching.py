@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import wire
 from ..functions import values as v
 from ..functions.naming import basename
-from .skew import HOT_ROWS, lookup_by_weight
+from ..sources.tables import metadata_schema
 
 KINDS = {"int": v.variant_int, "str": v.variant_str, "list": v.variant_str_array, "bool": v.variant_bool}
 
@@ -24,28 +24,30 @@ def docs_for_datasources(docs: DataFrame, datasource_ids: list[str]) -> DataFram
 
 def file_key(record: Column, hit_id: Column) -> Column:
     """The name a hit gives its file: the first of several keys that is not empty."""
-    return v.first_truthy(*[v.variant_text(v.field(record, key)) for key in wire.FILE_KEYS], hit_id)
+    return v.first_truthy(*[v.field(record, key, "string") for key in wire.FILE_KEYS], hit_id)
 
 
-def match_hits(hits: DataFrame, files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def match_hits(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Hits joined to the files of their batch: by exact relative path, else by base name.
 
     ``hits`` has ``batch, hit_id, file_key``; ``files`` has ``batch, relative_path`` and more. With
     several files of one base name the first by path is taken; hits of unknown files are dropped.
+
+    The second join has a key of its own, so its shuffle is not the aggregate's and AQE can split a
+    base name that most hits share; hits that found their path go through it under their own id.
     """
     named = files.select("batch", F.struct(*[c for c in files.columns if c != "batch"]).alias("file"))
     exact = named.withColumn("file_key", F.col("file.relative_path"))
-    tried = hits.join(exact, ["batch", "file_key"], "left").withColumn("base", basename(F.col("file_key")))
-
-    first = named.groupBy("batch", basename(F.col("file.relative_path")).alias("base")).agg(
-        F.min_by("file", F.col("file.relative_path")).alias("first_file")
-    )
-    asked = hits.groupBy("batch", basename(F.col("file_key")).alias("base")).agg(F.count("*").alias("n_hits"))
-    weighted = first.join(asked, ["batch", "base"]).filter("base <> ''")
-    by_name = lookup_by_weight(
-        tried, weighted, ["batch", "base"], "first_file", "n_hits", "hit_id", F.col("file").isNull(), hot_rows
-    )
-    matched = by_name.withColumn("file", F.coalesce("file", "first_file")).drop("first_file", "base")
+    tried = hits.join(exact, ["batch", "file_key"], "left")
+
+    base = basename(F.col("file.relative_path"))
+    first = named.groupBy("batch", base.alias("base")).agg(F.min_by("file", F.col("file.relative_path")).alias("first"))
+    named_key = F.concat(F.col("batch"), F.lit("\x01"), F.nullif("base", F.lit("")))
+    by_name = first.select(named_key.alias("name_key"), "first").filter("name_key IS NOT NULL")
+    wanted = F.concat(F.col("batch"), F.lit("\x01"), basename(F.col("file_key")))
+    asked = F.when(F.col("file").isNull(), wanted).otherwise(F.concat(F.lit("\x01"), F.col("hit_id")))
+    joined = tried.withColumn("name_key", asked).join(by_name, "name_key", "left")
+    matched = joined.withColumn("file", F.coalesce("file", "first")).drop("first", "name_key")
     return matched.filter("file IS NOT NULL").select("*", "file.*").drop("file")
 
 
@@ -84,7 +86,11 @@ def flatten_hits(
     open record as a VARIANT.
     """
     source = F.coalesce(F.col(record), F.parse_json(F.lit("{}")))
-    typed = {name: KINDS[kind](v.field(source, key)) for name, key, kind in wire.HIT_FIELDS}
+    # The keys are read in a projection of their own, as typing looks at each value several times.
+    raw = {f"raw_{name}": v.field(source, key) for name, key, _ in wire.HIT_FIELDS}
+    objects = {f"raw_object_{i}": v.field(source, key, "string") for i, key in enumerate(wire.OBJECT_KEYS)}
+    read = matched.withColumns({**raw, **objects})
+    typed = {name: KINDS[kind](F.col(f"raw_{name}")) for name, _, kind in wire.HIT_FIELDS}
     columns = {
         "file_path": F.col("absolute_path"),
         "relative_path": F.col("relative_path"),
@@ -95,11 +101,9 @@ def flatten_hits(
         "modification_time": F.col("modification_time"),
         "datasource_id": F.lit(datasource_id),
         "job_id": F.col("job_id"),
-        "object_id": v.str_or_null(v.first_truthy(*[v.variant_text(v.field(source, k)) for k in wire.OBJECT_KEYS])),
+        "object_id": v.str_or_null(v.first_truthy(*[F.col(name) for name in objects])),
         "annotation_stats_json": v.prefixed_json(source, wire.ANNOTATION_PREFIXES),
         "raw_metadata": F.to_json(source),
         "collected_at": F.lit(as_of).cast("timestamp"),
     } | typed
-    from ..sources.tables import metadata_schema
-
-    return matched.select(*[columns[f.name].alias(f.name) for f in metadata_schema()])
+    return read.select(*[columns[f.name].alias(f.name) for f in metadata_schema()])

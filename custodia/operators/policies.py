@@ -43,7 +43,7 @@ def duplicates_to_archive(
     no task has to hold a group.
     """
     keepers = duplicate_groups(files, hash_col, keep_by).select(hash_col, "keep_id", "n_files")
-    pairs = join_by_weight(files, keepers, [hash_col], "n_files", hot_rows)
+    pairs = join_by_weight(files, keepers, [hash_col], "n_files", keep_by, hot_rows)
     return pairs.filter(F.col(keep_by) != F.col("keep_id")).drop("n_files")
 
 

@@ -16,7 +16,7 @@ from ..functions.text import Tokenizer, is_blank, tokens
 from .access import ACCESS_COLUMNS
 
 MAX_SHARED_QUERIES = 4096
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 50_000
 SLICE_CELLS = 4_000_000
 DIGITS = 9
 
@@ -31,17 +31,19 @@ def chunk_text(
     overlap: int = wire.CHUNK_OVERLAP,
     tokenizer: Tokenizer = tokens,
 ) -> DataFrame:
-    """Overlapping chunks, ``chunk_index`` and ``chunk``; a text that fits is one chunk, unchanged."""
+    """Overlapping chunks, ``chunk_index`` and ``chunk``; a text that fits is one chunk, unchanged.
+
+    The chunks of a text are cut as one array before they become rows, so no row carries the whole
+    text or its tokens along and the work stays linear in the text.
+    """
     if not 0 <= overlap < max_tokens:
         raise ValueError("overlap must be smaller than max_tokens")
-    step = max_tokens - overlap
     words = docs.withColumn("words", tokenizer(F.col(text)))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))
-    starts = F.when(F.size("words") <= max_tokens, F.array(F.lit(0))).otherwise(starts)
-    cut = words.select("*", F.posexplode(starts).alias("chunk_index", "start"))
-    piece = F.array_join(F.slice("words", F.col("start") + 1, F.lit(max_tokens)), "")
-    chunk = F.when(F.size("words") <= max_tokens, F.col(text)).otherwise(piece)
-    return cut.withColumn("chunk", chunk).drop("words", "start")
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(max_tokens - overlap))
+    pieces = F.transform(starts, lambda s: F.array_join(F.slice("words", s + 1, F.lit(max_tokens)), ""))
+    chunks = F.when(F.size("words") <= max_tokens, F.array(F.col(text))).otherwise(pieces)
+    kept = [c for c in docs.columns if c != text]
+    return words.select(*kept, F.posexplode(chunks).alias("chunk_index", "chunk"))
 
 
 # --- vectors --------------------------------------------------------------------------------
@@ -196,7 +198,7 @@ def _search_blocks(
     chunks: DataFrame, queries: DataFrame, k: int, threshold: float, schema: str, secured: bool, max_shared: int, block_rows: int
 ) -> DataFrame:
     """Every block of queries meets every block of chunks once; blocks are cut by hash of the ids."""
-    query_blocks = -(-queries.count() // (max_shared // 2 or 1))
+    query_blocks = -(-queries.count() // max_shared)
     chunk_blocks = -(-chunks.count() // block_rows) or 1
 
     def copies(df: DataFrame, ident: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:

@@ -2,57 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
+
+
+def heaviest(per_key: DataFrame, keys: list[str], weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows, at most ``MAX_HOT_KEYS`` of them.
+
+    Both bounds are sure: never more than ``MAX_HOT_KEYS`` rows are broadcast, and a key that is
+    left out has at most a ``MAX_HOT_KEYS``-th part of all rows.
+    """
+    order = [F.col(weight).desc(), *[F.col(k).asc() for k in keys]]
+    return per_key.filter(F.col(weight) > hot_rows).orderBy(*order).limit(MAX_HOT_KEYS)
 
 
 def join_by_weight(
-    rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, hot_rows: int = HOT_ROWS
+    rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, row_id: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Inner join of ``rows`` with one row per key that says how many rows the key has.
 
-    Keys with more than ``hot_rows`` rows are joined by broadcast, where the rows lie. There can be
-    at most (all rows / ``hot_rows``) such keys, which bounds what is broadcast. All other keys meet
-    in an ordinary join that never sees the hot rows.
+    The rows of a heavy key are dealt out over as many shares as its weight asks for, and its one
+    row of ``per_key`` is copied to each share; all other keys have a single share.
 
     AQE alone would not do: it splits a skewed partition only when the shuffle feeds the join
     directly, and here the other side is an aggregate.
     """
-    hot = per_key.filter(F.col(weight) > hot_rows)
-    cold = per_key.filter(F.col(weight) <= hot_rows)
-    in_place = rows.join(F.broadcast(hot), keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return in_place.unionByName(rest.join(cold, keys))
-
-
-def lookup_by_weight(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: list[str],
-    value: str,
-    weight: str,
-    row_id: str,
-    wanted: Column | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """``rows`` with the ``value`` their key has in ``per_key``, NULL where there is none.
-
-    The same split as ``join_by_weight`` in one pass over ``rows``: hot keys are looked up by
-    broadcast, and rows that need no second look (found already, or not ``wanted``) carry a key of
-    their own through the shuffle instead of the hot one.
-    """
-    wanted = F.lit(True) if wanted is None else wanted
-    *outer, last = keys
-    hot = per_key.filter(F.col(weight) > hot_rows).select(*keys, F.col(value).alias("hot_value"))
-    cold = per_key.filter(F.col(weight) <= hot_rows).select(
-        *outer, F.col(last).alias("cold_key"), F.col(value).alias("cold_value")
-    )
-    looked = rows.withColumn("is_wanted", wanted).join(F.broadcast(hot), keys, "left")
-    needs_cold = F.col("is_wanted") & F.col("hot_value").isNull()
-    own = F.concat(F.lit("\x00"), F.col(row_id).cast("string"))
-    spread = looked.withColumn("cold_key", F.when(needs_cold, F.col(last)).otherwise(own))
-    joined = spread.join(cold, [*outer, "cold_key"], "left")
-    found = F.when(F.col("is_wanted"), F.coalesce("hot_value", "cold_value"))
-    return joined.withColumn(value, found).drop("is_wanted", "hot_value", "cold_value", "cold_key")
+    n_shares = F.ceil(F.col(weight) / hot_rows).cast("int")
+    shares = heaviest(per_key, keys, weight, hot_rows).select(*keys, n_shares.alias("shares"))
+    one = F.coalesce("shares", F.lit(1))
+    dealt = rows.join(F.broadcast(shares), keys, "left").withColumn("share", F.pmod(F.xxhash64(row_id), one).cast("int"))
+    copied = per_key.join(F.broadcast(shares), keys, "left")
+    copied = copied.withColumn("share", F.explode(F.sequence(F.lit(0), one - 1)))
+    return dealt.drop("shares").join(copied.drop("shares"), [*keys, "share"]).drop("share")

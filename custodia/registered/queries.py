@@ -130,7 +130,7 @@ def full_refresh_tables(spark, sf):
     """Documents and chunks reloaded as one load."""
     folder = scratch_folder(spark, "refresh")
     docs = view.secured_docs(spark, sf)
-    chunks = retrieval.chunk_text(docs.select("document_id", "content")).drop("content")
+    chunks = retrieval.chunk_text(docs.select("document_id", "content"))
     tables.full_refresh({"documents": docs.drop("content"), "chunks": chunks}, folder, "load-1")
     tables.full_refresh({"documents": docs.drop("content"), "chunks": chunks}, folder, "load-2")
     per_doc = tables.read_current(spark, folder, "chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
