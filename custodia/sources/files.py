@@ -33,10 +33,11 @@ def list_files(spark: SparkSession, root: str, prefix: str | None = None) -> Dat
 
 def _listed(spark: SparkSession, start: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(start)
-    home = F.lit(start.rstrip("/") + "/")
+    one_slash = r"^([^:/]+):/+", "$1:/"  # file:/x and file:///x name the same place
+    home = F.length(F.regexp_replace(F.lit(start.rstrip("/") + "/"), *one_slash))
     return files.select(
         F.col("path").alias("absolute_path"),
-        F.replace("path", home, F.lit("")).alias("relative_path"),
+        F.regexp_replace("path", *one_slash).substr(home + 1, F.length("path")).alias("relative_path"),
         F.col("length").alias("size_bytes"),
         F.unix_seconds("modificationTime").alias("modification_time"),
     )
