@@ -73,9 +73,10 @@ def hashed_words(dimensions: int = 64) -> Callable[[pd.Series], list]:
     return embedder
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def _unit(vectors: pd.Series, width: int | None = None) -> np.ndarray:
     """Rows of length one; a zero or missing vector becomes NaN and matches nothing."""
-    width = max((len(v) for v in vectors if v is not None), default=0)
+    if width is None:
+        width = max((len(v) for v in vectors if v is not None), default=0)
     rows = [np.full(width, np.nan) if v is None else np.asarray(v, dtype="float64") for v in vectors]
     matrix = np.vstack(rows) if rows else np.zeros((0, width))
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -123,11 +124,12 @@ def _best(frames: Iterator[pd.DataFrame], queries: QuerySet, k: int, threshold:
     """The ``k`` best chunks of each query over some batches, kept up to date slice by slice."""
     best = pd.DataFrame({"q": [], "similarity": [], "chunk_id": []}).astype({"q": "int64"})
     floor = np.full(len(queries.ids), -np.inf)
+    width = queries.unit.shape[1]
     step = max(k + 1, SLICE_CELLS // len(queries.ids))
-    for frame in frames:
+    for frame in frames if width else ():
         for begin in range(0, len(frame), step):
             rows = frame.iloc[begin : begin + step]
-            scores = np.round(_unit(rows["embedding"]) @ queries.unit.T, DIGITS)
+            scores = np.round(_unit(rows["embedding"], width) @ queries.unit.T, DIGITS)
             fits = (scores > threshold) & (scores >= floor)
             if queries.readers is not None:
                 fits &= queries.may_see(rows)
