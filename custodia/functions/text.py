@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from . import wire
 
-SPACE = r"[ \t\n\r\f\x0B]"
-TOKEN = rf"{SPACE}*[^ \t\n\r\f\x0B]+(?:{SPACE}+\z)?"
+SPACE, WORD = r"[ \t\n\r\f\x0B]", r"[^ \t\n\r\f\x0B]"
+TOKEN = rf"{SPACE}*+{WORD}++(?:{SPACE}++\z)?+"  # possessive: nothing is tried twice
 
 Tokenizer = Callable[[Column], Column]
 

@@ -15,6 +15,8 @@ from ..sources import tables
 
 log = logging.getLogger(__name__)
 
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def arriving(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "json", per_batch: int = 1000) -> DataFrame:
     """Files that arrive in a folder, at most ``per_batch`` at a time."""
@@ -85,7 +87,7 @@ def mail_gate_stream(
     verdicts say so. The verdicts of one batch are one partition, so a batch that runs again
     replaces its own.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder)
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.eml").load(folder)
 
     def gate(batch: DataFrame, number: int) -> None:
         parsed = mail.parse_messages(batch).persist()
