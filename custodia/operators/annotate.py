@@ -69,5 +69,5 @@ def apply_label_rules(annotations: DataFrame, rules: DataFrame, ident: str = "do
 
     ``rules``: annotator, label. One document has at most as many labels as there are rules.
     """
-    hits = annotations.select(ident, "annotator").distinct().join(rules, "annotator")
+    hits = annotations.select(ident, "annotator").join(rules, "annotator")
     return hits.groupBy(ident).agg(F.array_sort(F.collect_set("label")).alias("labels"))

@@ -3,7 +3,7 @@
 A new batch begins when the next file would exceed the byte limit or the file limit, so where a
 batch begins depends on every file before it. To compute that without one task seeing the whole
 list, the list is cut into ranges. Where the first batch *inside* a range begins can only be one of
-a few places, as a batch holds at most ``max_files`` files. Each range therefore reports, for each
+a few places, as a batch holds only so many files and bytes. Each range therefore reports, for each
 of these places, in what state it would hand over to the next range; following these reports from
 range to range gives the true begin of each one, and the ranges then number their batches in
 parallel.
@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..session import checkpointed
 
-REPORT = "part int, n_rows bigint, head array<bigint>, total bigint, starts array<struct<batches:bigint,bytes:bigint,files:bigint>>"
+REPORT = "part int, n_rows bigint, head array<bigint>, starts array<struct<batches:bigint,bytes:bigint,files:bigint>>"
 
 
 def plan_batches(
@@ -35,7 +35,7 @@ def plan_batches(
     """``files`` with a ``batch`` number, counted from 0 in path order.
 
     The sorted list is checkpointed first, as both passes must see the same ranges. What passes
-    through the driver is one report per range.
+    through the driver is one report per range, as long as one batch at most.
     """
     if max_bytes <= 0 or max_files <= 0:
         raise ValueError("max_bytes and max_files must be positive")
@@ -80,9 +80,11 @@ def _report(batches: Iterator[pd.DataFrame], max_bytes: int, max_files: int) ->
     # Row at which the batch that begins at row i is full; n when it is still open at the end.
     full = np.searchsorted(ends, ends[:-1] + max_bytes, side="right") - 1
     full = np.minimum(full, np.arange(n) + max_files)
+    # The open batch takes in rows up to its limits, so the first begin here is one of these places.
+    places = min(max_files, n, int(np.searchsorted(ends, max_bytes, side="right")))
     known: dict[int, tuple[int, int]] = {}
     starts = []
-    for place in range(min(max_files, n)):
+    for place in range(places):
         chain, row = [], place
         while row not in known and full[row] < n:
             chain.append(row)
@@ -93,9 +95,8 @@ def _report(batches: Iterator[pd.DataFrame], max_bytes: int, max_files: int) ->
             batches_after += 1
             known[earlier] = (batches_after, last)
         starts.append({"batches": batches_after, "bytes": int(ends[n] - ends[last]), "files": n - last})
-    head = sizes[: min(max_files, n)]
-    row = [int(frames[0]["part"].iloc[0]), n, head.tolist(), int(ends[n]), starts]
-    yield pd.DataFrame([row], columns=["part", "n_rows", "head", "total", "starts"])
+    row = [int(frames[0]["part"].iloc[0]), n, sizes[:places].tolist(), starts]
+    yield pd.DataFrame([row], columns=["part", "n_rows", "head", "starts"])
 
 
 def _entries(reports: list[Row], max_bytes: int, max_files: int) -> dict[int, tuple[int, int, int]]:

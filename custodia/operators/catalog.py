@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import naming, wire
 from ..functions.values import first_truthy
+from ..session import checkpointed
+from .skew import HOT_ROWS, join_by_weight
 
 
 def select_labels(classifications: DataFrame, limit: int = 0) -> DataFrame:
@@ -33,8 +35,10 @@ def label_datasources(files: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``files``: pos, datasource, labels (id, name). ``labels``: pos, id, name. Files are matched by
     label id; a label that finds nothing by id is tried by name. Of one datasource the first file
-    decides what is known of it. Files are reduced to one row per label and datasource before
-    anything is joined, so the joins do not grow with the files.
+    decides what is known of it.
+
+    Files are read once and reduced to one row per label and datasource; that small table is
+    checkpointed, and nothing after it grows with the files.
     """
     tagged = files.filter("datasource.id IS NOT NULL").select(
         "pos", datasource_item(F.col("datasource")).alias("ds"), F.explode(F.array_distinct("labels")).alias("label")
@@ -42,6 +46,7 @@ def label_datasources(files: DataFrame, labels: DataFrame) -> DataFrame:
     seen = tagged.groupBy(
         F.col("label.id").cast("string").alias("seen_id"), F.col("label.name").alias("seen_name"), F.col("ds.id").alias("ds_id")
     ).agg(F.min_by("ds", "pos").alias("ds"), F.min("pos").alias("first_pos"))
+    seen = checkpointed(seen)
     wanted = labels.select(F.col("pos").alias("label_pos"), F.col("id").cast("string").alias("label_id"), F.col("name").alias("label_name"))
 
     by_id = wanted.join(seen, F.col("label_id") == F.col("seen_id"))
@@ -63,7 +68,7 @@ def hit_counts(files: DataFrame) -> DataFrame:
     return tagged.groupBy("datasource_id", "label").agg(F.count("*").alias("document_count"))
 
 
-def by_collection(datasources: DataFrame, refs: DataFrame) -> DataFrame:
+def by_collection(datasources: DataFrame, refs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Datasources with the collection they belong to and how many it has; those without are dropped.
 
     The result is one row per datasource, not one list per collection, so a collection may be of
@@ -71,7 +76,7 @@ def by_collection(datasources: DataFrame, refs: DataFrame) -> DataFrame:
     """
     placed = datasources.join(refs, "id").filter("collection_ref <> ''")
     sizes = placed.groupBy("collection_ref").agg(F.count("*").alias("collection_size"))
-    return placed.join(sizes, "collection_ref")
+    return join_by_weight(placed, sizes, ["collection_ref"], "collection_size", "id", hot_rows)
 
 
 def collection_refs(datasources: DataFrame) -> DataFrame:

@@ -91,6 +91,10 @@ def test_collections(spark):
     assert rows(catalog.by_collection(sources, refs), "collection_ref", "collection_size") == [("finance-1", 1), ("hr-x-2", 1)]
     one = refs.withColumn("collection_ref", F.lit("all"))
     assert rows(catalog.by_collection(sources, one), "id", "collection_size") == [("1", 2), ("2", 2)]
+    many = spark.range(500).select(F.col("id").cast("string").alias("id"), F.lit("n").alias("name"))
+    refs = many.select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id"))).alias("collection_ref"))
+    split = catalog.by_collection(many, refs, hot_rows=10)
+    assert split.count() == 500 and split.filter("collection_size = 167").count() == 167
 
 
 def test_lookups_and_deletes(spark):
