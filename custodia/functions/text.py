@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import wire
+from .values import WHITESPACE
 
 SPACE, WORD = r"[ \t\n\r\f\x0B]", r"[^ \t\n\r\f\x0B]"
 TOKEN = rf"{SPACE}*+{WORD}++(?:{SPACE}++\z)?+"  # possessive: nothing is tried twice
@@ -35,7 +36,8 @@ def preview(text: Column, chars: int = wire.PREVIEW_CHARS) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (F.regexp_replace(text, rf"(?U)\s", "") == "")
+    """No character but white space; looks only as far as the first other one."""
+    return ~F.coalesce(text.rlike(f"[^{WHITESPACE}]"), F.lit(False))
 
 
 def joined_groups(groups: Column) -> Column:

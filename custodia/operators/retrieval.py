@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wire
 from ..functions.text import Tokenizer, is_blank, tokens
+from ..session import checkpointed
 from .access import ACCESS_COLUMNS
 
 MAX_SHARED_QUERIES = 4096
@@ -106,19 +107,24 @@ class QuerySet:
         return cls(rows["query_id"].to_numpy(), unit, readers, emails, employees)
 
     def may_see(self, rows: pd.DataFrame) -> np.ndarray:
-        """Chunk by query: does the policy let the asker see the chunk's document?"""
+        """Query by chunk: does the policy let the asker see the chunk's document?"""
         category = rows["category"]
-        seen = np.repeat(category.isin(wire.PUBLIC_CATEGORIES).to_numpy(dtype=bool)[:, None], len(self.ids), axis=1)
+        public = category.isin(wire.PUBLIC_CATEGORIES).to_numpy(dtype=bool)
         review = (category == wire.REVIEW_CATEGORY).to_numpy(dtype=bool)
-        seen |= review[:, None] & self.readers[None, :]
+        seen = public[None, :] | (self.readers[:, None] & review[None, :])
         for i, (emails, own) in enumerate(zip(rows["entitled_emails"], rows["extracted_employee_id"])):
             for address in emails if emails is not None else ():
                 if address in self.by_email:
-                    seen[i, self.by_email[address]] = True
+                    seen[self.by_email[address], i] = True
             if review[i] and own in self.by_employee:
-                seen[i, self.by_employee[own]] = True
+                seen[self.by_employee[own], i] = True
         return seen
 
+    def probed(self, rows: pd.DataFrame) -> np.ndarray:
+        """Query by chunk: does the query look into the chunk's list?"""
+        nobody = np.zeros(len(self.ids), dtype=bool)
+        return np.array([self.probes.get(int(i), nobody) for i in rows["list_id"]]).T
+
 
 def _best(frames: Iterator[pd.DataFrame], queries: QuerySet, k: int, threshold: float) -> pd.DataFrame:
     """The ``k`` best chunks of each query over some batches, kept up to date slice by slice."""
@@ -129,22 +135,20 @@ def _best(frames: Iterator[pd.DataFrame], queries: QuerySet, k: int, threshold:
     for frame in frames if width else ():
         for begin in range(0, len(frame), step):
             rows = frame.iloc[begin : begin + step]
-            scores = np.round(_unit(rows["embedding"], width) @ queries.unit.T, DIGITS)
-            fits = (scores > threshold) & (scores >= floor)
+            scores = np.round(queries.unit @ _unit(rows["embedding"], width).T, DIGITS)
+            fits = (scores > threshold) & (scores >= floor[:, None])
             if queries.readers is not None:
                 fits &= queries.may_see(rows)
             if queries.probes is not None:
-                lists = rows["list_id"].to_numpy()
-                nobody = np.zeros(len(queries.ids), dtype=bool)
-                fits &= np.array([queries.probes.get(int(i), nobody) for i in lists])
-            scores = np.where(fits, scores, -np.inf)
+                fits &= queries.probed(rows)
+            scores[~fits] = -np.inf
             if len(rows) > k:  # the slice alone rules out what is below its own k-th best
-                fits &= scores >= np.partition(scores, len(rows) - k, axis=0)[len(rows) - k]
-            chunk, query = np.nonzero(fits)
+                fits &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
+            query, chunk = np.nonzero(fits)
             if not len(chunk):
                 continue
             found = pd.DataFrame(
-                {"q": query, "similarity": scores[chunk, query], "chunk_id": rows["chunk_id"].to_numpy()[chunk]}
+                {"q": query, "similarity": scores[query, chunk], "chunk_id": rows["chunk_id"].to_numpy()[chunk]}
             )
             pool = found if best.empty else pd.concat([best, found], ignore_index=True)
             pool = pool.sort_values(["q", "similarity", "chunk_id"], ascending=[True, False, True])
@@ -178,6 +182,7 @@ def vector_search(
     """
     columns = ["chunk_id", "embedding", *(ACCESS_COLUMNS if secured else [])]
     asked = queries.select("query_id", "embedding", *(["email", "employee_id", "groups"] if secured else []))
+    asked = checkpointed(asked)  # read more than once from here on
     shared = asked.limit(max_shared + 1).toPandas()
     types = dict(chunks.dtypes), dict(queries.dtypes)
     schema = f"query_id {types[1]['query_id']}, chunk_id {types[0]['chunk_id']}, similarity double"
@@ -201,7 +206,8 @@ def _search_blocks(
 ) -> DataFrame:
     """Every block of queries meets every block of chunks once; blocks are cut by hash of the ids."""
     query_blocks = -(-queries.count() // max_shared)
-    chunk_blocks = -(-chunks.count() // block_rows) or 1
+    busy = -(-2 * chunks.sparkSession.sparkContext.defaultParallelism // query_blocks)  # blocks for all cores
+    chunk_blocks = max(-(-chunks.count() // block_rows), busy)
 
     def copies(df: DataFrame, ident: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         placed = df.withColumn(own, F.pmod(F.xxhash64(ident), F.lit(n_own)).cast("int"))
@@ -240,6 +246,7 @@ def build_ivf(chunks: DataFrame, path: str, lists: int = 100, seed: int = 7, rou
     size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
     unit = F.transform("embedding", lambda x: x.cast("double") / F.col("size"))
     vectors = chunks.withColumn("size", size).filter("size > 0").withColumn("unit", array_to_vector(unit)).drop("size")
+    vectors = vectors.persist()  # every round of the clustering reads them
     model = KMeans(k=lists, seed=seed, maxIter=rounds, featuresCol="unit", predictionCol="list_id").fit(vectors)
     centers = [[float(x) for x in center] for center in model.clusterCenters()]
     centroids = spark.createDataFrame(list(enumerate(centers)), "list_id int, centroid array<double>")
@@ -253,6 +260,7 @@ def build_ivf(chunks: DataFrame, path: str, lists: int = 100, seed: int = 7, rou
         F.count("*").alias("n_members"),
     )
     radius.join(centroids, "list_id").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    vectors.unpersist()
 
 
 def ivf_search(

@@ -140,3 +140,9 @@ def test_preview_blank_groups(spark):
 
 def test_rows_helper(spark):
     assert rows(spark.createDataFrame([(2,), (1,)], "a int")) == [(1,), (2,)]
+
+
+def test_all_white_space_is_stripped(spark):
+    spaces = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+    assert one(spark, spaces + "é" + spaces, values.str_or_null) == "é"
+    assert one(spark, spaces, values.str_or_null) is None and one(spark, spaces, text.is_blank)
