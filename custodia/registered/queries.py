@@ -131,8 +131,8 @@ def full_refresh_tables(spark, sf):
     folder = scratch_folder(spark, "refresh")
     docs = view.secured_docs(spark, sf)
     chunks = retrieval.chunk_text(docs.select("document_id", "content"))
-    tables.full_refresh({"documents": docs.drop("content"), "chunks": chunks}, folder, "load-1")
-    tables.full_refresh({"documents": docs.drop("content"), "chunks": chunks}, folder, "load-2")
+    tables.full_refresh({"documents": docs.limit(0).drop("content"), "chunks": chunks.limit(0)}, folder)
+    tables.full_refresh({"documents": docs.drop("content"), "chunks": chunks}, folder)
     per_doc = tables.read_current(spark, folder, "chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
     return tables.read_current(spark, folder, "documents").join(per_doc, "document_id").select("document_id", "category", "n_chunks")
 
@@ -254,7 +254,7 @@ def document_titles(spark, sf):
         "doc_id",
         F.when(lang == "en", F.format_string("doc_%d", "doc_id")).when(lang == "fr", "").alias("file_name"),
         F.when(lang != "de", F.concat(F.lit("on "), "source")).alias("title"),
-        F.when(F.col("doc_id") % 50 == 0, " \n\t").otherwise(F.col("text")).alias("text"),
+        F.when(lang == "es", " \n\t").otherwise(F.col("text")).alias("text"),
     )
     rows = retrieval.document_rows(docs)
     return rows.select("doc_id", "title", F.md5(text.preview(F.col("content")).cast("binary")).alias("preview_md5"))

@@ -236,7 +236,7 @@ GROUP BY d.document_id, d.category""",
     "extracted_attributes": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "document_titles": """SELECT doc_id,
   CASE lang WHEN 'en' THEN 'doc_' || doc_id WHEN 'de' THEN 'Untitled Document' ELSE 'on ' || source END AS title,
-  md5(left(text, 300)) AS preview_md5 FROM documents WHERE doc_id % 50 <> 0""",
+  md5(left(text, 300)) AS preview_md5 FROM documents WHERE lang <> 'es'""",
     "token_counts": f"""SELECT doc_id, len(w) AS n_tokens,
   md5(CASE WHEN len(w) <= 100 THEN text ELSE array_to_string(w[1:100], '') END) AS cut_md5
 FROM (SELECT doc_id, text, regexp_extract_all(text, '{TOKEN}') AS w FROM documents)""",

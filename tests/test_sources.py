@@ -158,6 +158,7 @@ def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
 
 def test_full_refresh(spark, tmp_path):
     root = str(tmp_path / "r")
-    tables.full_refresh({"d": spark.range(3), "c": spark.range(5)}, root, "one")
-    tables.full_refresh({"d": spark.range(1), "c": spark.range(2)}, root, "two")
-    assert tables.read_current(spark, root, "d").count() == 1 and tables.read_current(spark, root, "c").count() == 2
+    for n in (1, 2, 3):
+        tables.full_refresh({"d": spark.range(n), "c": spark.range(2 * n)}, root)
+        assert tables.read_current(spark, root, "d").count() == n and tables.read_current(spark, root, "c").count() == 2 * n
+    assert sorted(os.listdir(tmp_path / "r")) == ["a", "b", "current"]
