@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import wire
-from ..functions.values import field, variant_int, variant_str
+from ..functions.values import field, variant_int
 
 CORRUPT = "_corrupt_record"
 
@@ -46,19 +46,19 @@ def _typed(spark: SparkSession, path: str, schema: StructType | str) -> DataFram
 
 
 def project_file_records(records: DataFrame, record: str = "record") -> DataFrame:
-    """Typed scalars, nested fields as ``<field>_json`` and the whole record as ``raw_json``."""
+    """Typed scalars, nested fields as ``<field>_json`` and the whole record as ``raw_json``.
+
+    Values are taken as they are; only the two counts become numbers.
+    """
     source = F.col(record)
-    read = records.select(
-        source,
-        *[field(source, key).alias(f"raw_{name}") for name, key in wire.FILE_SCALARS],
-        *[field(source, key, "string").alias(f"{key}_json") for key in wire.FILE_NESTED],
-    )
-    whole = ("size", "scan_depth")
+    whole = [name for name, _ in wire.FILE_SCALARS if name in ("size", "scan_depth")]
+    read = records.select(source, *[field(source, key).alias(f"raw_{name}") for name, key in wire.FILE_SCALARS if name in whole])
     scalars = [
-        (variant_int(F.col(f"raw_{name}")) if name in whole else variant_str(F.col(f"raw_{name}"))).alias(name)
-        for name, _ in wire.FILE_SCALARS
+        (variant_int(F.col(f"raw_{name}")) if name in whole else field(source, key, "string")).alias(name)
+        for name, key in wire.FILE_SCALARS
     ]
-    return read.select(*scalars, F.to_json(source).alias("raw_json"), *[f"{key}_json" for key in wire.FILE_NESTED])
+    nested = [field(source, key, "string").alias(f"{key}_json") for key in wire.FILE_NESTED]
+    return read.select(*scalars, F.to_json(source).alias("raw_json"), *nested)
 
 
 def land_raw(df: DataFrame, path: str) -> None:

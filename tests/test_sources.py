@@ -17,7 +17,7 @@ def export(tmp_path):
         json.dumps({"fileId": "1", "fileName": "a", "size": 5, "labels": [{"id": 1, "name": "L"}], "owner": "me", "datasource": {"id": 9}}),
         "",
         "not json",
-        json.dumps({"fileId": 2, "path": "/p", "labels": None, "scanDepth": "deep"}),
+        json.dumps({"fileId": 2, "path": " /p ", "fileName": "", "labels": None, "scanDepth": "deep"}),
         "{broken",
     ]
     path.write_text("\n".join(lines) + "\n")
@@ -29,7 +29,7 @@ def test_ndjson_skips_blank_and_bad_lines(spark, export):
     assert ndjson.read_ndjson(spark, export, cap=1).count() == 1
     assert rows(ndjson.read_bad_lines(spark, export)) == [("not json",), ("{broken",)]
     typed = ndjson.read_ndjson(spark, export, "fileName string, size bigint")
-    assert rows(typed) == [("a", 5), (None, None)]
+    assert rows(typed) == [("", None), ("a", 5)]
     with pytest.raises(ValueError):
         ndjson.read_ndjson(spark, export, cap=0)
 
@@ -40,7 +40,7 @@ def test_file_record_projection(spark, export):
     assert (first["file_id"], first["file_name"], first["size"], first["owner_json"]) == ("1", "a", 5, "me")
     assert json.loads(first["labels_json"]) == [{"id": 1, "name": "L"}] and json.loads(first["datasource_json"]) == {"id": 9}
     assert json.loads(first["raw_json"])["fileName"] == "a"
-    assert (second["file_id"], second["path"], second["labels_json"], second["scan_depth"]) == ("2", "/p", None, None)
+    assert (second["file_id"], second["path"], second["labels_json"], second["scan_depth"]) == ("2", " /p ", None, None) and second["file_name"] == ""
     assert len(got[0]) == 19
 
 
@@ -93,6 +93,12 @@ def test_snapshot_replaces_one_day(spark, export, tmp_path):
     assert run_snapshot(spark, export, target, "2024-03-02")
     assert run_snapshot(spark, export, target, "2024-03-02", cap=1)
     assert rows(tables.read_snapshot(spark, target).groupBy("ingestion_date").count()) == [("2024-03-01", 2), ("2024-03-02", 1)]
+    name = "spark_catalog.default.custodia_days"
+    assert run_snapshot(spark, export, target, "2024-03-03", table=name)
+    assert spark.table(name).count() == 5
+    assert run_snapshot(spark, export, target, "2024-03-04", table=name)
+    assert spark.table(name).count() == 7
+    spark.sql(f"DROP TABLE {name}")
     empty = spark.createDataFrame([], "x int")
     assert not tables.write_snapshot(empty, str(tmp_path / "none"), "2024-03-01")
     assert not os.path.exists(tmp_path / "none")
