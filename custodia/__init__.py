@@ -9,3 +9,10 @@ Every operator takes DataFrames and returns DataFrames; nothing keeps session st
 * ``streaming``  the same jobs over arriving files
 * ``registered`` the queries checked against SQL, and that SQL
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the workers by value, so executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -205,7 +205,7 @@ def _search_blocks(
     chunks: DataFrame, queries: DataFrame, k: int, threshold: float, schema: str, secured: bool, max_shared: int, block_rows: int
 ) -> DataFrame:
     """Every block of queries meets every block of chunks once; blocks are cut by hash of the ids."""
-    query_blocks = -(-queries.count() // max_shared)
+    query_blocks = -(-queries.count() // max(max_shared, 1))
     busy = -(-2 * chunks.sparkSession.sparkContext.defaultParallelism // query_blocks)  # blocks for all cores
     chunk_blocks = max(-(-chunks.count() // block_rows), busy)
 
