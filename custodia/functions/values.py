@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .wire import FALSE_WORDS, TRUE_WORDS
+
 # Characters stripped around a string value.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-TRUE_WORDS = ["true", "1", "yes"]
-FALSE_WORDS = ["false", "0", "no"]
 
 
 def strip(text: Column) -> Column:

@@ -74,6 +74,10 @@ FILE_NESTED = [
     "modifiedBy",
 ]
 
+# Words for yes and no (fixed values).
+TRUE_WORDS = ["true", "1", "yes"]
+FALSE_WORDS = ["false", "0", "no"]
+
 # Catalog naming and texts (fixed values).
 TAG_SCHEME = "dxrtag"
 DATASOURCE_SCHEME = "dxrds"
@@ -82,6 +86,7 @@ DATASET_TYPE = "unstructured_dataset"
 DATASOURCE_TYPE = "unstructured_datasource"
 PROCESS_TYPE = "dxr_process"
 HAS_RELATION = "unstructured_datasource_has_unstructured_dataset"
+REF_MAX, REF_MIN, SLUG_MAX, SHORT_HASH = 36, 3, 90, 8
 LABEL_NAME_PREFIX = "dxr_label_"
 GROUP_NAME = "Unstructured Datasets"
 PROCESS_NAME = "DXR processing: %s -> %s"
@@ -100,6 +105,10 @@ MAIL_ERROR = "451 Internal server error - please try again later"
 MAIL_BLOCKED = "550 Blocked - %s in %s"
 
 # Retrieval texts and limits (fixed values).
+CONTEXT_PART = "Document %d (from %s, category: %s) (relevance: %.3f):\n   Matched queries: %s\n%s\n"
+CONTEXT_BREAK = "\n---\n"
+INGEST_ERROR = "Failed to process document "
+TITLE_MAX, CATEGORY_MAX, EMPLOYEE_MAX = 255, 100, 200
 UNTITLED = "Untitled Document"
 NO_CONTEXT = "No relevant documents found for this query."
 CHUNK_TOKENS, CHUNK_OVERLAP = 500, 50

@@ -359,11 +359,11 @@ def format_context(rows: DataFrame, requests: DataFrame | None = None) -> DataFr
     With ``requests`` (request_id) those that found nothing get the standard sentence.
     """
     part = F.format_string(
-        "Document %d (from %s, category: %s) (relevance: %.3f):\n   Matched queries: %s\n%s\n",
+        wire.CONTEXT_PART,
         "number", "title", "category", "score", F.array_join("matching_queries", ", "), "content",
     )
     parts = F.sort_array(F.collect_list(F.struct("number", part.alias("part"))))
-    texts = rows.groupBy("request_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n---\n").alias("context"))
+    texts = rows.groupBy("request_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), wire.CONTEXT_BREAK).alias("context"))
     if requests is None:
         return texts
     asked = requests.select("request_id").join(texts, "request_id", "left")

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import values as v
 from ..functions import wire
+from ..functions.wire import CATEGORY_MAX, EMPLOYEE_MAX, TITLE_MAX
 from ..operators import catalog, matching, retrieval
 from ..operators.access import ACCESS_COLUMNS
 from ..sources import ndjson, tables
 
-# Column widths of the document table (fixed values).
-TITLE_MAX, CATEGORY_MAX, EMPLOYEE_MAX = 255, 100, 200
-
 
 def run_snapshot(
     spark: SparkSession,
@@ -125,7 +123,7 @@ def ingest_documents(docs: DataFrame, embedder: Callable | None = None) -> Inges
     chunks = chunks.select("document_id", "chunk_index", F.col("chunk").alias("content"))
     if embedder is not None:
         chunks = retrieval.embed(chunks, embedder, text="content")
-    message = F.concat_ws("", F.lit("Failed to process document "), F.col("title"), F.lit(": "), F.col("reason"))
+    message = F.concat_ws("", F.lit(wire.INGEST_ERROR), F.col("title"), F.lit(": "), F.col("reason"))
     rejects = checked.filter("reason IS NOT NULL").select("document_id", message.alias("error"))
     return Ingest(documents, chunks, rejects)
 

@@ -131,7 +131,7 @@ def full_refresh_tables(spark, sf):
     folder = scratch_folder(spark, "refresh")
     docs = view.secured_docs(spark, sf)
     chunks = retrieval.chunk_text(docs.select("document_id", "content"))
-    tables.full_refresh({"documents": docs.limit(0).drop("content"), "chunks": chunks.limit(0)}, folder)
+    tables.full_refresh({"documents": docs.drop("content").withColumn("category", F.lit("old"))}, folder)
     tables.full_refresh({"documents": docs.drop("content"), "chunks": chunks}, folder)
     per_doc = tables.read_current(spark, folder, "chunks").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
     return tables.read_current(spark, folder, "documents").join(per_doc, "document_id").select("document_id", "category", "n_chunks")
@@ -155,13 +155,13 @@ def label_mirror(spark, sf):
 
 @query
 def scan_hits(spark, sf):
-    """All hits of one scan, best first."""
+    """All hits of one scan, best first; the scan is what the operator is asked for."""
     return matching.hits_for_scan(view.hits(spark, sf), "1").select("hit_id", "score")
 
 
 @query
 def datasource_documents(spark, sf):
-    """Documents of some datasources."""
+    """Documents of the datasources the operator is asked for."""
     docs = view.table(spark, sf, "documents").withColumnRenamed("source", "datasource_id")
     return matching.docs_for_datasources(docs, ["src1", "src3"]).select("doc_id", "datasource_id", "n_chars")
 
@@ -449,9 +449,10 @@ def dictionary_hits(spark, sf):
 
 @query
 def small_dictionary_hits(spark, sf):
-    """D12 with a handful of words."""
-    words = view.table(spark, sf, "region").select(F.lit("regions").alias("annotator"), F.left("r_name", F.lit(3)).alias("keyword"))
-    return annotate.annotate(view.table(spark, sf, "documents"), words)
+    """D12 with a handful of words: the language codes."""
+    docs = view.table(spark, sf, "documents")
+    words = docs.select(F.lit("codes").alias("annotator"), F.upper("lang").alias("keyword")).distinct()
+    return annotate.annotate(docs, words)
 
 
 @query
@@ -755,7 +756,8 @@ def _topic_queries(spark, sf):
 
 
 def _scored(found):
-    return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
+    rank = F.col("rank").cast("bigint").alias("rank")
+    return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), rank)
 
 
 @query
@@ -801,21 +803,22 @@ def _results(spark, sf):
 def rank_fusion(spark, sf):
     """A5: results of three questions merged per request."""
     fused = retrieval.rank_fusion(_results(spark, sf))
-    return fused.select("request_id", "chunk_id", "position", F.round("score", 6).alias("score"), F.array_join("matching_queries", ",").alias("queries"))
+    return fused.select("request_id", "chunk_id", F.col("position").cast("bigint").alias("position"), F.round("score", 6).alias("score"), F.array_join("matching_queries", ",").alias("queries"))
 
 
 @query
 def secured_retrieval(spark, sf):
     """Context rows of every principal's request."""
     rows = jobs.retrieve(view.vec_chunks(spark, sf), view.requests(spark, sf))
-    return rows.select("request_id", "number", "title", "chunk_id", F.round("score", 6).alias("score"))
+    return rows.select("request_id", F.col("number").cast("bigint").alias("number"), "title", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query
 def recent_turns(spark, sf):
     """The last turns of every conversation."""
     turns = view.table(spark, sf, "conversations")
-    return retrieval.recent_turns(turns, 3, user="conv_id").select("conv_id", "turn", "role", "turn_number")
+    last = retrieval.recent_turns(turns, 3, user="conv_id")
+    return last.select("conv_id", "turn", "role", F.col("turn_number").cast("bigint").alias("turn_number"))
 
 
 # --- mail -----------------------------------------------------------------------------------

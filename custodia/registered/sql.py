@@ -305,8 +305,8 @@ UNION ALL SELECT 'some labelled', CASE WHEN count(*) > 10 THEN 'Passed' ELSE 'Fa
   WHERE labels IS NOT NULL""",
     "dictionary_hits": """SELECT d.doc_id, 'annotator-' || (b.item_id % 5) AS annotator, b.text AS keyword
 FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))""",
-    "small_dictionary_hits": """SELECT d.doc_id, 'regions' AS annotator, left(r.r_name, 3) AS keyword
-FROM documents d JOIN region r ON contains(lower(d.text), lower(left(r.r_name, 3)))""",
+    "small_dictionary_hits": """SELECT d.doc_id, 'codes' AS annotator, upper(c.lang) AS keyword
+FROM documents d JOIN (SELECT DISTINCT lang FROM documents) c ON contains(lower(d.text), c.lang)""",
     "labels_from_rules": """SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (
   SELECT DISTINCT d.doc_id, unnest(['Found by annotator-' || (b.item_id % 5), 'Leaked']) AS label
   FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))) GROUP BY doc_id""",

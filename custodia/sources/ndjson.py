@@ -93,5 +93,5 @@ def mirror_by_label(df: DataFrame, path: str, labels: str = "labels") -> None:
     The rebalance hint groups rows by label before the write and lets AQE split a label that
     holds much of the data over several tasks.
     """
-    per_label = df.withColumn("label", F.explode(labels)).drop(labels)
+    per_label = df.withColumn("label", F.explode(F.array_distinct(labels))).drop(labels)
     per_label.hint("rebalance", "label").write.mode("overwrite").partitionBy("label").parquet(path)
