@@ -49,7 +49,8 @@ def mail_gate(messages: DataFrame, attachments: DataFrame, labels: DataFrame, bl
         F.max(F.coalesce("classification_error", F.lit(False))).alias("classification_error"),
     )
     sound = attachments.filter("NOT coalesce(classification_error, false)").select("message_id", "att_pos", "filename")
-    suspect = labels.join(blocked.select("name").distinct(), "name", "left_semi")
+    named = labels.select("message_id", "att_pos", "hit_pos", "label_pos", "name")
+    suspect = named.join(blocked.select("name").distinct(), "name", "left_semi")
     verdicts = first_blocked(suspect.join(sound, ["message_id", "att_pos"]), blocked)
     joined = messages.join(per_message, "message_id", "left").join(verdicts, "message_id", "left")
 

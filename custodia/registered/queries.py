@@ -827,9 +827,8 @@ def recent_turns(spark, sf):
 @query
 def first_blocked_labels(spark, sf):
     """The first blocked label of each message."""
-    keys = ["message_id", "att_pos"]
-    names = view.mail_attachments(spark, sf).select(*keys, "filename").distinct()
-    tagged = view.mail_labels(spark, sf).join(names, keys)
+    name = F.format_string("line_%d_%d.txt", "att_pos.l_linenumber", "att_pos.l_partkey")
+    tagged = view.mail_labels(spark, sf).withColumn("filename", name)
     return mail.first_blocked(tagged, view.blocked_labels(spark)).select("message_id", "filename", "name", "message")
 
 
