@@ -60,11 +60,16 @@ def plan_batches(
             if batch is None:
                 batch, used, count = entries[int(rows["part"].iloc[0])]
             numbers = np.empty(len(rows), dtype="int64")
-            for i, length in enumerate(rows[size].to_numpy()):
-                if count and (used + length > max_bytes or count >= max_files):
+            ends = np.concatenate([[0], np.cumsum(rows[size].to_numpy(dtype="int64"))])
+            begin = 0
+            while begin < len(rows):
+                fits = int(np.searchsorted(ends, ends[begin] + max_bytes - used, side="right")) - 1
+                stop = min(fits, begin + max_files - count, len(rows))
+                numbers[begin:stop] = batch
+                used, count = used + int(ends[stop] - ends[begin]), count + stop - begin
+                begin = stop
+                if begin < len(rows):  # the next file does not fit any more
                     batch, used, count = batch + 1, 0, 0
-                used, count = used + int(length), count + 1
-                numbers[i] = batch
             yield rows.drop(columns="part").assign(batch=numbers)
 
     return ordered.mapInPandas(number, schema)

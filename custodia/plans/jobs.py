@@ -161,6 +161,16 @@ def retrieve(
     return retrieval.context_rows(retrieval.rank_fusion(results, max_results), per_doc, total)
 
 
+def retrieve_context(chunks: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.2) -> DataFrame:
+    """The context of every request as one text; ``chunks`` has ``content`` as well.
+
+    The texts are fetched only for the few chunks that made it into a context.
+    """
+    rows = retrieve(chunks.drop("content"), queries, k, threshold)
+    texts = rows.join(chunks.select("chunk_id", "content"), "chunk_id")
+    return retrieval.format_context(texts, queries.select("request_id").distinct())
+
+
 def attach_documents(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Chunks with title, category and access data of their document."""
     info = docs.select("document_id", "title", *ACCESS_COLUMNS)

@@ -813,6 +813,15 @@ def secured_retrieval(spark, sf):
     return rows.select("request_id", F.col("number").cast("bigint").alias("number"), "title", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query
+def context_texts(spark, sf):
+    """The context of every request as the text that is handed on."""
+    content = F.concat_ws(" ", F.lit("chunk"), "chunk_id", F.lit("of"), "title")
+    chunks = view.vec_chunks(spark, sf).withColumn("content", content)
+    texts = jobs.retrieve_context(chunks, view.requests(spark, sf))
+    return texts.select("request_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
 @query
 def recent_turns(spark, sf):
     """The last turns of every conversation."""

@@ -407,6 +407,19 @@ FROM titled t JOIN counted c ON c.document_id = t.document_id""",
   round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY request_id, title ORDER BY position) AS of_title FROM fused)
 WHERE of_title <= 3""",
+    "context_texts": with_(DOCS, PRINCIPALS, VECTORS, REQUESTS)
+    + """, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY position) AS number
+  FROM (SELECT *, row_number() OVER (PARTITION BY request_id, title ORDER BY position) AS of_title FROM fused)
+  WHERE of_title <= 3),
+texts AS (
+  SELECT n.request_id, string_agg('Document ' || n.number || ' (from ' || n.title || ', category: ' || c.category
+      || ') (relevance: ' || printf('%.3f', n.score) || '):' || chr(10) || '   Matched queries: '
+      || replace(n.queries, ',', ', ') || chr(10) || 'chunk ' || n.chunk_id || ' of ' || n.title || chr(10),
+    chr(10) || '---' || chr(10) ORDER BY n.number) AS context
+  FROM numbered n JOIN vec_chunks c ON c.chunk_id = n.chunk_id GROUP BY n.request_id)
+SELECT r.request_id, md5(coalesce(t.context, 'No relevant documents found for this query.')) AS context_md5
+FROM (SELECT DISTINCT request_id FROM asked) r LEFT JOIN texts t ON t.request_id = r.request_id""",
     "recent_turns": """SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_number
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 3""",
     "first_blocked_labels": with_(MAIL.format(rows="sound"))
