@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, sql
+from custodia.llm import decontaminate, quality_rules, sql
 from custodia.llm.common import table
 
 
@@ -16,5 +16,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op6_decontamination": op6_decontamination}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    judged = quality_rules.judged(docs, quality_rules.ratios(docs, trusted, "doc_id", "text"))
+    return judged.select("doc_id", *[c for c in quality_rules.RESULTS if c != "mean_ratio"], "mean_ratio")
+
+
+QUERIES = {"op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules}
 ORACLE = {"op6_decontamination": sql.OP6}
