@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, quality_rules, sql
+from custodia.llm import decontaminate, near_duplicates, quality_rules, sql
 from custodia.llm.common import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("d1", "d2")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -23,5 +27,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[c for c in quality_rules.RESULTS if c != "mean_ratio"], "mean_ratio")
 
 
-QUERIES = {"op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op6_decontamination, op7_quality_rules)}
 ORACLE = {"op6_decontamination": sql.OP6}
