@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, near_duplicates, quality_rules, sql
+from custodia.llm import decontaminate, language, near_duplicates, quality_classifier, quality_rules, sql
 from custodia.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("d1", "d2")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -27,5 +31,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[c for c in quality_rules.RESULTS if c != "mean_ratio"], "mean_ratio")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op6_decontamination, op7_quality_rules)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.scored(docs, table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_language, op6_decontamination, op7_quality_rules, op8_quality)}
 ORACLE = {"op6_decontamination": sql.OP6}
