@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, language, near_duplicates, quality_classifier, quality_rules, sql
+from custodia.llm import decontaminate, language, near_duplicates, quality_classifier, quality_rules, sql, toxicity
 from custodia.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("d1", "d2")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -36,5 +41,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_language, op6_decontamination, op7_quality_rules, op8_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_near_duplicates, op4_toxicity, op5_language, op6_decontamination, op7_quality_rules, op8_quality)
+}
 ORACLE = {"op6_decontamination": sql.OP6}
