@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, language, near_duplicates, quality_classifier, quality_rules, sql, toxicity
+from custodia.llm import decontaminate, html_text, language, near_duplicates, quality_classifier, quality_rules, sql, token_counts, toxicity
 from custodia.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("d1", "d2")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.with_suffix_sums(token_counts.histogram(token_counts.lengths(docs)))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scored(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -41,8 +46,21 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, table(spark, sf_dir, "labels"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_duplicates, op4_toxicity, op5_language, op6_decontamination, op7_quality_rules, op8_quality)
+    for f in (
+        op1_near_duplicates,
+        op3_token_counts,
+        op4_toxicity,
+        op5_language,
+        op6_decontamination,
+        op7_quality_rules,
+        op8_quality,
+        op10_html_text,
+    )
 }
 ORACLE = {"op6_decontamination": sql.OP6}
