@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, html_text, language, near_duplicates, quality_classifier, quality_rules, sql, token_counts, toxicity
+from custodia.llm import decontaminate, html_text, language, mixing, near_duplicates, quality_classifier, quality_rules, sql, token_counts, toxicity
 from custodia.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("d1", "d2")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.with_suffix_sums(token_counts.histogram(token_counts.lengths(docs)))
@@ -54,6 +58,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_near_duplicates,
+        op2_mixing,
         op3_token_counts,
         op4_toxicity,
         op5_language,
