@@ -37,3 +37,7 @@ def union_length(spans: Column) -> Column:
         )
 
     return F.aggregate(F.sort_array(spans), start, step, lambda state: state["covered"])
+
+
+def digest_of(text: str) -> Column:
+    return F.xxhash64(f"`{text}`")

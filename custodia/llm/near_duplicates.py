@@ -37,6 +37,8 @@ ROWS = 5
 #: Leaders that a bucket tests in one of the later rounds, and pairs per member below which the rest is tested at once.
 LEADERS = 4
 PAIRS_PER_MEMBER = 4
+#: Words that are worked on at once.
+PIECE = 1 << 17
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -45,82 +47,104 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def shingles(words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit hashes of the shingles of a text (hashes of its words), and their counts."""
-    words = words.astype(np.uint64)
-    span = min(size, len(words))
-    if not span:
-        return words, words.astype(np.int64)
-    n = len(words) - span + 1
-    h = np.full(n, span, dtype=np.uint64)
-    for k in range(span):
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
-    return np.unique(h, return_counts=True)
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places ``starts[i] ... starts[i] + sizes[i] - 1`` of all texts, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def signature(keys: np.ndarray, counts: np.ndarray, slots: int) -> np.ndarray:
-    """Times of the earliest points of a multiset, one for each slot."""
-    top = int(counts.max()).bit_length() if (counts > 1).any() else 0
-    seed, low, width, weight = [keys], [np.zeros(len(keys))], [np.ones(len(keys))], [counts]
+def shingles(words: np.ndarray, ends: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(owner, key, count)`` of the distinct shingles of many texts, in the order of texts.
+
+    ``words`` has the hashes of all words, text after text; ``ends`` where each text begins and ends. A text of fewer words
+    than ``size`` is one shingle. Keys have 52 bits, so that text and key sort as one number; two shingles of one text are
+    taken for the same with a chance of 2^-52.
+    """
+    n = np.diff(ends)
+    made = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
+    begin = _spread(ends[:-1], made)
+    span = np.repeat(np.minimum(n, size), made).astype(np.uint64)
+    h = _mixed(span)
+    odd = _mixed(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([words.astype(np.uint64), np.zeros(size, dtype=np.uint64)])
+    for k in range(size):
+        step = _mixed(padded[begin + k] + odd[k])  # each place has a mixture of its own
+        h = h + (step if (span > k).all() else np.where(span > k, step, np.uint64(0)))
+    both = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(52), made) | (_mixed(h) >> np.uint64(12))
+    both.sort()
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, dtype=np.int64)
+    count = np.diff(np.append(first, len(both)))
+    return (both[first] >> np.uint64(52)).astype(np.int64), both[first] & np.uint64((1 << 52) - 1), count
+
+
+def signatures(owner: np.ndarray, keys: np.ndarray, counts: np.ndarray, texts: int, slots: int) -> np.ndarray:
+    """Times of the earliest points, a row of ``slots`` for each text; infinite for texts without shingles."""
+    best = np.full(texts * slots, np.inf)
+    weight = np.bincount(owner, weights=counts, minlength=texts)
+    bound = (np.log(slots) + 3.0) / np.maximum(weight, 1)
+    top = int(counts.max()).bit_length() if len(counts) and counts.max() > 1 else 0
+    parts = [(keys, np.zeros(len(keys)), np.ones(len(keys)), counts, owner)]
     for strip in range(1, top + 1):  # strip [2^(strip-1), 2^strip) of the weights
-        base = 1 << (strip - 1)
-        over = counts > base
-        seed.append(_mixed(keys[over] + np.uint64(strip)))
-        low.append(np.full(int(over.sum()), float(base)))
-        width.append(np.full(int(over.sum()), float(base)))
-        weight.append(counts[over])
-    seed, low, width, weight = map(np.concatenate, (seed, low, width, weight))
-    bound = (np.log(slots) + 6.0) / counts.sum()
+        base = float(1 << (strip - 1))
+        over = np.flatnonzero(counts > base)
+        parts.append((_mixed(keys[over] + (np.uint64(strip) << np.uint64(52))), np.full(len(over), base), np.full(len(over), base), counts[over], owner[over]))
+    seed, low, width, most, own = (np.concatenate(column) for column in zip(*parts))
+    seed = _mixed(seed)
     unit = 1.0 / (1 << 53)
-    while True:
-        best = np.full(slots, np.inf)
-        z, at, w, c, t = seed, low, width, weight, np.zeros(len(seed))
+    while len(seed):
+        z, at, w, c, o, t = seed, low, width, most, own, np.zeros(len(seed))
         while len(z):
-            z = _mixed(z + np.uint64(0x9E3779B97F4A7C15))
-            t = t - np.log(((z >> np.uint64(11)) + np.uint64(1)) * unit) / (slots * w)
-            live = t <= bound
-            z, at, w, c, t = z[live], at[live], w[live], c[live], t[live]
+            z = z + np.uint64(0x9E3779B97F4A7C15)
+            u = _mixed(z)
+            t = t - np.log(((u >> np.uint64(11)) + np.uint64(1)) * unit) / (slots * w)
+            live = np.flatnonzero(t <= bound[o])
+            z, at, w, c, o, t = z[live], at[live], w[live], c[live], o[live], t[live]
             place = _mixed(z ^ np.uint64(0xD6E8FEB86659FD93))
-            counted = at + np.floor((place >> np.uint64(32)) * w / (1 << 32)) < c
-            np.minimum.at(best, ((place & np.uint64(0xFFFFFFFF)) % np.uint64(slots)).astype(np.int64)[counted], t[counted])
-        if np.isfinite(best).all():
-            return best
-        bound *= 2
+            slot = o * slots + ((place & np.uint64(0xFFFFFFFF)) % np.uint64(slots)).astype(np.int64)
+            if (c == 1).all():
+                np.minimum.at(best, slot, t)
+            else:
+                counted = at + np.floor((place >> np.uint64(32)) * w / (1 << 32)) < c
+                np.minimum.at(best, slot[counted], t[counted])
+        # a text with an empty slot is made again up to a later bound; its points so far come out the same
+        open_text = ~np.isfinite(best.reshape(texts, slots)).all(axis=1) & (weight > 0)
+        bound = bound * 2
+        again = np.flatnonzero(open_text[own])
+        seed, low, width, most, own = seed[again], low[again], width[again], most[again], own[again]
+    return best.reshape(texts, slots)
 
 
 def band_values(best: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    parts = best.view(np.uint64).reshape(bands, rows)
-    value = np.arange(bands, dtype=np.uint64)
+    parts = best.view(np.uint64).reshape(len(best), bands, rows)
+    value = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(best), bands))
     for k in range(rows):
-        value = _mixed(value * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
+        value = _mixed(value * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return value.view(np.int64)
 
 
-def members_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The multiset as a set: one number for each copy of a shingle."""
-    copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return _mixed(np.repeat(keys, counts) + copy.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-
-
-def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
-    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    for i in range(len(column)):
-        yield values[ends[i] : ends[i + 1]]
-
-
-def _as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=pa.int64()))
+def members_of(owner: np.ndarray, keys: np.ndarray, counts: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The multisets as sets, one number for each copy of a shingle, and how many each text has."""
+    copy = _spread(np.zeros(len(counts), dtype=np.int64), counts).astype(np.uint64)
+    made = _mixed(np.repeat(keys, counts) + copy * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    return made, np.bincount(owner, weights=counts, minlength=texts).astype(np.int64)
 
 
 def _with_list(batches: Iterator[pa.RecordBatch], name: str, made) -> Iterator[pa.RecordBatch]:
-    """Replace the column of word hashes by what ``made`` gives for each row; a few hundred rows leave at a time."""
+    """Replace the column of word hashes by the lists that ``made(words, ends)`` gives (values and their numbers)."""
     for whole in batches:
-        for start in range(0, whole.num_rows, 256):
-            batch = whole.slice(start, 256)
+        words = np.diff(whole.column(whole.schema.get_field_index("h")).offsets.to_numpy()).cumsum()
+        start = 0
+        while start < whole.num_rows:  # about PIECE words at once, one text at least
+            before = words[start - 1] if start else 0
+            stop = min(max(int(np.searchsorted(words, before + PIECE)), start + 1), start + 512, whole.num_rows)
+            batch = whole.slice(start, stop - start)
+            start = stop
             at = batch.schema.get_field_index("h")
-            column = _as_lists([made(h) for h in _lists(batch.column(at))])
+            lists = batch.column(at)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            values, sizes = made(lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            column = pa.ListArray.from_arrays(offsets, pa.array(values, type=pa.int64()))
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in kept], column], names=[*[batch.schema.names[i] for i in kept], name]
@@ -129,24 +153,28 @@ def _with_list(batches: Iterator[pa.RecordBatch], name: str, made) -> Iterator[p
 
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     hashes = F.transform(plain_words(F.col(f"`{text}`")), lambda w: F.xxhash64(w))
-    read = docs.select(F.col(f"`{doc_id}`").alias("id"), hashes.alias("h"))
+    read = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(f"`{text}`").alias("digest"), hashes.alias("h"))
     return read.withColumns({"d1": F.xxhash64("h"), "d2": F.xxhash64(F.lit(17), "h")})
 
 
 def banded(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """``(row, id, d1, d2, n, bands)``: number of shingles, digest of the words, and band values (null without words)."""
+    """``(row, id, digest, d1, d2, n, bands)``: digest of the text, of its words, number of shingles, and band values (none without words)."""
     read = _hashed(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id())
     n = F.when(F.size("h") > 0, F.greatest(F.size("h") - size + 1, F.lit(1))).otherwise(0).cast("bigint")
-    read = read.select("row", "id", "d1", "d2", n.alias("n"), "h")
+    read = read.select("row", "id", "digest", "d1", "d2", n.alias("n"), "h")
 
     def work(batches):
-        def made(h):
-            return band_values(signature(*shingles(h, size), bands * rows), bands, rows) if len(h) else np.zeros(0, dtype=np.int64)
+        def made(words, ends):
+            texts = len(ends) - 1
+            owner, keys, counts = shingles(words, ends, size)
+            values = band_values(signatures(owner, keys, counts, texts, bands * rows), bands, rows)
+            filled = np.bincount(owner, minlength=texts) > 0
+            return values[filled].ravel(), filled * bands
 
         return _with_list(batches, "bands", made)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return read.mapInArrow(work, f"row bigint, id {kind}, d1 bigint, d2 bigint, n bigint, bands array<bigint>")
+    return read.mapInArrow(work, f"row bigint, id {kind}, digest bigint, d1 bigint, d2 bigint, n bigint, bands array<bigint>")
 
 
 def _multisets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -156,7 +184,7 @@ def _multisets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataF
     read = read.groupBy("d1", "d2").agg(F.first("h").alias("h")).join(wanted, ["d1", "d2"]).select("rep", "h")
 
     def work(batches):
-        return _with_list(batches, "members", lambda h: members_of(*shingles(h, size)))
+        return _with_list(batches, "members", lambda words, ends: members_of(*shingles(words, ends, size), len(ends) - 1))
 
     return read.mapInArrow(work, "rep bigint, members array<bigint>")
 
@@ -176,7 +204,7 @@ def _in_reach(similarity: float):
 
 
 def linked(members: DataFrame, verify, similarity: float) -> DataFrame:
-    """All verified links ``(a, b)`` that the classes of ``members (bucket, rep, n)`` need.
+    """``(node, root)`` of the classes of ``members (bucket, rep, n)``; texts without a link have no row.
 
     ``verify`` takes distinct pairs ``(a, b)`` with ``a < b`` and gives those that are similar.
     """
@@ -186,8 +214,11 @@ def linked(members: DataFrame, verify, similarity: float) -> DataFrame:
     first = first.join(sizes, "a").filter(_in_reach(similarity)).select("a", "b")
     links = checkpointed(verify(first))
     rest = members
+    done = False
     while True:
         root = components(links)
+        if done:
+            return root
         rest = rest.select("bucket", "rep", "n").join(root.withColumnRenamed("node", "rep"), "rep", "left")
         rest = checkpointed(rest.withColumn("class", F.coalesce("root", "rep")).drop("root"))
         per_class = checkpointed(rest.groupBy("bucket", "class").agg(F.count("*").alias("own")))
@@ -195,7 +226,7 @@ def linked(members: DataFrame, verify, similarity: float) -> DataFrame:
         mixed = checkpointed(per_bucket.filter("classes > 1").withColumn("open", (F.col("all") * F.col("all") - F.col("squares")) / 2))
         still, held = mixed.agg(F.sum("open"), F.sum("all")).first()
         if not still:
-            return links
+            return root
         rest = checkpointed(rest.join(mixed.select("bucket"), "bucket", "left_semi"))
         per_class = per_class.join(mixed.select("bucket"), "bucket", "left_semi")
         if still <= PAIRS_PER_MEMBER * held:
@@ -213,11 +244,8 @@ def linked(members: DataFrame, verify, similarity: float) -> DataFrame:
             chosen = checkpointed(chosen.join(owners, ["bucket", "other"]))
             pairs = rest.join(chosen, "bucket").filter("class <> other_class")
             rest = checkpointed(rest.join(chosen.select("bucket", F.col("other").alias("rep")), ["bucket", "rep"], "left_anti"))
-            done = False
         pairs = pairs.filter(_in_reach(similarity)).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         links = checkpointed(links.unionByName(verify(pairs)))
-        if done:
-            return links
 
 
 def near_duplicates(
@@ -229,10 +257,9 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row for each document: ``doc_id, n_shingles, class_id, class_size, kept, d1, d2``.
+    """One row for each document: ``doc_id, n_shingles, class_id, class_size, kept, digest``.
 
-    ``class_id`` is the smallest id of the class, ``kept`` holds for one document of each class, ``d1`` and ``d2`` are a
-    digest of the words.
+    ``class_id`` is the smallest id of the class, ``kept`` holds for one document of each class, ``digest`` is a hash of the text.
     """
     scanned = checkpointed(banded(docs, doc_id, text, size, bands, rows))
     groups = checkpointed(scanned.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
@@ -243,10 +270,9 @@ def near_duplicates(
     members = checkpointed(buckets.join(full, "bucket"))
     wanted = groups.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "d1", "d2")
     sets = checkpointed(_multisets(docs, doc_id, text, size, checkpointed(wanted)))
-    links = linked(members, lambda pairs: _similar(pairs, sets, similarity), similarity)
-    roots = components(links).withColumnRenamed("node", "rep")
+    roots = linked(members, lambda pairs: _similar(pairs, sets, similarity), similarity).withColumnRenamed("node", "rep")
     classes = checkpointed(groups.join(roots, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root")))
-    own = scanned.select("row", "id", "d1", "d2", "n")
+    own = scanned.select("row", "id", "digest", "d1", "d2", "n")
     placed = own.filter("n > 0").join(classes, ["d1", "d2"]).unionByName(own.filter("n = 0").withColumn("root", F.col("row")))
     placed = checkpointed(placed)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
@@ -257,6 +283,5 @@ def near_duplicates(
         F.col("first.id").alias("class_id"),
         "class_size",
         (F.col("first.row") == F.col("row")).alias("kept"),
-        "d1",
-        "d2",
+        "digest",
     )

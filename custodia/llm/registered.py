@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, html_text, language, mixing, near_duplicates, quality_classifier, quality_rules, sql, token_counts, toxicity
+from custodia.llm import decontaminate, html_text, language, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sql, token_counts, toxicity
 from custodia.llm.common import table
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("d1", "d2")
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(docs, table(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = line_dedup.line_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counts.withColumn("removed", F.array_join("removed", ","))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -65,7 +70,8 @@ QUERIES = {
         op6_decontamination,
         op7_quality_rules,
         op8_quality,
+        op9_line_dedup,
         op10_html_text,
     )
 }
-ORACLE = {"op6_decontamination": sql.OP6}
+ORACLE = {"op6_decontamination": sql.OP6, "op9_line_dedup": sql.OP9}

@@ -20,3 +20,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+# levenshtein() counts bytes, so letters of more than one byte become control characters first.
+OP9 = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS n, line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+  WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*')),
+t AS (
+  SELECT line, min(doc_id::HUGEINT * 2147483648 + n) AS place, length(line) AS size,
+    translate(line, 'äöüßÄÖÜéèêçÉÈÊÇñóíÑÓÍâáúîôû', array_to_string(list_transform([1,2,3,4,5,6,7,8,14,15,16,17,18,19,20,21,22,23,24,25,26,27,28,29,30,31,11], lambda c: chr(c)), '')) AS flat,
+    list_transform(['e','a','o','i','t','n','s','r','d','u',' ','h','l'], lambda c: length(line) - length(replace(line, c, ''))) AS bag
+  FROM l GROUP BY line),
+near AS (
+  SELECT DISTINCT a.line FROM t a JOIN t b ON b.size BETWEEN a.size - 2 AND a.size + 2
+  WHERE a.size >= 24 AND b.size >= 24 AND b.place < a.place
+    AND list_sum(list_transform(list_zip(a.bag, b.bag), lambda z: abs(z[1] - z[2]))) <= 4 AND levenshtein(a.flat, b.flat) <= 2),
+g AS (
+  SELECT l.doc_id, l.n, l.doc_id::HUGEINT * 2147483648 + l.n > t.place AS repeated
+  FROM l JOIN t USING (line) LEFT JOIN near USING (line) WHERE l.doc_id::HUGEINT * 2147483648 + l.n > t.place OR near.line IS NOT NULL),
+c AS (SELECT doc_id, count(*) FILTER (WHERE repeated) AS n_repeated, count(*) FILTER (WHERE NOT repeated) AS n_near, string_agg(n, ',' ORDER BY n) AS removed FROM g GROUP BY 1),
+k AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_near, 0) AS n_near, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

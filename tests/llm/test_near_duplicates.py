@@ -95,11 +95,26 @@ def test_signatures_are_unbiased():
         a = dict(zip(keys[:40].tolist(), rng.integers(1, 20, 40).tolist()))
         b = {k: max(1, a.get(k, 3) + int(d)) for k, d in zip(keys[6:].tolist(), rng.integers(-3, 4, 44))}
         true = sum(min(a.get(k, 0), b.get(k, 0)) for k in a | b) / sum(max(a.get(k, 0), b.get(k, 0)) for k in a | b)
-        made = [near_duplicates.signature(np.array(list(m), dtype=np.uint64), np.array(list(m.values())), 2000) for m in (a, b)]
-        errors.append((made[0] == made[1]).mean() - true)
+        owner = np.repeat([0, 2], [len(a), len(b)])
+        made = near_duplicates.signatures(owner, np.array([*a, *b], dtype=np.uint64), np.array([*a.values(), *b.values()]), 3, 2000)
+        assert np.isinf(made[1]).all() and np.isfinite(made[[0, 2]]).all()
+        errors.append((made[0] == made[2]).mean() - true)
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.03
 
 
+def test_shingles_of_many_texts():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 4, n) for n in (0, 1, 3, 4, 5, 9, 0, 40, 200)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    owner, keys, counts = near_duplicates.shingles(np.concatenate(texts), ends)
+    for i, t in enumerate(texts):
+        size = min(5, len(t))
+        own = Counter(tuple(t[j : j + size]) for j in range(len(t) - size + 1)) if size else Counter()
+        assert sorted(counts[owner == i]) == sorted(own.values())
+    alone = [near_duplicates.shingles(t, np.array([0, len(t)]))[1].tolist() for t in texts]
+    assert [keys[owner == i].tolist() for i in range(len(texts))] == alone
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + rng.randrange(1, 50)) for _ in range(80)] + [(7, 7), (None, 3), (200, 100)]
