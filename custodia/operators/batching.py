@@ -40,11 +40,11 @@ def plan_batches(
     if max_bytes <= 0 or max_files <= 0:
         raise ValueError("max_bytes and max_files must be positive")
     by = [F.col(path)] if ranges is None else [ranges, F.col(path)]
-    ordered = files.repartitionByRange(*by).sortWithinPartitions(path)
+    ordered = files.repartitionByRange(*by).sortWithinPartitions(path, size)
     ordered = checkpointed(ordered.withColumn("part", F.spark_partition_id()))
-    too_big = ordered.filter(F.col(size) > max_bytes).select(path).first()
-    if too_big is not None:
-        raise ValueError(f"{too_big[0]} is larger than max_bytes")
+    refused = ordered.filter(F.col(size).isNull() | (F.col(size) < 0) | (F.col(size) > max_bytes)).select(path, size).first()
+    if refused is not None:
+        raise ValueError(f"{refused[0]}: size {refused[1]} is not between 0 and max_bytes")
 
     reports = ordered.select("part", F.col(size).cast("bigint").alias("size")).mapInPandas(
         lambda batches: _report(batches, max_bytes, max_files), REPORT

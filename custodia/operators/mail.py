@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import email
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -89,10 +90,10 @@ def extract_attachments(raw: DataFrame, ident: str = "path", content: str = "con
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["message_id", "sender", "recipients", "subject", "header_id", "date", "has_content", "parse_ok", "attachments"]
     for batch in batches:
-        rows = [_parse_one(ident, data) for ident, data in zip(batch["message_id"], batch["content"])]
-        names = ["message_id", "sender", "recipients", "subject", "header_id", "date", "has_content", "parse_ok", "attachments"]
-        yield pd.DataFrame(rows, columns=names)
+        for some in batched(zip(batch["message_id"], batch["content"]), 16):  # a few messages leave at a time
+            yield pd.DataFrame([_parse_one(ident, data) for ident, data in some], columns=names)
 
 
 def _parse_one(ident: str, data: bytes | None) -> tuple:

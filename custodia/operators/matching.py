@@ -31,12 +31,14 @@ def match_hits(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Hits joined to the files of their batch: by exact relative path, else by base name.
 
     ``hits`` has ``batch, hit_id, file_key``; ``files`` has ``batch, relative_path`` and more. With
-    several files of one base name the first by path is taken; hits of unknown files are dropped.
+    several files of one base name the first by path is taken; hits of unknown files are dropped. A path that
+    is listed twice in a batch is one file.
 
     The second join has a key of its own, so its shuffle is not the aggregate's and AQE can split a
     base name that most hits share; hits that found their path go through it under their own id.
     """
-    named = files.select("batch", F.struct(*[c for c in files.columns if c != "batch"]).alias("file"))
+    whole = F.max(F.struct(*[c for c in files.columns if c != "batch"])).alias("file")
+    named = files.groupBy("batch", "relative_path").agg(whole).select("batch", "file")
     exact = named.withColumn("file_key", F.col("file.relative_path"))
     tried = hits.join(exact, ["batch", "file_key"], "left")
 

@@ -70,7 +70,10 @@ class CatalogSync:
 def catalog_sync(
     files: DataFrame, classifications: DataFrame, existing: DataFrame, tenant: str, link_base: str, limit: int = 0
 ) -> CatalogSync:
-    """One cycle: entities of labels and datasources, edges, lineage, and the names to delete."""
+    """One cycle: entities of labels and datasources, edges, lineage, and the names to delete.
+
+    ``limit`` tries the cycle on a few labels; what is stale is told from all of them.
+    """
     labels = catalog.select_labels(classifications, limit)
     pairs = catalog.label_datasources(files, labels)
     datasources = catalog.unique_datasources(pairs)
@@ -80,7 +83,7 @@ def catalog_sync(
         datasources=catalog.datasource_entities(datasources, tenant),
         edges=catalog.has_edges(pairs, labels, tenant),
         processes=catalog.lineage_rows(pairs, labels, datasources, tenant, link_base),
-        stale=catalog.stale(existing, entities, tenant),
+        stale=catalog.stale(existing, catalog.label_entities(catalog.select_labels(classifications), tenant, link_base), tenant),
     )
 
 

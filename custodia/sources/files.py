@@ -23,24 +23,14 @@ def volume_root(base: str, catalog: str, schema: str, volume: str, prefix: str |
 def list_files(spark: SparkSession, root: str, prefix: str | None = None) -> DataFrame:
     """Every file below ``root``, with its path relative to it, size and change time in seconds.
 
-    Addresses with a scheme (object stores) are listed by Spark's file source, which leaves out
-    names that begin with ``.`` or ``_``. Mounted folders are read inside tasks, and nothing
-    is left out but folders that may not be read.
+    Folders are read inside tasks, level by level. Nothing is left out, whatever its name and however the address
+    is spelled, but what may not be read and links that lead back up their own path. Addresses with a scheme are read
+    through the file system it names.
     """
     start = root if not prefix else f"{root.rstrip('/')}/{prefix.strip('/')}"
-    return _listed(spark, start) if "://" in start else _walked(spark, start)
-
-
-def _listed(spark: SparkSession, start: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(start)
-    one_slash = r"^([^:/]+):/+", "$1:/"  # file:/x and file:///x name the same place
-    home = F.length(F.regexp_replace(F.lit(start.rstrip("/") + "/"), *one_slash))
-    return files.select(
-        F.col("path").alias("absolute_path"),
-        F.regexp_replace("path", *one_slash).substr(home + 1, F.length("path")).alias("relative_path"),
-        F.col("length").alias("size_bytes"),
-        F.unix_seconds("modificationTime").alias("modification_time"),
-    )
+    if start.startswith("file:"):
+        start = "/" + start.removeprefix("file:").lstrip("/")
+    return _walked(spark, start)
 
 
 def _walked(spark: SparkSession, start: str) -> DataFrame:
@@ -70,16 +60,42 @@ def _scanner(start: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
 
 
 def _entries(folder: str, start: str) -> Iterator[tuple[bool, str, str, int, int]]:
+    yield from _remote_entries(folder, start) if "://" in folder else _local_entries(folder, start)
+
+
+def _remote_entries(folder: str, start: str) -> Iterator[tuple[bool, str, str, int, int]]:
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(folder)
+    home = fs.FileSystem.from_uri(start)[1].rstrip("/") + "/"
+    site = folder.removesuffix(inner.rstrip("/")) if folder.rstrip("/").endswith(inner.rstrip("/")) else folder[: folder.index("://") + 3]
+    for child in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+        if child.type == fs.FileType.Directory:
+            yield True, site + child.path, "", 0, 0
+        elif child.type == fs.FileType.File:
+            changed = int((child.mtime_ns or 0) // 1_000_000_000)
+            yield False, site + child.path, child.path.removeprefix(home), child.size, changed
+
+
+def _local_entries(folder: str, start: str) -> Iterator[tuple[bool, str, str, int, int]]:
     try:
-        children = os.scandir(folder)
-    except (PermissionError, FileNotFoundError, NotADirectoryError):
+        children = list(os.scandir(folder))
+    except OSError:
         return
+    # a link up the tree, or to the real place of a folder on the way here, would never end
     here = os.path.realpath(folder) + os.sep
+    above, steps = {os.path.realpath(start)}, os.path.relpath(folder, start).split(os.sep)
+    for depth in range(1, len(steps) + 1):
+        above.add(os.path.realpath(os.path.join(start, *steps[:depth])))
     for child in children:
-        if child.is_dir():
-            if not here.startswith(os.path.realpath(child.path) + os.sep):  # a link back up the tree
-                yield True, child.path, "", 0, 0
-        elif child.is_file():
-            stat = child.stat()
-            relative = os.path.relpath(child.path, start).replace(os.sep, "/")
-            yield False, child.path, relative, stat.st_size, int(stat.st_mtime)
+        try:
+            if child.is_dir():
+                place = os.path.realpath(child.path)
+                if place not in above and not here.startswith(place + os.sep):
+                    yield True, child.path, "", 0, 0
+            elif child.is_file():
+                stat = child.stat()
+                relative = os.path.relpath(child.path, start).replace(os.sep, "/")
+                yield False, child.path, relative, stat.st_size, int(stat.st_mtime)
+        except OSError:  # gone meanwhile, or a link that can't be followed
+            continue

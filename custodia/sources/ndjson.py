@@ -9,23 +9,23 @@ from pyspark.sql.types import StructType
 from ..functions import wire
 from ..functions.values import field, variant_int
 
-CORRUPT = "_corrupt_record"
-
 
 def read_ndjson(
     spark: SparkSession, path: str, schema: StructType | str | None = None, cap: int | None = None
 ) -> DataFrame:
     """Records of a line-delimited JSON export; blank and non-JSON lines are skipped.
 
-    Without a schema each row is one open ``record`` VARIANT; with one, typed columns. ``cap``
-    stops after that many valid records.
+    Without a schema each row is one open ``record`` VARIANT; with one, typed columns, and a field of another
+    type is NULL while its record stays. ``cap`` stops after that many valid records, whichever are read first.
     """
     if cap is not None and cap < 1:
         raise ValueError("cap must be at least 1")
     if schema is None:
         rows = _parsed_lines(spark, path).filter("record IS NOT NULL").select("record")
     else:
-        rows = _typed(spark, path, schema).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        valid = _parsed_lines(spark, path).filter("record IS NOT NULL")
+        rows = valid.select(F.from_json("line", wanted, {"mode": "PERMISSIVE"}).alias("typed")).select("typed.*")
     return rows if cap is None else rows.limit(cap)
 
 
@@ -39,12 +39,6 @@ def _parsed_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("record", F.try_parse_json("line"))
 
 
-def _typed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    with_bad = StructType(list(wanted.fields)).add(CORRUPT, "string")
-    return spark.read.schema(with_bad).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-
-
 def project_file_records(records: DataFrame, record: str = "record") -> DataFrame:
     """Typed scalars, nested fields as ``<field>_json`` and the whole record as ``raw_json``.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,13 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import labels, mail
+from ..session import checkpointed
 from ..sources import tables
 
 log = logging.getLogger(__name__)
 
+LABEL_COLUMNS = ["message_id", "att_pos", "hit_pos", "label_pos", "name"]
+LABELS = "message_id string, att_pos int, hit_pos int, label_pos int, name string"
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -40,12 +44,12 @@ def route_stream(
 
 
 def sync_stream(
-    rows: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, failures: str, buckets: int = 64, every: str | None = "60 seconds"
+    rows: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, failures: str, buckets: int | None = None, every: str | None = "60 seconds"
 ) -> StreamingQuery:
     """Upsert each batch into a keyed table, the last row per key by ``order``.
 
-    A cycle that fails is logged, its rows go to ``failures`` with the error, and the next cycle
-    runs. An upsert done twice after a restart gives the same table.
+    A cycle that fails repeatedly is logged, its rows go to ``failures`` with the error, and the next cycle
+    runs (``replay`` takes them up again). An upsert done twice after a restart gives the same table.
     """
 
     def cycle(batch: DataFrame) -> None:
@@ -55,22 +59,29 @@ def sync_stream(
 
 
 def each_cycle(
-    rows: DataFrame, cycle: Callable[[DataFrame], None], checkpoint: str, failures: str, every: str | None = "60 seconds"
+    rows: DataFrame, cycle: Callable[[DataFrame], None], checkpoint: str, failures: str, every: str | None = "60 seconds", attempts: int = 3
 ) -> StreamingQuery:
-    """Run ``cycle`` on every batch; a failing one is logged and kept in ``failures``."""
+    """Run ``cycle`` on every batch, up to ``attempts`` times; one that still fails is logged and kept in ``failures``."""
 
     def guarded(batch: DataFrame, number: int) -> None:
-        try:
-            cycle(batch)
-        except Exception as error:
-            log.exception("cycle %d failed", number)
-            failed = batch.withColumn("error", F.lit(str(error)[:500])).withColumn("cycle", F.lit(number))
-            writer = failed.write.mode("overwrite").partitionBy("cycle")
-            writer.option("partitionOverwriteMode", "dynamic").parquet(failures)
+        for left in reversed(range(attempts)):
+            try:
+                return cycle(batch)
+            except Exception as error:
+                log.exception("cycle %d failed, %d attempts left", number, left)
+                last = str(error)[:500]
+        failed = batch.withColumn("error", F.lit(last)).withColumn("cycle", F.lit(number))
+        writer = failed.write.mode("overwrite").partitionBy("cycle")
+        writer.option("partitionOverwriteMode", "dynamic").parquet(failures)
 
     return _start(rows.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint), every)
 
 
+def replay(spark: SparkSession, failures: str, cycle: Callable[[DataFrame], None]) -> None:
+    """Run ``cycle`` once more on the rows of failed cycles. They stay listed; a keyed upsert may see them again."""
+    cycle(spark.read.parquet(failures).drop("error", "cycle"))
+
+
 def mail_gate_stream(
     spark: SparkSession,
     folder: str,
@@ -79,20 +90,24 @@ def mail_gate_stream(
     out: str,
     checkpoint: str,
     every: str | None = None,
+    per_batch: int = 500,
+    attempts: int = 100,
 ) -> StreamingQuery:
-    """Verdicts for mail files that arrive in a folder.
+    """Verdicts for mail files that arrive in a folder, at most ``per_batch`` at a time.
 
     ``classify`` turns attachments (message_id, att_pos, filename, content) into labels
-    (message_id, att_pos, hit_pos, label_pos, name). If it cannot be run, mail passes and the
-    verdicts say so. The verdicts of one batch are one partition, so a batch that runs again
-    replaces its own.
+    (message_id, att_pos, hit_pos, label_pos, name). Attachments it can't classify pass, and the verdicts say so;
+    see ``classified``. The verdicts of one batch replace those of an earlier run of it.
     """
-    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", "*.eml").load(folder)
+    source = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", per_batch)
+    files = source.option("pathGlobFilter", "*.eml").load(folder)
 
     def gate(batch: DataFrame, number: int) -> None:
         parsed = mail.parse_messages(batch).persist()
         try:
-            verdicts = _verdicts(parsed, classify, blocked).withColumn("batch", F.lit(number))
+            found = parsed.select("message_id", F.inline("attachments")).withColumnRenamed("pos", "att_pos")
+            named, failed = classified(found, classify, attempts)
+            verdicts = mail.mail_gate(parsed.drop("attachments"), failed, named, blocked).withColumn("batch", F.lit(number))
             writer = verdicts.write.mode("overwrite").partitionBy("batch")
             writer.option("partitionOverwriteMode", "dynamic").parquet(out)
         finally:
@@ -101,13 +116,28 @@ def mail_gate_stream(
     return _start(files.writeStream.foreachBatch(gate).option("checkpointLocation", checkpoint), every)
 
 
-def _verdicts(parsed: DataFrame, classify: Callable[[DataFrame], DataFrame], blocked: DataFrame) -> DataFrame:
-    found = parsed.select("message_id", F.inline("attachments")).withColumnRenamed("pos", "att_pos")
-    try:
-        named, failed = classify(found), False
-    except Exception:
-        log.exception("classification failed, mail passes")
-        empty = "message_id string, att_pos int, hit_pos int, label_pos int, name string"
-        named, failed = found.sparkSession.createDataFrame([], empty), True
-    listed = found.select("message_id", "att_pos", "filename", F.lit(failed).alias("classification_error"))
-    return mail.mail_gate(parsed.drop("attachments"), listed, named, blocked)
+def classified(found: DataFrame, classify: Callable[[DataFrame], DataFrame], attempts: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Labels of the attachments, and the attachments with ``classification_error``.
+
+    The classifier's result is computed here, so that a failure while it runs is seen. A part that fails is halved by
+    hash until single attachments fail; when ``attempts`` are used up, what is left in failing parts counts as failed.
+    """
+    spark, half = found.sparkSession, F.xxhash64("message_id", "att_pos")
+    good, bad, open_parts = [], [], [(0, 0)]  # (bits, value): attachments whose hash ends with these bits
+    while open_parts:
+        bits, value = open_parts.pop(0)
+        mine = half.bitwiseAND(F.lit((1 << bits) - 1)) == value
+        try:
+            if attempts <= 0:
+                raise RuntimeError("no attempts left")
+            attempts -= 1
+            good.append(checkpointed(classify(found.filter(mine)).select(*LABEL_COLUMNS)))
+        except Exception:
+            log.exception("classification failed")
+            if attempts > 0 and bits < 62 and len(found.filter(mine).select("message_id").take(2)) > 1:
+                open_parts += [(bits + 1, value), (bits + 1, value | 1 << bits)]
+            else:
+                bad.append(mine)
+    named = reduce(DataFrame.unionByName, good) if good else spark.createDataFrame([], LABELS)
+    failed = reduce(lambda a, b: a | b, bad, F.lit(False))
+    return named, found.select("message_id", "att_pos", "filename", failed.alias("classification_error"))

@@ -30,8 +30,9 @@ def test_known_plans(spark):
 
 
 def test_limits(spark):
-    with pytest.raises(ValueError, match="larger than"):
-        packed(spark, [50], 10, 2)
+    for sizes in ([50], [8, None, 8], [-1]):
+        with pytest.raises(ValueError, match="between 0 and max_bytes"):
+            packed(spark, sizes, 10, 2)
     for limits in ((0, 1), (1, 0), (-1, 1)):
         with pytest.raises(ValueError, match="positive"):
             packed(spark, [1], *limits)

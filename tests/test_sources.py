@@ -30,6 +30,8 @@ def test_ndjson_skips_blank_and_bad_lines(spark, export):
     assert rows(ndjson.read_bad_lines(spark, export)) == [("not json",), ("{broken",)]
     typed = ndjson.read_ndjson(spark, export, "fileName string, size bigint")
     assert rows(typed) == [("", None), ("a", 5)]
+    mistyped = ndjson.read_ndjson(spark, export, "fileName string, scanDepth int")
+    assert rows(mistyped) == [("", None), ("a", None)]
     with pytest.raises(ValueError):
         ndjson.read_ndjson(spark, export, cap=0)
 
@@ -75,9 +77,14 @@ def test_list_files(spark, tmp_path):
     (root / "a").write_bytes(b"12345")
     (root / "nested" / "b").write_bytes(b"1")
     (root / "nested" / "deep" / ".hidden").write_bytes(b"")
-    by_spark = files.list_files(spark, f"file://{root}").select("relative_path", "size_bytes")
-    assert rows(by_spark) == [("a", 5), ("nested/b", 1)]
     (root / "nested" / "back").symlink_to(root)
+    (root / "one").mkdir()
+    (root / "two").mkdir()
+    (root / "one" / "other").symlink_to(root / "two")
+    (root / "two" / "other").symlink_to(root / "one")
+    (root / "gone").symlink_to(root / "nowhere")
+    by_address = files.list_files(spark, f"file://{root}").select("relative_path", "size_bytes")
+    assert rows(by_address) == [("a", 5), ("nested/b", 1), ("nested/deep/.hidden", 0)]
     got = rows(files.list_files(spark, str(root)).select("relative_path", "size_bytes"))
     assert got == [("a", 5), ("nested/b", 1), ("nested/deep/.hidden", 0)]
     scoped = files.list_files(spark, str(root), "nested").select("relative_path", "modification_time")
@@ -113,23 +120,24 @@ def test_register_table(spark, tmp_path):
     spark.sql(f"DROP TABLE {name}")
     for bad in ("a.b", "a.b.c.d", "a..c", ""):
         with pytest.raises(ValueError):
-            tables.quoted_identifier(bad)
+            tables.table_name(spark, bad)
+    assert tables.table_name(spark, "a.`b.c`.d") == "`a`.`b.c`.`d`"
 
 
 def test_metadata_table_contract(spark):
     schema = tables.metadata_schema()
     assert len(schema) == 34 and schema["parent_paths"].dataType.simpleString() == "array<string>"
     actual = StructType.fromDDL("file_path string, file_size int, extra string")
-    problems = tables.check_schema(actual, StructType.fromDDL("file_path string not null, file_size bigint, job_id string"))
-    assert problems == ["Missing columns: job_id", "Type mismatches: file_size (expected bigint, found int)"]
-    assert tables.check_schema(schema, schema) == []
+    found = tables.schema_differences(actual, StructType.fromDDL("file_path string not null, file_size bigint, job_id string"))
+    assert found == [("file_size", "bigint", "int"), ("job_id", "string", None)]
+    assert tables.schema_differences(schema, schema) == []
     name = "spark_catalog.default.custodia_meta"
     tables.ensure_table(spark, name, drop=True)
     tables.ensure_table(spark, name)
     assert spark.table(name).count() == 0
     spark.sql(f"DROP TABLE {name}")
     spark.sql(f"CREATE TABLE {name} (file_path STRING) USING parquet")
-    with pytest.raises(ValueError, match="Missing columns"):
+    with pytest.raises(ValueError, match="relative_path is not there"):
         tables.ensure_table(spark, name)
     spark.sql(f"DROP TABLE {name}")
 
@@ -150,16 +158,38 @@ def test_upsert_twice_changes_nothing(spark, tmp_path):
     assert tables.merge_upsert(second, path, ["k"], 4)
     assert sorted(rows(tables.read_keyed(spark, path))) == want
     assert not tables.merge_upsert(second.limit(0), path, ["k"], 4)
+    assert tables.merge_upsert(second, path, ["k"]) and sorted(rows(tables.read_keyed(spark, path))) == want
+    for keys, buckets in ((["k"], 8), (["v"], None)):
+        with pytest.raises(ValueError):
+            tables.merge_upsert(second, path, keys, buckets)
+
+
+def test_crash_before_the_switch_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    path, root = str(tmp_path / "keyed"), str(tmp_path / "loads")
+    df = spark.range(20).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    tables.merge_upsert(df, path, ["k"], 4)
+    tables.full_refresh({"d": df}, root)
+    real = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: (_ for _ in ()).throw(RuntimeError("lost")))
+    for load in (lambda: tables.merge_upsert(df.withColumn("v", F.lit("new")), path, ["k"], 4), lambda: tables.full_refresh({"d": df.limit(3)}, root)):
+        with pytest.raises(RuntimeError):
+            load()
+    monkeypatch.setattr(type(spark), "createDataFrame", real)
+    assert rows(tables.read_keyed(spark, path).groupBy("v").count()) == [("old", 20)]
+    assert tables.read_current(spark, root, "d").count() == 20
+    assert tables.merge_upsert(df.withColumn("v", F.lit("new")), path, ["k"], 4)
+    assert rows(tables.read_keyed(spark, path).groupBy("v").count()) == [("new", 20)]
 
 
 def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
     path = tmp_path / "keyed"
     df = spark.range(100).select(F.col("id").alias("k"), F.lit("v").alias("v"))
     tables.merge_upsert(df, str(path), ["k"], 8)
-    before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    before = {p: p.stat().st_mtime_ns for p in (path / "data").rglob("*.parquet")}
     tables.merge_upsert(df.filter("k = 5"), str(path), ["k"], 8)
-    after = {p for p in path.rglob("*.parquet")}
-    assert len({p.parent for p in before.keys() - after}) == 1
+    after = {p: p.stat().st_mtime_ns for p in (path / "data").rglob("*.parquet")}
+    assert before.items() <= after.items() and len({p.parent for p in after.keys() - before.keys()}) == 1
+    assert tables.read_keyed(spark, str(path)).count() == 100
 
 
 def test_full_refresh(spark, tmp_path):
@@ -167,4 +197,4 @@ def test_full_refresh(spark, tmp_path):
     for n in (1, 2, 3):
         tables.full_refresh({"d": spark.range(n), "c": spark.range(2 * n)}, root)
         assert tables.read_current(spark, root, "d").count() == n and tables.read_current(spark, root, "c").count() == 2 * n
-    assert sorted(os.listdir(tmp_path / "r")) == ["a", "b", "current"]
+    assert sorted(os.listdir(tmp_path / "r")) == ["current", "loads"]

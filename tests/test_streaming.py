@@ -56,6 +56,8 @@ def test_polled_sync_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
     run()
     assert rows(tables.read_keyed(spark, target)) == [("a", 2, "y"), ("b", 5, "new")]
     assert rows(spark.read.parquet(failures), "k", "error") == [("c", "no catalog")]
+    streams.replay(spark, failures, lambda batch: tables.merge_upsert(batch, target, ["k"]))
+    assert rows(tables.read_keyed(spark, target)) == [("a", 2, "y"), ("b", 5, "new"), ("c", 1, "lost?")]
 
 
 def test_mail_gate_over_a_folder(spark, tmp_path):
@@ -93,3 +95,24 @@ def test_mail_gate_over_a_folder(spark, tmp_path):
     assert got["bad.eml"] == (550, "550 Blocked - Financial data found in plan.txt", False)
     assert {k: v[0] for k, v in got.items()} == {"safe.eml": 250, "bad.eml": 550, "plain.eml": 250, "late.eml": 250}
     assert got["late.eml"][2] is True
+
+
+def test_classifier_that_fails_while_it_runs(spark):
+    """One attachment makes the classifier fail lazily: it passes, flagged, and the others are judged."""
+    found = spark.createDataFrame([(f"m{i}", 0, f"f{i}", b"bad" if i == 3 else b"x") for i in range(9)], "message_id string, att_pos int, filename string, content binary")
+    schema = "message_id string, att_pos int, hit_pos int, label_pos int, name string"
+
+    def classify(df):
+        def work(batches):
+            for batch in batches:
+                if any(bytes(c) == b"bad" for c in batch["content"]):
+                    raise RuntimeError("unreadable")
+                yield batch[["message_id", "att_pos"]].assign(hit_pos=0, label_pos=0, name="L")
+
+        return df.mapInPandas(work, schema)
+
+    named, flagged = streams.classified(found, classify)
+    assert rows(named, "message_id") == [(f"m{i}",) for i in range(9) if i != 3]
+    assert rows(flagged.filter("classification_error"), "message_id") == [("m3",)]
+    named, flagged = streams.classified(found, classify, attempts=1)
+    assert named.count() == 0 and flagged.filter("classification_error").count() == 9
