@@ -2,66 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEYWORDS_PER_PASS = 50_000
-JVM_KEYWORDS = 16
+from ..functions.bits import bit_map, in_map
+
+#: Characters of the piece by which a keyword is looked up; shorter keywords are looked up whole.
+GRAM = 6
 
 
 def annotate(docs: DataFrame, dictionary: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Keywords found in each text, ignoring case: ``<ident>, annotator, keyword``.
 
-    ``dictionary``: annotator, keyword. Every text is read whole, once per pass. A handful of
-    keywords become plain ``contains`` tests; longer lists one automaton per pass, which finds all
-    its keywords in a single run over the text. A list of any length is split into passes by hash,
-    so that what one pass ships to the tasks is bounded.
+    ``dictionary``: annotator, keyword. Every text is read whole and once, whatever the length of the list. A keyword
+    has one gram, the piece of ``GRAM`` characters with the smallest hash; a text's grams that some keyword has are
+    joined to the keywords, together with the characters around them, in which the keyword is then looked for. A bit map of
+    fixed size keeps other grams out of the join.
     """
     words = dictionary.filter("keyword <> ''").select("annotator", "keyword", F.lower("keyword").alias("needle"))
-    needles = words.select("needle").distinct()
-    n_needles = needles.count()
-    lowered = docs.select(ident, F.lower(text).alias("lowered"))
-    if n_needles <= JVM_KEYWORDS:
-        found = _contains(lowered, [row["needle"] for row in needles.collect()], ident)
-    else:
-        passes = -(-n_needles // KEYWORDS_PER_PASS)
-        found = reduce(DataFrame.unionByName, (_pass(lowered, needles, ident, i, passes) for i in range(passes)))
-    return found.join(words, "needle").select(ident, "annotator", "keyword")
-
-
-def _contains(lowered: DataFrame, needles: list[str], ident: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    hits = [F.when(F.contains("lowered", F.lit(n)), F.array(F.lit(n))).otherwise(none) for n in needles]
-    return lowered.select(ident, F.explode(F.concat(*hits) if hits else none).alias("needle"))
-
-
-def _pass(lowered: DataFrame, needles: DataFrame, ident: str, number: int, passes: int) -> DataFrame:
-    mine = needles.filter(F.pmod(F.xxhash64("needle"), F.lit(passes)) == number)
-    words = [row["needle"] for row in mine.collect()]
-    schema = f"{ident} {dict(lowered.dtypes)[ident]}, needle string"
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in words:
-            automaton.add_word(word, word)
-        if words:
-            automaton.make_automaton()
-        for batch in batches:
-            pairs = [
-                (key, needle)
-                for key, content in zip(batch[ident], batch["lowered"])
-                if content and words
-                for needle in {found for _, found in automaton.iter(content)}
-            ]
-            yield pd.DataFrame(pairs, columns=[ident, "needle"])
-
-    return lowered.mapInPandas(search, schema)
+    needles = words.select("needle").distinct().withColumn("chars", F.split("needle", ""))
+    sizes = needles.select(F.least(F.size("chars"), F.lit(GRAM)).alias("n")).distinct()
+    longest, lengths = needles.agg(F.max(F.size("chars"))).first()[0] or 0, sorted(r["n"] for r in sizes.collect())  # GRAM at most
+    starts = F.sequence(F.lit(0), F.size("chars") - F.least(F.size("chars"), F.lit(GRAM)))
+    whole = F.size("chars") < GRAM
+    parts = [F.when(F.size("chars") == n, _gram(F.lit(0), n)) for n in lengths if n < GRAM]
+    gram = F.when(~whole, F.array_min(F.transform(starts, lambda i: _gram(i, GRAM))))
+    keyed = needles.select("needle", F.coalesce(gram, *parts).alias("gram"))
+    known = bit_map(keyed.select(F.col("gram").alias("hash")))
+
+    read = docs.select(F.col(ident).alias("ident"), F.split(F.lower(text), "").alias("chars"))
+    found = None
+    for n in lengths:
+        none = F.array().cast("array<int>")
+        at = F.explode(F.when(F.size("chars") >= n, F.sequence(F.lit(0), F.size("chars") - n)).otherwise(none)).alias("at")
+        grams = read.select("ident", "chars", at).withColumn("gram", _gram(F.col("at"), n))
+        kept = grams.filter(in_map(known.scalar(), F.col("gram")))
+        begin = F.greatest(F.col("at") - longest, F.lit(0))
+        near = F.array_join(F.slice("chars", begin + 1, 2 * longest + n), "")
+        some = kept.select("ident", "gram", near.alias("near"))
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        found = docs.select(F.col(ident).alias("ident"), F.lit(0).cast("bigint").alias("gram"), F.lit("").alias("near")).limit(0)
+    met = found.join(keyed, "gram").filter(F.contains("near", F.col("needle"))).select("ident", "needle").distinct()
+    return met.join(words, "needle").select(F.col("ident").alias(ident), "annotator", "keyword")
+
+
+def _gram(start: Column, size: int) -> Column:
+    """Hash of ``size`` characters from a 0-based place of ``chars``; the size is part of it."""
+    return F.xxhash64(F.lit(size), *[F.get("chars", start + k) for k in range(size)])
 
 
 def apply_label_rules(annotations: DataFrame, rules: DataFrame, ident: str = "doc_id") -> DataFrame:

@@ -7,18 +7,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import wire
 from ..functions.text import Tokenizer, is_blank, tokens
 from ..session import checkpointed
 from .access import ACCESS_COLUMNS
 
-MAX_SHARED_QUERIES = 4096
+#: Chunks for which a list is made; chunks and queries that meet at once; cells of similarities held at once.
+LIST_ROWS = 8192
 BLOCK_ROWS = 50_000
+QUERY_ROWS = 4096
 SLICE_CELLS = 4_000_000
+#: The centers of all lists have at most so many bytes, and are found from so many chunks a list.
+CENTER_BYTES = 32 << 20
+SAMPLE_PER_LIST = 64
 DIGITS = 9
 
 
@@ -50,28 +56,31 @@ def chunk_text(
 # --- vectors --------------------------------------------------------------------------------
 
 
-def embed(df: DataFrame, embedder: Callable[[pd.Series], list], text: str = "chunk", out: str = "embedding") -> DataFrame:
-    """Adds a vector per text, computed in Arrow batches by a function of the caller."""
+def embed(df: DataFrame, embedder: Callable[[pd.Series], list] | None = None, text: str = "chunk", out: str = "embedding") -> DataFrame:
+    """Adds a vector per text, computed in Arrow batches by a function of the caller; without one, by ``hashed_words``."""
+    if embedder is None:
+        return df.withColumn("_places", word_places(F.col(text))).withColumn(out, hashed_words(F.col("_places"))).drop("_places")
     vectors = F.pandas_udf(lambda texts: pd.Series(list(embedder(texts))), "array<float>")
     return df.withColumn(out, vectors(F.col(text)))
 
 
-def hashed_words(dimensions: int = 64) -> Callable[[pd.Series], list]:
-    """A small deterministic embedder for tests: counts of hashed words, scaled to length one."""
+#: Fixed value: the characters that stand for the 64 places of a hashed vector, in order.
+PLACES = "0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmno"
 
-    def embedder(texts: pd.Series) -> list:
-        import zlib
 
-        vectors = []
-        for text in texts:
-            vector = np.zeros(dimensions, dtype="float32")
-            for word in (text or "").lower().split():
-                vector[zlib.crc32(word.encode()) % dimensions] += 1.0
-            length = float(np.linalg.norm(vector))
-            vectors.append(vector / length if length else vector)
-        return vectors
+def word_places(text: Column) -> Column:
+    """One character of ``PLACES`` for each word of a text, by the first two digits of the word's md5."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
+    place = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int") % len(PLACES)
+    return F.array_join(F.transform(words, lambda w: F.char(F.lit(ord(PLACES[0])) + place(w))), "")
 
-    return embedder
+
+def hashed_words(places: Column) -> Column:
+    """A small deterministic vector from ``word_places``: counts scaled to length one, zeros without words."""
+    counts = F.array(*[(F.length(places) - F.length(F.translate(places, c, ""))).cast("double") for c in PLACES])
+    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * n))
+    scaled = F.transform(F.arrays_zip(counts.alias("n"), F.array_repeat(length, len(PLACES)).alias("l")), lambda z: F.when(z["l"] > 0, z["n"] / z["l"]).otherwise(0.0))
+    return scaled.cast("array<float>")
 
 
 def _unit(vectors: pd.Series, width: int | None = None) -> np.ndarray:
@@ -84,145 +93,231 @@ def _unit(vectors: pd.Series, width: int | None = None) -> np.ndarray:
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-@dataclass
-class QuerySet:
-    """Some query vectors, and who asks when the search is secured."""
+def _grants_of_chunk() -> Column:
+    """Whom the access policy lets see a chunk, as names that askers may bear."""
+    review = F.coalesce(F.col("category") == wire.REVIEW_CATEGORY, F.lit(False))
+    public = F.coalesce(F.col("category").isin(wire.PUBLIC_CATEGORIES), F.lit(False))
+    mails = F.transform(F.coalesce("entitled_emails", F.array().cast("array<string>")), lambda e: F.concat(F.lit("mail "), e))
+    others = F.array(
+        F.when(public, F.lit("public")),
+        F.when(review, F.lit("review")),
+        F.when(review, F.concat(F.lit("employee "), "extracted_employee_id")),
+    )
+    return F.array_compact(F.concat(mails, others))
 
-    ids: np.ndarray
-    unit: np.ndarray
-    readers: np.ndarray | None = None
-    by_email: dict[str, np.ndarray] | None = None
-    by_employee: dict[str, np.ndarray] | None = None
-    probes: dict[int, np.ndarray] | None = None
-
-    @classmethod
-    def of(cls, rows: pd.DataFrame, secured: bool) -> QuerySet:
-        rows = rows.reset_index(drop=True)
-        unit = _unit(rows["embedding"])
-        if not secured:
-            return cls(rows["query_id"].to_numpy(), unit)
-        readers = np.array([wire.REVIEW_GROUP in (list(g) if g is not None else []) for g in rows["groups"]], dtype=bool)
-        emails = {k: np.asarray(v) for k, v in rows.groupby("email").indices.items() if k}
-        employees = {k: np.asarray(v) for k, v in rows.groupby("employee_id").indices.items() if k}
-        return cls(rows["query_id"].to_numpy(), unit, readers, emails, employees)
-
-    def may_see(self, rows: pd.DataFrame) -> np.ndarray:
-        """Query by chunk: does the policy let the asker see the chunk's document?"""
-        category = rows["category"]
-        public = category.isin(wire.PUBLIC_CATEGORIES).to_numpy(dtype=bool)
-        review = (category == wire.REVIEW_CATEGORY).to_numpy(dtype=bool)
-        seen = public[None, :] | (self.readers[:, None] & review[None, :])
-        for i, (emails, own) in enumerate(zip(rows["entitled_emails"], rows["extracted_employee_id"])):
-            for address in emails if emails is not None else ():
-                if address in self.by_email:
-                    seen[self.by_email[address], i] = True
-            if review[i] and own in self.by_employee:
-                seen[self.by_employee[own], i] = True
-        return seen
-
-    def probed(self, rows: pd.DataFrame) -> np.ndarray:
-        """Query by chunk: does the query look into the chunk's list?"""
-        nobody = np.zeros(len(self.ids), dtype=bool)
-        return np.array([self.probes.get(int(i), nobody) for i in rows["list_id"]]).T
-
-
-def _best(frames: Iterator[pd.DataFrame], queries: QuerySet, k: int, threshold: float) -> pd.DataFrame:
-    """The ``k`` best chunks of each query over some batches, kept up to date slice by slice."""
+
+def _grants_of_asker() -> Column:
+    given = lambda name: F.when(F.col(name) != "", F.col(name))
+    reads = F.coalesce(F.array_contains("groups", wire.REVIEW_GROUP), F.lit(False))
+    names = F.array(
+        F.lit("public"),
+        F.when(reads, F.lit("review")),
+        F.concat(F.lit("mail "), given("email")),
+        F.concat(F.lit("employee "), given("employee_id")),
+    )
+    return F.array_compact(names)
+
+
+def _joined_grants(askers: pd.Series, chunks: pd.Series) -> np.ndarray:
+    """Asker by chunk: do they share a grant? Grants of both sides meet by name, not row by row."""
+    seen = np.zeros((len(askers), len(chunks)), dtype=bool)
+    sides = [np.repeat(np.arange(len(side)), [len(g) for g in side]) for side in (askers, chunks)]
+    names = [np.concatenate([*side, np.array([], dtype=object)]) for side in (askers, chunks)]
+    codes, _ = pd.factorize(np.concatenate(names))
+    mine, theirs = codes[: len(names[0])], codes[len(names[0]) :]
+    own, other = np.argsort(mine, kind="stable"), np.argsort(theirs, kind="stable")
+    for code in np.intersect1d(mine, theirs):
+        asking = own[slice(*np.searchsorted(mine, [code, code + 1], sorter=own))]
+        shown = other[slice(*np.searchsorted(theirs, [code, code + 1], sorter=other))]
+        seen[np.ix_(sides[0][asking], sides[1][shown])] = True
+    return seen
+
+
+def _best(rows: pd.DataFrame, asked: pd.DataFrame, k: int, threshold: float) -> pd.DataFrame:
+    """The ``k`` best of some chunks for each of some queries, slice by slice in bounded memory."""
     best = pd.DataFrame({"q": [], "similarity": [], "chunk_id": []}).astype({"q": "int64"})
-    floor = np.full(len(queries.ids), -np.inf)
-    width = queries.unit.shape[1]
-    step = max(k + 1, SLICE_CELLS // len(queries.ids))
-    for frame in frames if width else ():
-        for begin in range(0, len(frame), step):
-            rows = frame.iloc[begin : begin + step]
-            scores = np.round(queries.unit @ _unit(rows["embedding"], width).T, DIGITS)
-            fits = (scores > threshold) & (scores >= floor[:, None])
-            if queries.readers is not None:
-                fits &= queries.may_see(rows)
-            if queries.probes is not None:
-                fits &= queries.probed(rows)
-            scores[~fits] = -np.inf
-            if len(rows) > k:  # the slice alone rules out what is below its own k-th best
-                fits &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
-            query, chunk = np.nonzero(fits)
-            if not len(chunk):
-                continue
-            found = pd.DataFrame(
-                {"q": query, "similarity": scores[query, chunk], "chunk_id": rows["chunk_id"].to_numpy()[chunk]}
-            )
-            pool = found if best.empty else pd.concat([best, found], ignore_index=True)
-            pool = pool.sort_values(["q", "similarity", "chunk_id"], ascending=[True, False, True])
-            best = pool.groupby("q", sort=False).head(k)
-            full = best.groupby("q")["similarity"].agg(["size", "min"])
-            full = full[full["size"] >= k]
-            floor[full.index.to_numpy()] = full["min"].to_numpy()
-    out = best.assign(query_id=queries.ids[best["q"].to_numpy(dtype="int64")] if len(best) else [])
+    unit = _unit(asked["embedding"])
+    floor = np.full(len(asked), -np.inf)
+    step = max(k + 1, SLICE_CELLS // len(asked))
+    for begin in range(0, len(rows), step):
+        part = rows.iloc[begin : begin + step]
+        scores = np.round(unit @ _unit(part["embedding"], unit.shape[1]).T, DIGITS)
+        fits = (scores > threshold) & (scores >= floor[:, None])
+        if "grants" in part:
+            fits &= _joined_grants(asked["grants"], part["grants"])
+        scores[~fits] = -np.inf
+        if len(part) > k:  # the slice alone rules out what is below its own k-th best
+            fits &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
+        query, chunk = np.nonzero(fits)
+        if not len(chunk):
+            continue
+        found = pd.DataFrame({"q": query, "similarity": scores[query, chunk], "chunk_id": part["chunk_id"].to_numpy()[chunk]})
+        pool = found if best.empty else pd.concat([best, found], ignore_index=True)
+        pool = pool.sort_values(["q", "similarity", "chunk_id"], ascending=[True, False, True])
+        best = pool.groupby("q", sort=False).head(k)
+        full = best.groupby("q")["similarity"].agg(["size", "min"])
+        full = full[full["size"] >= k]
+        floor[full.index.to_numpy()] = full["min"].to_numpy()
+    out = best.assign(query_id=asked["query_id"].to_numpy()[best["q"].to_numpy(dtype="int64")] if len(best) else [])
     return out[["query_id", "chunk_id", "similarity"]]
 
 
+@dataclass
+class Lists:
+    """Chunks dealt to inverted lists, and what the driver knows of the lists: a bounded number of rows."""
+
+    chunks: DataFrame
+    ids: np.ndarray
+    centers: np.ndarray
+    radius: np.ndarray
+    members: np.ndarray
+
+    def gaps(self, unit: np.ndarray) -> np.ndarray:
+        """Distance of each direction to each center."""
+        squares = (unit**2).sum(1)[:, None] + (self.centers**2).sum(1)[None, :] - 2 * unit @ self.centers.T
+        return np.sqrt(np.maximum(0.0, squares))
+
+
+def _dealt(chunks: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Each chunk with its nearest center (``list_id``) and distance (``gap``); chunks without a direction go."""
+    squares = (centers**2).sum(1)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            unit = _unit(batch["embedding"], centers.shape[1])
+            sound = ~np.isnan(unit).any(axis=1)
+            unit = unit[sound]
+            place, gap = np.zeros(len(unit), dtype="int32"), np.zeros(len(unit))
+            for begin in range(0, len(unit), step := max(1, SLICE_CELLS // len(centers))):
+                some = unit[begin : begin + step]
+                apart = squares[None, :] - 2 * some @ centers.T
+                place[begin : begin + step] = apart.argmin(axis=1)
+                gap[begin : begin + step] = np.sqrt(np.maximum(0.0, apart.min(axis=1) + 1.0))
+            yield batch[sound].assign(list_id=place, gap=gap)
+
+    return chunks.mapInPandas(nearest, StructType([*chunks.schema.fields]).add("list_id", "integer").add("gap", "double"))
+
+
+def _centers(chunks: DataFrame, lists: int | None, rounds: int, seed: int) -> np.ndarray:
+    """Directions that the lists lie around: a bounded sample of the chunks, clustered if ``rounds`` says so."""
+    sound = chunks.filter("embedding IS NOT NULL AND exists(embedding, x -> x <> 0)").select("chunk_id", "embedding")
+    n, width = sound.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n:
+        return np.zeros((0, 0))
+    most = max(1, CENTER_BYTES // (8 * width))
+    wanted = min(lists or -(-n // LIST_ROWS), most, n)
+    share = min(1.0, 1.2 * min(wanted * SAMPLE_PER_LIST, most * 4) / n)
+    some = sound.filter(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    sample = some.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(min(wanted * SAMPLE_PER_LIST, most * 4)).select("embedding").toPandas()
+    points = np.unique(_unit(sample["embedding"]), axis=0)
+    order = np.random.default_rng(seed).permutation(len(points))
+    centers = points[order[:wanted]]
+    for _ in range(rounds if len(points) > wanted else 0):
+        place = (-2 * points @ centers.T + (centers**2).sum(1)[None, :]).argmin(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, place, points)
+        held = np.bincount(place, minlength=len(centers))
+        centers = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], centers)
+    return centers
+
+
+def _summary(placed: DataFrame, centers: np.ndarray) -> Lists:
+    rows = placed.groupBy("list_id").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).orderBy("list_id").collect()
+    ids = np.array([r["list_id"] for r in rows], dtype="int64")
+    return Lists(placed, ids, centers[ids] if len(ids) else centers[:0], np.array([r["radius"] for r in rows]), np.array([r["n"] for r in rows], dtype="int64"))
+
+
 def vector_search(
-    chunks: DataFrame,
-    queries: DataFrame,
-    k: int = 5,
-    threshold: float = 0.2,
-    secured: bool = False,
-    max_shared: int = MAX_SHARED_QUERIES,
-    block_rows: int = BLOCK_ROWS,
+    chunks: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.2, secured: bool = False, lists: int | None = None, nprobe: int = 4
 ) -> DataFrame:
     """The ``k`` chunks most similar to each query, by cosine: ``query_id, chunk_id, similarity, rank``.
 
     ``chunks``: chunk_id, embedding. ``queries``: query_id, embedding. Exact; similarity must be
     above ``threshold``, ties go to the smaller chunk id. ``secured`` applies the access policy
     before the best are chosen; then ``chunks`` has the columns of ``ACCESS_COLUMNS`` and
-    ``queries`` has email, employee_id, groups.
-
-    Up to ``max_shared`` queries go to every task and the chunks stay where they are; beyond that,
-    chunks and queries meet in blocks of bounded size. Either way a task hands on at most ``k``
-    chunks per query, and only those are shuffled.
+    ``queries`` has email, employee_id, groups. The chunks are dealt to lists first, by default one for ``LIST_ROWS``
+    of them, and searched like an index.
     """
     columns = ["chunk_id", "embedding", *(ACCESS_COLUMNS if secured else [])]
-    asked = queries.select("query_id", "embedding", *(["email", "employee_id", "groups"] if secured else []))
-    asked = checkpointed(asked)  # read more than once from here on
-    shared = asked.limit(max_shared + 1).toPandas()
-    types = dict(chunks.dtypes), dict(queries.dtypes)
-    schema = f"query_id {types[1]['query_id']}, chunk_id {types[0]['chunk_id']}, similarity double"
-    if len(shared) <= max_shared:
-        found = _search_shared(chunks.select(*columns), QuerySet.of(shared, secured), k, threshold, schema)
-    else:
-        found = _search_blocks(chunks.select(*columns), asked, k, threshold, schema, secured, max_shared, block_rows)
-    return top_k(found, k)
+    centers = _centers(chunks, lists, 0, 7)
+    if not len(centers):
+        return _nothing(chunks, queries)
+    placed = checkpointed(_dealt(_with_grants(chunks.select(*columns), secured), centers))
+    return _search(_summary(placed, centers), queries, k, threshold, secured, nprobe, True)
 
 
-def _search_shared(chunks: DataFrame, queries: QuerySet, k: int, threshold: float, schema: str) -> DataFrame:
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if len(queries.ids):
-            yield _best(batches, queries, k, threshold)
+def _with_grants(chunks: DataFrame, secured: bool) -> DataFrame:
+    return chunks.select("chunk_id", "embedding", _grants_of_chunk().alias("grants")) if secured else chunks.select("chunk_id", "embedding")
 
-    return chunks.mapInPandas(search, schema)
 
+def _nothing(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    types = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+    return chunks.sparkSession.createDataFrame([], f"query_id {types[0]}, chunk_id {types[1]}, similarity double, rank int")
 
-def _search_blocks(
-    chunks: DataFrame, queries: DataFrame, k: int, threshold: float, schema: str, secured: bool, max_shared: int, block_rows: int
-) -> DataFrame:
-    """Every block of queries meets every block of chunks once; blocks are cut by hash of the ids."""
-    query_blocks = -(-queries.count() // max(max_shared, 1))
-    busy = -(-2 * chunks.sparkSession.sparkContext.defaultParallelism // query_blocks)  # blocks for all cores
-    chunk_blocks = max(-(-chunks.count() // block_rows), busy)
-
-    def copies(df: DataFrame, ident: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        placed = df.withColumn(own, F.pmod(F.xxhash64(ident), F.lit(n_own)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    left = copies(chunks, "chunk_id", "chunk_block", chunk_blocks, "query_block", query_blocks)
-    right = copies(queries, "query_id", "query_block", query_blocks, "chunk_block", chunk_blocks)
 
-    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
+def _search(lists: Lists, queries: DataFrame, k: int, threshold: float, secured: bool, nprobe: int, exact: bool) -> DataFrame:
+    """First every query's ``nprobe`` nearest lists, then, if ``exact``, each list whose center and radius still allow
+    a chunk as good as the ``k``-th found. Queries stay rows of a table all the way."""
+    if not len(lists.ids):
+        return _nothing(lists.chunks, queries)
+    asked = queries.select("query_id", "embedding", *([_grants_of_asker().alias("grants")] if secured else []))
+    asked = checkpointed(asked)
+    first = checkpointed(top_k(_search_pairs(lists, _probes(asked.withColumn("limit", F.lit(None).cast("double")), lists, nprobe, threshold), k, threshold), k))
+    if not exact or nprobe >= len(lists.ids):
+        return first
+    kth = first.filter(F.col("rank") == k).select("query_id", F.col("similarity").alias("limit"))
+    open_queries = asked.join(kth, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float(threshold))))
+    rest = _search_pairs(lists, _probes(open_queries, lists, nprobe, threshold), k, threshold)
+    return top_k(first.drop("rank").unionByName(rest), k)
+
+
+def _probes(asked: DataFrame, lists: Lists, nprobe: int, threshold: float) -> DataFrame:
+    """A row for each query and list to search: the nearest lists without a ``limit``, the other open ones with it."""
+    own = Lists(None, lists.ids, lists.centers, lists.radius, lists.members)
+    names = [c for c in asked.columns if c != "limit"]
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for begin in range(0, len(whole), step := max(1, SLICE_CELLS // len(own.ids))):
+                batch = whole.iloc[begin : begin + step]
+                unit = _unit(batch["embedding"], own.centers.shape[1])
+                sound = ~np.isnan(unit).any(axis=1)
+                batch, gaps = batch[sound], own.gaps(unit[sound])
+                wanted = np.zeros(gaps.shape, dtype=bool)
+                np.put_along_axis(wanted, np.argsort(gaps, axis=1, kind="stable")[:, :nprobe], True, axis=1)
+                limit = batch["limit"].to_numpy(dtype="float64")
+                if not np.isnan(limit).all():
+                    reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * limit)) + 1e-6
+                    wanted = (gaps - own.radius[None, :] <= reach[:, None]) & ~wanted
+                query, place = np.nonzero(wanted)
+                yield batch[names].iloc[query].assign(list_id=own.ids[place].astype("int32"))
+
+    return asked.mapInPandas(probe, StructType([f for f in asked.schema.fields if f.name != "limit"]).add("list_id", "integer"))
+
+
+def _search_pairs(lists: Lists, probes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Chunks and queries meet by list. A long list is dealt over shares, the queries of a list over groups, so a meeting
+    has at most about ``BLOCK_ROWS`` chunks and ``QUERY_ROWS`` queries; only queries that probe a list are scored in it."""
+    spark = probes.sparkSession
+    probes = checkpointed(probes)
+    asked = probes.groupBy("list_id").agg(F.count("*").alias("asked"))
+    sizes = spark.createDataFrame([(int(i), -(-int(n) // BLOCK_ROWS)) for i, n in zip(lists.ids, lists.members)], "list_id int, shares int")
+    plan = sizes.join(asked, "list_id").withColumn("parts", F.ceil(F.col("asked") / QUERY_ROWS).cast("int")).drop("asked")
+    plan = checkpointed(plan)  # one row for each list
+    share, part = F.pmod(F.xxhash64("chunk_id"), F.col("shares")), F.pmod(F.xxhash64("query_id"), F.col("parts"))
+    left = lists.chunks.drop("gap").join(plan, "list_id").withColumn("share", share.cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = probes.join(plan, "list_id").withColumn("part", part.cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    keys = ["list_id", "share", "part"]
+    types = dict(probes.dtypes)["query_id"], dict(lists.chunks.dtypes)["chunk_id"]
+
+    def search(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(some):
             return pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []})
-        return _best(iter([rows]), QuerySet.of(asked, secured), k, threshold)
+        return _best(rows, some, k, threshold)
 
-    keys = ["chunk_block", "query_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+    left, right = left.drop("shares", "parts"), right.drop("shares", "parts")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    return met.applyInPandas(search, f"query_id {types[0]}, chunk_id {types[1]}, similarity double")
 
 
 def top_k(found: DataFrame, k: int) -> DataFrame:
@@ -233,88 +328,38 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
 # --- inverted lists -------------------------------------------------------------------------
 
 
-def build_ivf(chunks: DataFrame, path: str, lists: int = 100, seed: int = 7, rounds: int = 10) -> None:
-    """Cluster the chunks' directions into inverted lists and write them, one partition per list.
+def build_ivf(chunks: DataFrame, path: str, lists: int | None = None, seed: int = 7, rounds: int = 10) -> None:
+    """Deal the chunks to inverted lists and write them with their access data, one partition per list.
 
-    Next to them go the centroids with the largest distance of a member, which lets an exact
-    search leave out lists. The rebalance hint spreads a list that holds much of the data.
+    Centers are clustered from a bounded sample; every chunk is indexed. Next to the lists go the centers. The rebalance hint
+    spreads a list that holds much of the data.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
     spark = chunks.sparkSession
-    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.col("size"))
-    vectors = chunks.withColumn("size", size).filter("size > 0").withColumn("unit", array_to_vector(unit)).drop("size")
-    vectors = vectors.persist()  # every round of the clustering reads them
-    model = KMeans(k=lists, seed=seed, maxIter=rounds, featuresCol="unit", predictionCol="list_id").fit(vectors)
-    centers = [[float(x) for x in center] for center in model.clusterCenters()]
-    centroids = spark.createDataFrame(list(enumerate(centers)), "list_id int, centroid array<double>")
-    placed = model.transform(vectors).withColumn("unit", vector_to_array("unit"))
-    placed.drop("unit").hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
-
-    gap = F.zip_with("unit", "centroid", lambda a, b: (a - b) * (a - b))
-    members = placed.join(F.broadcast(centroids), "list_id")
-    radius = members.groupBy("list_id").agg(
-        F.max(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda acc, x: acc + x))).alias("radius"),
-        F.count("*").alias("n_members"),
-    )
-    radius.join(centroids, "list_id").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-    vectors.unpersist()
+    secured = set(ACCESS_COLUMNS) <= set(chunks.columns)
+    centers = _centers(chunks, lists, rounds, seed)
+    dealt = _dealt(_with_grants(chunks, secured), centers) if len(centers) else _with_grants(chunks, secured).limit(0).withColumns({"list_id": F.lit(0), "gap": F.lit(0.0)})
+    dealt.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
+    spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
 
 def ivf_search(
-    chunks_path: str, queries: DataFrame, k: int = 5, threshold: float = 0.2, nprobe: int = 10, exact: bool = True
+    path: str, queries: DataFrame, k: int = 5, threshold: float = 0.2, nprobe: int = 10, exact: bool = True, secured: bool = False
 ) -> DataFrame:
-    """Search only some inverted lists: each query's ``nprobe`` nearest ones.
+    """Search an index: each query's ``nprobe`` nearest lists, whatever other queries are asked with it.
 
-    That alone may miss chunks. ``exact`` adds a second round over every list that could still hold
-    a better chunk than the ``k``-th found, judged by the list's centroid and radius; the result
-    then equals ``vector_search``.
+    That alone may miss chunks. ``exact`` adds every list that could still hold a better chunk; the result then equals
+    ``vector_search``. ``secured`` needs an index built with the access columns.
     """
     spark = queries.sparkSession
-    rows = queries.select("query_id", "embedding").limit(MAX_SHARED_QUERIES + 1).toPandas()
-    chunks = spark.read.parquet(f"{chunks_path}/lists")
-    if len(rows) > MAX_SHARED_QUERIES:
-        return vector_search(chunks, queries, k, threshold)
-    types = dict(chunks.dtypes), dict(queries.dtypes)
-    schema = f"query_id {types[1]['query_id']}, chunk_id {types[0]['chunk_id']}, similarity double"
-    asked = QuerySet.of(rows, secured=False)
-    centroids = spark.read.parquet(f"{chunks_path}/centroids").orderBy("list_id").collect()
-    ids = np.array([row["list_id"] for row in centroids])
-    gaps = _gaps(asked.unit, centroids)
-    nearest = np.argsort(gaps, axis=1, kind="stable")[:, :nprobe]
-    probed = np.zeros(gaps.shape, dtype=bool)
-    np.put_along_axis(probed, nearest, True, axis=1)
-
-    first = top_k(_search_lists(chunks, asked, ids, probed, k, threshold, schema), k)
-    if not exact:
-        return first
-    found = first.toPandas()  # at most k rows for each of the bounded queries
-    kth = found[found["rank"] == k].set_index("query_id")["similarity"]
-    limit = np.array([kth.get(q, threshold) for q in asked.ids])
-    reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * limit)) + 1e-6
-    radius = np.array([row["radius"] for row in centroids])
-    open_lists = (gaps - radius[None, :] <= reach[:, None]) & ~probed
-    kept = spark.createDataFrame(found.drop(columns="rank"), schema)
-    rest = _search_lists(chunks, asked, ids, open_lists, k, threshold, schema)
-    return top_k(kept.unionByName(rest), k)
-
-
-def _gaps(unit: np.ndarray, centroids: list[Row]) -> np.ndarray:
-    centers = np.array([row["centroid"] for row in centroids])
-    squares = (unit**2).sum(1)[:, None] + (centers**2).sum(1)[None, :] - 2 * unit @ centers.T
-    return np.sqrt(np.maximum(0.0, squares))
-
-
-def _search_lists(
-    chunks: DataFrame, asked: QuerySet, ids: np.ndarray, wanted: np.ndarray, k: int, threshold: float, schema: str
-) -> DataFrame:
-    """Read the lists some query wants, which prunes partitions, and search each for those queries."""
-    probes = {int(ids[j]): wanted[:, j] for j in range(len(ids)) if wanted[:, j].any()}
-    some = QuerySet(asked.ids, asked.unit, probes=probes)
-    pruned = chunks.filter(F.col("list_id").isin(list(probes))) if probes else chunks.filter(F.lit(False))
-    return _search_shared(pruned.select("chunk_id", "embedding", "list_id"), some, k, threshold, schema)
+    centroids = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
+    centers = np.array([row["centroid"] for row in centroids]) if centroids else np.zeros((0, 0))
+    if not len(centers):
+        return _nothing(spark.read.schema("chunk_id bigint").parquet(f"{path}/lists"), queries)
+    chunks = spark.read.parquet(f"{path}/lists")
+    if secured and "grants" not in chunks.columns:
+        raise ValueError("the index was built without access data")
+    return _search(_summary(chunks if secured else chunks.drop("grants"), centers), queries, k, threshold, secured, nprobe, exact)
 
 
 # --- fusion and context ---------------------------------------------------------------------

@@ -11,7 +11,8 @@ from ..functions import naming, text, values
 from ..operators import access, annotate, batching, catalog, labels, mail, matching, policies, quality, retrieval
 from ..plans import jobs
 from ..session import scratch_folder
-from ..sources import ndjson, tables
+from ..sources import files, ndjson, tables
+from ..streaming import streams
 from . import views as view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,20 +47,90 @@ def ndjson_round_trip(spark, sf):
     )
 
 
+@query
+def typed_ndjson(spark, sf):
+    """S1 with a schema: a field of another type is null, its record stays; lines that aren't JSON go."""
+    folder = scratch_folder(spark, "typed")
+    rows = view.files(spark, sf)
+    size = F.when(F.col("doc_id") % 7 == 0, F.lit('"big"')).otherwise(F.col("size").cast("string"))
+    record = F.concat(F.lit('{"file_id": "'), "file_id", F.lit('", "size": '), size, F.lit("}"))
+    broken = rows.filter("doc_id % 5 = 0").select(F.concat(F.lit("{broken "), "file_id").alias("value"))
+    rows.select(record.alias("value")).unionByName(broken).write.text(folder)
+    return ndjson.read_ndjson(spark, folder, "file_id string, size bigint")
+
+
+@query
+def listed_files(spark, sf):
+    """Files per folder and their bytes, of a folder with one subfolder per source."""
+    folder = scratch_folder(spark, "volume")
+    view.files(spark, sf).select(F.col("file_id").alias("value"), "source").write.partitionBy("source").text(folder)
+    found = files.list_files(spark, folder).filter("relative_path LIKE 'source=%/part-%'")
+    name = F.split_part(F.split_part("relative_path", F.lit("/"), F.lit(1)), F.lit("="), F.lit(2))
+    return found.groupBy(name.alias("source")).agg(F.sum("size_bytes").alias("bytes"))
+
+
+@query
+def schema_contract(spark, sf):
+    """Files registered as a table, its differences from the metadata contract, and its rows."""
+    folder = scratch_folder(spark, "registered")
+    rows = view.files(spark, sf).select(F.col("path").alias("file_path"), F.col("size").cast("int").alias("file_size"), "file_name", "labels")
+    rows.write.parquet(folder)
+    name = tables.register_table(spark, f"spark_catalog.default.{folder.rsplit('-', 1)[1]}_files", folder)
+    found = tables.schema_differences(spark.table(name).schema, tables.metadata_schema())
+    n_rows = spark.read.parquet(folder).agg(F.count("*").alias("n_rows"))
+    spark.sql(f"DROP TABLE {name}")
+    listed = F.array(*[F.struct(F.lit(d.column).alias("column"), F.lit(d.expected).alias("expected"), F.lit(d.found).cast("string").alias("found")) for d in found])
+    return n_rows.select("n_rows", F.inline(listed)).filter("column IN ('file_path', 'file_size', 'file_name', 'relative_path', 'categories')")
+
+
+@query
+def snapshot_job(spark, sf):
+    """ST3: an export read, projected and written as a day's partition, twice."""
+    export, target = scratch_folder(spark, "export"), scratch_folder(spark, "days")
+    rows = view.files(spark, sf).select(F.col("file_id").alias("fileId"), F.col("file_name").alias("fileName"), "path", "size")
+    ndjson.land_raw(rows, export)
+    for _ in range(2):
+        jobs.run_snapshot(spark, export, target, "2024-03-01", "2024-03-01 06:00:00")
+    return tables.read_snapshot(spark, target, "2024-03-01").select("file_id", "file_name", "path", "size", "ingestion_date")
+
+
+@query
+def streamed_routing(spark, sf):
+    """ST1: the same files, routed as they arrive."""
+    inbox, out, state = (scratch_folder(spark, name) for name in ("inbox", "routed", "state"))
+    rows = view.files(spark, sf).filter("labels IS NOT NULL").select("file_id", "category", "labels")
+    rows.repartition(4).write.json(inbox)
+    arriving = streams.arriving(spark, inbox, rows.schema, per_batch=2)
+    streams.route_stream(arriving, ["GATED"], ["CONFIDENTIAL"], out, state).awaitTermination()
+    return spark.read.parquet(out).select("file_id", "target", "action", "written_category")
+
+
+@query
+def streamed_sync(spark, sf):
+    """ST2: arriving events upserted cycle by cycle; the latest one per user is left."""
+    inbox, target, state, failures = (scratch_folder(spark, name) for name in ("events", "synced", "state", "failed"))
+    events = view.table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    events.repartitionByRange(3, "event_id").write.parquet(inbox)  # in the order of events, so that cycles are too
+    arriving = streams.arriving(spark, inbox, events.schema, fmt="parquet", per_batch=3)
+    streams.sync_stream(arriving, target, ["user_id"], ["event_id"], state, failures, 8, every=None).awaitTermination()
+    return tables.read_keyed(spark, target)
+
+
 @query
 def inferred_table_sql(spark, sf):
     """Land, infer, register, ask in SQL."""
     folder = scratch_folder(spark, "crawl")
     ndjson.land_raw(view.files(spark, sf).select("file_id", "source", "size"), folder)
-    name = ndjson.register_inferred(spark, folder, "files")
+    name = ndjson.register_inferred(spark, folder, f"files_{folder.rsplit('-', 1)[1]}")
     return spark.sql(f"SELECT source, count(*) AS n_files, sum(size) AS bytes FROM {name} GROUP BY source")
 
 
 @query
 def adhoc_listing(spark, sf):
     """The first hundred rows of a registered table."""
-    view.files(spark, sf).select("file_id", "path", "size").createOrReplaceTempView("exported_listing")
-    return ndjson.adhoc(spark, "exported_listing", 100, "file_id")
+    name = f"exported_{scratch_folder(spark, 'listing').rsplit('-', 1)[1]}"
+    view.files(spark, sf).select("file_id", "path", "size").createOrReplaceTempView(name)
+    return ndjson.adhoc(spark, name, 100, "file_id")
 
 
 @query
@@ -707,6 +778,14 @@ def text_chunks(spark, sf):
     return chunks.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+@query
+def character_chunks(spark, sf):
+    """Chunks by another tokenizer, here of single characters."""
+    docs = view.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    chunks = retrieval.chunk_text(docs, max_tokens=1000, overlap=100, tokenizer=lambda column: F.split(column, ""))
+    return chunks.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
 @query
 def chunk_documents(spark, sf):
     """Chunks with what is known of their document."""
@@ -747,8 +826,9 @@ def _ingest_input(spark, sf):
 @query
 def embedded_chunks(spark, sf):
     """A vector for every chunk."""
-    vectors = retrieval.embed(_chunks(spark, sf), retrieval.hashed_words(64))
-    return vectors.select("document_id", "chunk_index", F.size("embedding").alias("width"))
+    vectors = retrieval.embed(_chunks(spark, sf))
+    cells = F.transform("embedding", lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint"))
+    return vectors.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5(F.array_join(cells, ",").cast("binary")).alias("vector_md5"))
 
 
 def _topic_queries(spark, sf):
@@ -775,8 +855,7 @@ def vector_search_secured(spark, sf):
 
 def _index(spark, sf):
     folder = scratch_folder(spark, "ivf")
-    chunks = view.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    retrieval.build_ivf(chunks, folder, lists=20)
+    retrieval.build_ivf(view.vec_chunks(spark, sf), folder, lists=20)
     return folder
 
 
@@ -788,8 +867,19 @@ def indexed_vector_search(spark, sf):
 
 @query
 def probed_vector_search(spark, sf):
-    """Only the nearest lists, which may miss chunks."""
-    return _scored(retrieval.ivf_search(_index(spark, sf), _topic_queries(spark, sf), k=10, nprobe=4, exact=False))
+    """Only the nearest lists, which may miss chunks: is each similarity right, and how many of the true ten are there?"""
+    folder, asked = _index(spark, sf), _topic_queries(spark, sf)
+    found = retrieval.ivf_search(folder, asked, k=10, nprobe=14, exact=False).select("query_id", "chunk_id", "similarity")
+    true = retrieval.vector_search(view.vec_chunks(spark, sf), asked, k=10).select("query_id", "chunk_id", F.col("similarity").alias("true_similarity"))
+    met = true.join(found, ["query_id", "chunk_id"], "left")
+    right = F.coalesce(F.abs(F.col("similarity") - F.col("true_similarity")) < 1e-6, F.lit(True))
+    return met.groupBy("query_id").agg(F.count("*").alias("n_true"), F.min(right).alias("similarities_right"), (F.count("similarity") >= 0.5 * F.count("*")).alias("recalled"))
+
+
+@query
+def secured_indexed_search(spark, sf):
+    """J7 with P2: every principal's questions through the index, over the chunks the principal may see."""
+    return _scored(retrieval.ivf_search(_index(spark, sf), view.requests(spark, sf), k=10, nprobe=4, secured=True))
 
 
 def _results(spark, sf):
@@ -841,6 +931,23 @@ def first_blocked_labels(spark, sf):
     return mail.first_blocked(tagged, view.blocked_labels(spark)).select("message_id", "filename", "name", "message")
 
 
+@query
+def mail_attachments(spark, sf):
+    """Attachments of multipart mails, one for each document; one without content doesn't count."""
+    docs = view.table(spark, sf, "documents")
+
+    def part(name, content):
+        head = F.concat(F.lit('--limit\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename="'), name, F.lit('"\r\nContent-Transfer-Encoding: base64\r\n\r\n'))
+        return F.concat(head, F.base64(content), F.lit("\r\n"))
+
+    top = F.lit('From: a@example.com\r\nTo: b@example.com\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="limit"\r\n\r\n')
+    body = F.lit("--limit\r\nContent-Type: text/plain\r\n\r\nbody\r\n")
+    parts = [part(F.lit("empty.txt"), F.lit(b"")), part(F.concat("source", F.lit(".txt")), F.col("source").cast("binary")), part(F.format_string("doc_%d.txt", "doc_id"), F.col("text").cast("binary"))]
+    raw = docs.select(F.col("doc_id").cast("string").alias("path"), F.concat(top, body, *parts, F.lit("--limit--\r\n")).cast("binary").alias("content"))
+    found = mail.extract_attachments(raw)
+    return found.select("message_id", F.col("pos").cast("bigint").alias("pos"), "filename", F.md5("content").alias("content_md5"))
+
+
 @query
 def mail_verdicts(spark, sf):
     """Code and reply for every message."""

@@ -166,6 +166,10 @@ label_states AS (SELECT doc_id, 'q' || quality AS state, CAST(toxic AS DOUBLE) A
 MERGED = with_(STATE) + """SELECT doc_id, state, value FROM label_states WHERE doc_id NOT IN (SELECT doc_id FROM events_last)
 UNION ALL SELECT doc_id, state, value FROM events_last"""
 
+ROUTED = with_(FILES) + """SELECT file_id, target, CASE WHEN target IS NULL THEN 'stay' ELSE 'copy' END AS action, category AS written_category
+FROM (SELECT *, CASE WHEN list_contains(labels, 'CONFIDENTIAL') THEN 'quarantine'
+  WHEN list_contains(labels, 'GATED') THEN 'allowed' END AS target FROM files WHERE labels IS NOT NULL)"""
+
 SEARCH = with_(VECTORS) + """SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, chunk_id) AS rank FROM (
     SELECT t.topic AS query_id, e.vec_id AS chunk_id,
@@ -197,6 +201,12 @@ GAP = "list_contains(labels, 'CONFIDENTIAL') AND NOT list_contains(labels, 'GATE
 ORACLE: dict[str, str] = {
     "ndjson_round_trip": with_(FILES)
     + "SELECT file_id, size, coalesce(array_to_string(labels, ','), '') AS labels FROM files",
+    "typed_ndjson": with_(FILES) + "SELECT file_id, CASE WHEN doc_id % 7 <> 0 THEN size END AS size FROM files",
+    "listed_files": with_(FILES) + "SELECT source, CAST(sum(length(file_id) + 1) AS BIGINT) AS bytes FROM files GROUP BY source",
+    "schema_contract": """SELECT n_rows, "column", expected, found FROM (SELECT count(*) AS n_rows FROM documents),
+(VALUES ('file_size', 'bigint', 'int'), ('relative_path', 'string', NULL), ('categories', 'array<string>', NULL)) t("column", expected, found)""",
+    "snapshot_job": with_(FILES) + "SELECT file_id, file_name, path, size, '2024-03-01' AS ingestion_date FROM files",
+    "streamed_sync": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "inferred_table_sql": with_(FILES)
     + "SELECT source, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY source",
     "adhoc_listing": with_(FILES) + "SELECT file_id, path, size FROM files ORDER BY file_id LIMIT 100",
@@ -289,10 +299,8 @@ FROM (SELECT *, min(file_id) OVER (PARTITION BY content_sha256) AS keep_id FROM
     + """SELECT file_id, CAST(last_modified AS VARCHAR) AS last_modified FROM files
 WHERE category = 'Records' AND last_modified < DATE '2024-01-01' - INTERVAL 7 YEAR""",
     "rot_files": with_(FILES) + "SELECT file_id, size FROM files WHERE list_contains(labels, 'ROT')",
-    "routed_files": with_(FILES)
-    + """SELECT file_id, target, CASE WHEN target IS NULL THEN 'stay' ELSE 'copy' END AS action, category AS written_category
-FROM (SELECT *, CASE WHEN list_contains(labels, 'CONFIDENTIAL') THEN 'quarantine'
-  WHEN list_contains(labels, 'GATED') THEN 'allowed' END AS target FROM files WHERE labels IS NOT NULL)""",
+    "routed_files": ROUTED,
+    "streamed_routing": ROUTED,
     "rule_count": with_(FILES)
     + f"SELECT count(*) AS value, CAST(count(*) = 0 AS INTEGER) AS passed FROM files WHERE {GAP}",
     "quality_scorecard": with_(FILES)
@@ -382,6 +390,16 @@ UNION ALL SELECT doc_id, NULL, toxic FROM labels""",
 FROM labels FULL JOIN embeddings ON doc_id = vec_id""",
     "united_label_files": with_(FILES) + "SELECT file_id, unnest(labels) AS label FROM files",
     "text_chunks": with_(CHUNKS) + "SELECT document_id, chunk_index, md5(chunk) AS chunk_md5 FROM chunks",
+    "character_chunks": """SELECT document_id, CAST(s // 900 AS BIGINT) AS chunk_index, md5(CASE WHEN length(text) <= 1000 THEN text ELSE substring(text, s + 1, 1000) END) AS chunk_md5
+FROM (SELECT doc_id AS document_id, text, unnest(CASE WHEN length(text) <= 1000 THEN [0] ELSE range(0, length(text), 900) END) AS s FROM documents)""",
+    "mail_attachments": """SELECT CAST(doc_id AS VARCHAR) AS message_id, CAST(0 AS BIGINT) AS pos, source || '.txt' AS filename, md5(source) AS content_md5 FROM documents
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'doc_' || doc_id || '.txt', md5(text) FROM documents WHERE text <> ''""",
+    "embedded_chunks": with_(CHUNKS)
+    + rf"""SELECT document_id, chunk_index, md5(array_to_string(list_transform(n, lambda x: CAST(round(CAST(CAST(CASE WHEN size > 0 THEN x / size ELSE 0 END AS FLOAT) AS DOUBLE) * 1000000) AS BIGINT)), ',')) AS vector_md5
+FROM (SELECT *, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS size FROM (
+  SELECT document_id, chunk_index, list_transform(range(0, 64), lambda i: CAST(len(list_filter(p, lambda x: x = i)) AS DOUBLE)) AS n FROM (
+    SELECT document_id, chunk_index, list_transform(list_filter(regexp_split_to_array(lower(chunk), '{SPACE}+'), lambda w: w <> ''),
+      lambda w: CAST('0x' || md5(w)[1:2] AS INTEGER) % 64) AS p FROM chunks)))""",
     "chunk_documents": with_(DOCS, CHUNKS)
     + """SELECT c.document_id, c.chunk_index, length(c.chunk) AS n_chars, d.title, d.category
 FROM chunks c JOIN docs d ON d.document_id = c.document_id""",
@@ -397,6 +415,9 @@ FROM titled t JOIN counted c ON c.document_id = t.document_id""",
      ORDER BY document_id), '')) FROM (SELECT * FROM titled WHERE length(title) > 255 ORDER BY document_id LIMIT 5)) AS first_errors
 FROM titled t JOIN counted c ON c.document_id = t.document_id""",
     "vector_search": SEARCH,
+    "probed_vector_search": f"SELECT query_id, count(*) AS n_true, true AS similarities_right, true AS recalled FROM ({SEARCH}) GROUP BY query_id",
+    "secured_indexed_search": with_(DOCS, PRINCIPALS, VECTORS, REQUESTS)
+    + "SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM found",
     "indexed_vector_search": SEARCH,
     "vector_search_secured": with_(DOCS, PRINCIPALS, VECTORS, REQUESTS)
     + "SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM found",

@@ -11,7 +11,7 @@ from custodia.registered import views
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not there")
-WRITERS = {"indexed_vector_search", "probed_vector_search", "full_refresh_tables", "snapshot_days", "keyed_table_upsert"}
+WRITERS = {"secured_indexed_search", "indexed_vector_search", "probed_vector_search", "full_refresh_tables", "snapshot_days", "keyed_table_upsert"}
 
 
 @pytest.fixture

@@ -118,10 +118,9 @@ def test_annotations_and_rules(spark, monkeypatch):
     )
     want = [(1, "dup", "ITAR"), (1, "fin", "Financial Projections"), (1, "fin", "of"), (1, "law", "itar"), (4, "fr", "été")]
     assert rows(annotate.annotate(docs, words)) == want
-    monkeypatch.setattr(annotate, "JVM_KEYWORDS", 0)
-    assert rows(annotate.annotate(docs, words)) == want
-    monkeypatch.setattr(annotate, "KEYWORDS_PER_PASS", 1)
-    assert rows(annotate.annotate(docs, words)) == want
+    for size in (1, 3):
+        monkeypatch.setattr(annotate, "GRAM", size)
+        assert rows(annotate.annotate(docs, words)) == want
     assert annotate.annotate(docs, words.limit(0)).count() == 0
     rules = spark.createDataFrame([("fin", "Sensitive"), ("law", "Sensitive"), ("law", "ITAR")], "annotator string, label string")
     assert rows(annotate.apply_label_rules(annotate.annotate(docs, words), rules)) == [(1, ["ITAR", "Sensitive"])]

@@ -65,26 +65,29 @@ def vectors():
     return data
 
 
-def test_search_shared_and_in_blocks(spark, vectors):
+def test_search_in_one_list_and_in_small_blocks(spark, vectors, monkeypatch):
     queries = vectors[[0, 1, 2, 4]] + 0.01
     chunks, asked = frames(spark, vectors, queries)
     want = brute(vectors.astype("float64"), queries.astype("float64"), 7, 0.2)
-    shared = retrieval.vector_search(chunks, asked, 7, 0.2)
-    assert rows(shared, "query_id", "chunk_id", "rank") == want
-    blocks = retrieval.vector_search(chunks, asked, 7, 0.2, max_shared=1, block_rows=40)
-    assert rows(blocks, "query_id", "chunk_id", "rank") == want
+    assert rows(retrieval.vector_search(chunks, asked, 7, 0.2), "query_id", "chunk_id", "rank") == want
+    for lists, block, some, cells in ((9, 40, 2, 4_000_000), (3, 10_000, 1, 3)):
+        monkeypatch.setattr(retrieval, "BLOCK_ROWS", block)
+        monkeypatch.setattr(retrieval, "QUERY_ROWS", some)
+        monkeypatch.setattr(retrieval, "SLICE_CELLS", cells)
+        found = retrieval.vector_search(chunks, asked, 7, 0.2, lists=lists, nprobe=1)
+        assert rows(found, "query_id", "chunk_id", "rank") == want
     assert retrieval.vector_search(chunks, asked.limit(0), 7).count() == 0
     assert retrieval.vector_search(chunks.limit(0), asked, 7).count() == 0
 
 
-def test_small_slices_give_the_same(spark, vectors, monkeypatch):
-    queries = vectors[[0, 1, 2]]
+def test_answer_is_the_same_alone_and_among_many(spark, vectors, tmp_path):
+    queries = rng.normal(size=(2000, 8)).astype("float32")
     chunks, asked = frames(spark, vectors, queries)
-    monkeypatch.setattr(retrieval, "SLICE_CELLS", 3)
-    frame = chunks.toPandas()
-    found = retrieval._best(iter([frame[:100], frame[100:]]), retrieval.QuerySet.of(asked.toPandas(), False), 5, 0.2)
-    want = brute(vectors.astype("float64"), queries.astype("float64"), 5, 0.2)
-    assert sorted(zip(found["query_id"], found["chunk_id"])) == sorted((q, c) for q, c, _ in want)
+    retrieval.build_ivf(chunks, str(tmp_path / "ivf"), lists=12)
+    for exact in (False, True):
+        among = retrieval.ivf_search(str(tmp_path / "ivf"), asked, 5, 0.0, nprobe=1, exact=exact).filter("query_id = 7")
+        alone = retrieval.ivf_search(str(tmp_path / "ivf"), asked.filter("query_id = 7"), 5, 0.0, nprobe=1, exact=exact)
+        assert rows(among) == rows(alone)
 
 
 def test_zero_and_missing_vectors_match_nothing(spark):
@@ -93,15 +96,20 @@ def test_zero_and_missing_vectors_match_nothing(spark):
     assert rows(retrieval.vector_search(chunks, asked, 5, -2.0), "query_id", "chunk_id") == [(1, 1)]
 
 
-@pytest.mark.parametrize("max_shared", [100, 1])
-def test_secured_search_sees_only_what_the_policy_shows(spark, vectors, max_shared):
+@pytest.mark.parametrize("indexed", [False, True])
+def test_secured_search_sees_only_what_the_policy_shows(spark, vectors, indexed, tmp_path):
     categories = ["Records", "Performance Review", "Code of Conduct", None]
     access = [(i, categories[i % 4], [f"u{i % 5}@x"] if i % 2 else None, f"E{i % 7}") for i in range(300)]
     info = spark.createDataFrame(access, "chunk_id bigint, category string, entitled_emails array<string>, extracted_employee_id string")
     people = [("u1@x", "E1", ["pm"]), ("u2@x", "E2", ["can_see_all_reviews"]), ("u9@x", None, None)]
     chunks, asked = frames(spark, vectors, vectors[[0, 1, 2]])
     who = spark.createDataFrame([(i, *p) for i, p in enumerate(people)], "query_id bigint, email string, employee_id string, groups array<string>")
-    found = retrieval.vector_search(chunks.join(info, "chunk_id"), asked.join(who, "query_id"), 6, 0.0, secured=True, max_shared=max_shared)
+    secured, people_asking = chunks.join(info, "chunk_id"), asked.join(who, "query_id")
+    if indexed:
+        retrieval.build_ivf(secured, str(tmp_path / "ivf"), lists=6)
+        found = retrieval.ivf_search(str(tmp_path / "ivf"), people_asking, 6, 0.0, nprobe=1, secured=True)
+    else:
+        found = retrieval.vector_search(secured, people_asking, 6, 0.0, secured=True)
     allowed = []
     for email, employee, groups in people:
         visible = apply_entitlements(info, Principal(email, employee or "", tuple(groups or ())))
@@ -173,7 +181,7 @@ def test_ingest(spark):
         ],
         "hit_id bigint, file_name string, category string, j string",
     ).select("hit_id", "file_name", "category", F.parse_json("j").alias("source"))
-    result = jobs.ingest_documents(jobs.documents_of_hits(hits, "7"), retrieval.hashed_words(16))
+    result = jobs.ingest_documents(jobs.documents_of_hits(hits, "7"), lambda texts: [[1.0] * 16 for _ in texts])
     got = rows(result.documents, "document_id", "title", "entitled_emails", "extracted_employee_id")
     assert got == [(1, "a.txt", ["a@x", "b@x"], "E1"), (2, "Two", [], None), (3, "Untitled Document", [], None)]
     assert rows(result.chunks.groupBy("document_id").count()) == [(1, 1), (2, 2), (3, 1)]
