@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import naming, wire
 from ..functions.values import first_truthy
 from ..session import checkpointed
-from .skew import HOT_ROWS, join_by_weight
 
 
 def select_labels(classifications: DataFrame, limit: int = 0) -> DataFrame:
@@ -31,13 +30,13 @@ def datasource_item(datasource: Column) -> Column:
 
 
 def label_datasources(files: DataFrame, labels: DataFrame) -> DataFrame:
-    """Which datasources hold files of which label: ``label_pos, label_id, ds``.
+    """Which datasources hold how many files of which label: ``label_pos, label_id, ds, document_count``.
 
     ``files``: pos, datasource, labels (id, name). ``labels``: pos, id, name. Files are matched by
     label id; a label that finds nothing by id is tried by name. Of one datasource the first file
     decides what is known of it.
 
-    Files are read once and reduced to one row per label and datasource; that small table is
+    Files are read once and reduced to one row per label and datasource; that small table and the result are
     checkpointed, and nothing after it grows with the files.
     """
     tagged = files.filter("datasource.id IS NOT NULL").select(
@@ -45,7 +44,7 @@ def label_datasources(files: DataFrame, labels: DataFrame) -> DataFrame:
     )
     seen = tagged.groupBy(
         F.col("label.id").cast("string").alias("seen_id"), F.col("label.name").alias("seen_name"), F.col("ds.id").alias("ds_id")
-    ).agg(F.min_by("ds", "pos").alias("ds"), F.min("pos").alias("first_pos"))
+    ).agg(F.min_by("ds", "pos").alias("ds"), F.min("pos").alias("first_pos"), F.count("*").alias("n"))
     seen = checkpointed(seen)
     wanted = labels.select(F.col("pos").alias("label_pos"), F.col("id").cast("string").alias("label_id"), F.col("name").alias("label_name"))
 
@@ -53,7 +52,8 @@ def label_datasources(files: DataFrame, labels: DataFrame) -> DataFrame:
     missed = wanted.join(seen.select("seen_id"), F.col("label_id") == F.col("seen_id"), "left_anti")
     by_name = missed.filter("label_name <> ''").join(seen, F.col("label_name") == F.col("seen_name"))
     found = by_id.unionByName(by_name).groupBy("label_pos", "label_id", "ds_id")
-    return found.agg(F.min_by("ds", "first_pos").alias("ds")).select("label_pos", "label_id", "ds")
+    one = found.agg(F.min_by("ds", "first_pos").alias("ds"), F.sum("n").alias("document_count"))
+    return checkpointed(one.select("label_pos", "label_id", "ds", "document_count"))
 
 
 def unique_datasources(pairs: DataFrame) -> DataFrame:
@@ -68,15 +68,15 @@ def hit_counts(files: DataFrame) -> DataFrame:
     return tagged.groupBy("datasource_id", "label").agg(F.count("*").alias("document_count"))
 
 
-def by_collection(datasources: DataFrame, refs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def by_collection(datasources: DataFrame, refs: DataFrame) -> DataFrame:
     """Datasources with the collection they belong to and how many it has; those without are dropped.
 
     The result is one row per datasource, not one list per collection, so a collection may be of
     any size.
     """
-    placed = datasources.join(refs, "id").filter("collection_ref <> ''")
-    sizes = placed.groupBy("collection_ref").agg(F.count("*").alias("collection_size"))
-    return join_by_weight(placed, sizes, ["collection_ref"], "collection_size", "id", hot_rows)
+    placed = checkpointed(datasources.join(refs, "id").filter("collection_ref <> ''"))
+    sizes = checkpointed(placed.groupBy("collection_ref").agg(F.count("*").alias("collection_size")))
+    return placed.join(sizes, "collection_ref")
 
 
 def collection_refs(datasources: DataFrame) -> DataFrame:
@@ -103,8 +103,11 @@ def label_entities(labels: DataFrame, tenant: str, link_base: str) -> DataFrame:
     )
 
 
-def datasource_entities(datasources: DataFrame, tenant: str) -> DataFrame:
+def datasource_entities(datasources: DataFrame, tenant: str, refs: DataFrame | None = None) -> DataFrame:
+    """Catalog entities of the datasources; with ``refs`` (id, collection_ref) also the collection each goes to."""
     ident = F.col("id").cast("string")
+    if refs is not None:
+        datasources = datasources.join(refs, "id", "left")
     return datasources.select(
         F.lit(wire.DATASOURCE_TYPE).alias("type_name"),
         naming.datasource_qn(F.lit(tenant), ident).alias("qualified_name"),
@@ -112,17 +115,20 @@ def datasource_entities(datasources: DataFrame, tenant: str) -> DataFrame:
         ident.alias("datasource_id"),
         F.coalesce("connector_type", F.lit("")).alias("connector_type"),
         F.lit(tenant).alias("tenant"),
+        *(["collection_ref"] if refs is not None else []),
     )
 
 
-def has_edges(pairs: DataFrame, labels: DataFrame, tenant: str) -> DataFrame:
-    """The edge from each datasource to each label found in it."""
+def has_edges(pairs: DataFrame, labels: DataFrame, tenant: str, as_of: str | None = None) -> DataFrame:
+    """The edge from each datasource to each label found in it, with the number of files and the time of the count."""
     known = labels.select(F.col("id").cast("string").alias("label_id"), F.col("tenant").alias("label_tenant"))
     tag = naming.tag_qn(first_truthy(F.col("label_tenant"), F.lit(tenant)), F.col("label_id"))
     return pairs.join(known, "label_id").select(
         F.lit(wire.HAS_RELATION).alias("relation"),
         naming.datasource_qn(F.lit(tenant), F.col("ds.id")).alias("datasource_qn"),
         tag.alias("label_qn"),
+        "document_count",
+        F.lit(as_of).cast("string").alias("stats_updated_at"),
     )
 
 

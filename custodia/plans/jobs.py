@@ -13,6 +13,7 @@ from ..functions import wire
 from ..functions.wire import CATEGORY_MAX, EMPLOYEE_MAX, TITLE_MAX
 from ..operators import catalog, matching, retrieval
 from ..operators.access import ACCESS_COLUMNS
+from ..session import checkpointed
 from ..sources import ndjson, tables
 
 
@@ -68,7 +69,7 @@ class CatalogSync:
 
 
 def catalog_sync(
-    files: DataFrame, classifications: DataFrame, existing: DataFrame, tenant: str, link_base: str, limit: int = 0
+    files: DataFrame, classifications: DataFrame, existing: DataFrame, tenant: str, link_base: str, limit: int = 0, as_of: str | None = None
 ) -> CatalogSync:
     """One cycle: entities of labels and datasources, edges, lineage, and the names to delete.
 
@@ -76,12 +77,12 @@ def catalog_sync(
     """
     labels = catalog.select_labels(classifications, limit)
     pairs = catalog.label_datasources(files, labels)
-    datasources = catalog.unique_datasources(pairs)
+    datasources = checkpointed(catalog.unique_datasources(pairs))
     entities = catalog.label_entities(labels, tenant, link_base)
     return CatalogSync(
         labels=entities,
-        datasources=catalog.datasource_entities(datasources, tenant),
-        edges=catalog.has_edges(pairs, labels, tenant),
+        datasources=catalog.datasource_entities(datasources, tenant, catalog.collection_refs(datasources)),
+        edges=catalog.has_edges(pairs, labels, tenant, as_of),
         processes=catalog.lineage_rows(pairs, labels, datasources, tenant, link_base),
         stale=catalog.stale(existing, catalog.label_entities(catalog.select_labels(classifications), tenant, link_base), tenant),
     )

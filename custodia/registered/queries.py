@@ -662,7 +662,8 @@ def datasource_entities(spark, sf):
 @query
 def has_edges(spark, sf):
     """Edges from datasources to labels."""
-    return catalog.has_edges(_pairs(spark, sf), _labels(spark, sf), view.TENANT)
+    edges = catalog.has_edges(_pairs(spark, sf), _labels(spark, sf), view.TENANT, "2024-06-01")
+    return edges.withColumn("document_count", F.col("document_count").cast("bigint"))
 
 
 @query

@@ -365,7 +365,8 @@ FROM tags""",
   connector_type, 'acme' AS tenant FROM sources""",
     "has_edges": with_(FILES, CATALOG)
     + """SELECT 'unstructured_datasource_has_unstructured_dataset' AS relation, 'dxrds://acme/' || ds_id AS datasource_qn,
-  'dxrtag://acme/' || label_id AS label_qn FROM pairs""",
+  'dxrtag://acme/' || label_id AS label_qn, (SELECT count(*) FROM tagged t WHERE t.name = pairs.name AND t.source = pairs.ds_id) AS document_count,
+  '2024-06-01' AS stats_updated_at FROM pairs""",
     "lineage_rows": with_(FILES, CATALOG, LINEAGE) + "SELECT * FROM lineage",
     "entity_lookup": with_(FILES, CATALOG, EXISTING)
     + "SELECT qualified_name, name FROM existing WHERE qualified_name IN (SELECT 'dxrtag://acme/' || id FROM tags)",
