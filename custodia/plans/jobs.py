@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import values as v
 from ..functions import wire
 from ..functions.wire import CATEGORY_MAX, EMPLOYEE_MAX, TITLE_MAX
-from ..operators import catalog, matching, retrieval
+from ..operators import batching, catalog, matching, retrieval
 from ..operators.access import ACCESS_COLUMNS
 from ..session import checkpointed
 from ..sources import ndjson, tables
@@ -57,6 +57,20 @@ def volume_metadata(
     return tables.latest_per_key(rows, ["file_path"], ["indexed_at", "object_id", "raw_metadata"])
 
 
+def volume_plan(files: DataFrame, max_bytes: int, max_files: int) -> DataFrame:
+    """Files of a listing packed into batches: the ``batch`` column that submissions refer to."""
+    packed = batching.plan_batches(files, max_bytes, max_files)
+    return packed.withColumn("batch", F.col("batch").cast("string"))
+
+
+def run_volume(metadata: DataFrame, path: str) -> bool:
+    """Check the rows of ``volume_metadata`` against the contract of the table and upsert them by file."""
+    wrong = tables.schema_differences(metadata.schema, tables.metadata_schema())
+    if wrong:
+        raise ValueError(f"metadata rows break the table's contract: {wrong}")
+    return tables.merge_upsert(metadata, path, ["file_path"])
+
+
 @dataclass(frozen=True)
 class CatalogSync:
     """What one cycle writes to the catalog."""

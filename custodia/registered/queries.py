@@ -576,14 +576,28 @@ def rejected_jobs(spark, sf):
     return matching.rejected_jobs(*_jobs(spark, sf)).select("job_id", "reason")
 
 
+def _metadata(spark, sf, as_of="2024-01-01 00:00:00"):
+    submissions, results = _jobs(spark, sf)
+    hits = view.hits(spark, sf).drop("batch")
+    return jobs.volume_metadata(view.submitted(spark, sf), submissions, results, hits, "main", "files", "inbox", "ds-1", as_of)
+
+
 @query
 def volume_metadata(spark, sf):
     """The metadata rows of all jobs, one per file."""
-    submissions, results = _jobs(spark, sf)
-    rows = jobs.volume_metadata(
-        view.submitted(spark, sf), submissions, results, view.hits(spark, sf).drop("batch"),
-        "main", "files", "inbox", "ds-1", "2024-01-01 00:00:00",
-    )
+    return _shown_metadata(_metadata(spark, sf))
+
+
+@query
+def volume_table(spark, sf):
+    """The volume job's end, S9 and S10: rows checked and upserted, twice; the second run replaces the first's rows."""
+    folder = scratch_folder(spark, "volume-table")
+    jobs.run_volume(_metadata(spark, sf, "2023-01-01 00:00:00"), folder)
+    jobs.run_volume(_metadata(spark, sf), folder)
+    return _shown_metadata(tables.read_keyed(spark, folder))
+
+
+def _shown_metadata(rows):
     return rows.select(
         "file_path", "relative_path", "file_size", "modification_time", "datasource_id", "datasource_scan_id", "job_id",
         "file_name", "object_id", "sha256", "doc_language", "folder_id",

@@ -166,6 +166,15 @@ label_states AS (SELECT doc_id, 'q' || quality AS state, CAST(toxic AS DOUBLE) A
 MERGED = with_(STATE) + """SELECT doc_id, state, value FROM label_states WHERE doc_id NOT IN (SELECT doc_id FROM events_last)
 UNION ALL SELECT doc_id, state, value FROM events_last"""
 
+METADATA = with_(SUBMITTED, HITS, JOBS) + """SELECT '/vol/' || relative_path AS file_path, relative_path, size_bytes AS file_size, modification_time,
+  'ds-1' AS datasource_id, CAST(m.batch AS BIGINT) AS datasource_scan_id, m.job_id, name AS file_name, hit_id AS object_id,
+  sha AS sha256, lang AS doc_language, CAST(NULL AS VARCHAR) AS folder_id,
+  toxic AS is_processed, CAST(NULL AS INTEGER) AS ocr_used,
+  CASE WHEN quality IS NULL THEN '' ELSE 'checked,' || lang END AS tags, source AS categories, CAST(0 AS BIGINT) AS n_removed,
+  n_chars AS stats_size, '2024-01-01 00:00:00' AS collected_at
+FROM matched m JOIN jobs j ON j.scan_id = m.batch
+QUALIFY row_number() OVER (PARTITION BY relative_path, m.batch ORDER BY hit_id DESC) = 1"""
+
 ROUTED = with_(FILES) + """SELECT file_id, target, CASE WHEN target IS NULL THEN 'stay' ELSE 'copy' END AS action, category AS written_category
 FROM (SELECT *, CASE WHEN list_contains(labels, 'CONFIDENTIAL') THEN 'quarantine'
   WHEN list_contains(labels, 'GATED') THEN 'allowed' END AS target FROM files WHERE labels IS NOT NULL)"""
@@ -325,15 +334,8 @@ FROM documents d JOIN jobs j ON j.scan_id = CAST(d.doc_id // 100 AS VARCHAR)""",
     "rejected_jobs": with_(JOBS)
     + """SELECT job_id, CASE WHEN scan_id IS NULL THEN 'no scan id' ELSE 'not finished, hits collected anyway' END AS reason
 FROM jobs WHERE scan_id IS NULL OR state <> 'FINISHED'""",
-    "volume_metadata": with_(SUBMITTED, HITS, JOBS)
-    + """SELECT '/vol/' || relative_path AS file_path, relative_path, size_bytes AS file_size, modification_time,
-  'ds-1' AS datasource_id, CAST(m.batch AS BIGINT) AS datasource_scan_id, m.job_id, name AS file_name, hit_id AS object_id,
-  sha AS sha256, lang AS doc_language, CAST(NULL AS VARCHAR) AS folder_id,
-  toxic AS is_processed, CAST(NULL AS INTEGER) AS ocr_used,
-  CASE WHEN quality IS NULL THEN '' ELSE 'checked,' || lang END AS tags, source AS categories, CAST(0 AS BIGINT) AS n_removed,
-  n_chars AS stats_size, '2024-01-01 00:00:00' AS collected_at
-FROM matched m JOIN jobs j ON j.scan_id = m.batch
-QUALIFY row_number() OVER (PARTITION BY relative_path, m.batch ORDER BY hit_id DESC) = 1""",
+    "volume_metadata": METADATA,
+    "volume_table": METADATA,
     "batch_plan": with_(FILES).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
     + """,
 ordered AS (SELECT path, size, row_number() OVER (ORDER BY path) AS rn FROM files),
