@@ -7,14 +7,14 @@ letter counts first (an edit changes few), then the edit distance, by a band of
 reachable cells are the bits of one number for each count of edits.
 
 Lines are ordered by document id and line number. A line goes if an equal one stands earlier, or one within
-``max_edits`` edits whose text is another. Equal lines are reduced to one row by a partial aggregate before anything
-else. In each bucket of lines all are first compared with the earliest ones; only those still unlinked meet the rest of the
-bucket, so a bucket of lines that resemble each other isn't listed pair by pair. Texts travel once, as keys of that
-aggregate, and again only for lines that share a key.
+``max_edits`` edits whose text is another. Keys and equal lines are counted by hash, with partial aggregates before the
+shuffle. In each bucket of lines all are first compared with the earliest ones; only those still unlinked meet the rest of the
+bucket, so a bucket of lines that resemble each other isn't listed pair by pair. Only the texts of lines that share a
+key are shuffled. Equality is that of 128 hash bits, that of lines compared by edits is their text's.
 
 Defined results. Null texts have no lines; blank lines always stay and never count. Lines below ``min_chars`` characters are only
 compared for equality. Null ids come last. Rows with equal ids and texts are one document, and their lines go or stay alike;
-of rows with equal ids and other texts, equal line numbers are one place, which then stays in both. Ids are integers. Extra columns
+of rows with equal ids and other texts, equal line numbers are one place, where the smaller line is the earlier one. Ids are integers. Extra columns
 pass through ``deduplicated`` and are ignored elsewhere. Empty tables give no rows.
 """
 
@@ -25,25 +25,23 @@ from pyspark.sql import functions as F
 
 from custodia.llm.decontaminate import bit_map, in_map
 from custodia.llm.quality_rules import SPACES
-from custodia.session import checkpointed, scratch_folder
+from custodia.session import checkpointed
 
 MAX_EDITS = 2
 MIN_CHARS = 24
 MAP_BITS = 1 << 22
 #: Letters counted together by the filter before the edit distance; others only count in the length.
 CLASSES = ("eéèêE", "aáàâäA", "oóòôöO", "iíìîI", "tT", "nñN", "sS", "rR", "dD", "uúùûüU", " ", "hH", "lL", "cçC")
+#: Neighbouring letters counted by the same filter, of two different letters each, so that none overlaps itself.
+NEIGHBOURS = (
+    "th", "he", "er", "re", "an", "nd", "on", "in", "en", "ti", "es", "st", "ed", "ou", "nt", "ea", "ha", "at", "or", "ng",
+    "le", "ly", "sh", "ei", "ie", "ch", "un", "ge", "be", "qu", "el", "au", "eu", "ci", "os", "as", "ue", "do", "ai", "it",
+)
 PLACE = "decimal(38,0)"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a table in the shared scratch folder."""
-    path = scratch_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def filled(line: Column) -> Column:
-    return F.translate(line, SPACES, "") != ""
+    return F.btrim(line, F.lit(SPACES)) != ""
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
@@ -89,24 +87,39 @@ def keys_of(line: Column, edits: int) -> Column:
     return F.array(*index, *probes)
 
 
-def within(left: Column, right: Column, edits: int) -> Column:
-    """Whether two strings lie within ``edits`` edits: a banded, bit-parallel run over the characters of ``right``.
+def with_near(pairs: DataFrame, left: str, right: str, edits: int) -> DataFrame:
+    """``pairs`` with ``near``: whether two strings lie within ``edits`` edits, by a banded, bit-parallel run.
 
     Bit ``k`` of ``r{e}`` says that with ``e`` edits the run can stand ``k - edits`` characters further in ``left`` than in
-    ``right``. A character of ``right`` moves all diagonals at once.
+    ``right``. A character of ``right`` moves all diagonals at once; which of them match is worked out for all characters first.
+    Strings that differ in too many neighbouring pairs of characters (an edit takes away two at most, and adds two) have
+    nothing to run over. The steps are columns of their own, as an expression inside a lambda is computed each time it is met.
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
     names = [f"r{e}" for e in range(edits + 1)]
-    start = F.struct(
-        F.split(left, "").alias("a"),
-        F.split(right, "").alias("b"),
-        *[F.lit(sum(1 << (edits + d) for d in range(e + 1))).alias(name) for e, name in enumerate(names)],
-    )
+    pairs = pairs.withColumns({"_a": F.split(left, ""), "_b": F.split(right, "")})
+
+    def neighbours(chars: str) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(chars) - 2, F.lit(0)))
+        return F.transform(places, lambda i: F.xxhash64(F.get(chars, i), F.get(chars, i + 1)))
+
+    pairs = pairs.withColumns({"_a2": neighbours("_a"), "_b2": neighbours("_b")})
+    likely = F.abs(F.size("_a") - F.size("_b")) <= edits
+    for one, other in (("_a2", "_b2"), ("_b2", "_a2")):
+        likely = likely & (F.size(F.array_except(one, other)) <= 2 * edits)
+    pairs = pairs.withColumn("_likely", likely)
+
+    def matches(j: Column) -> Column:
+        char, bits = F.get("_b", j), F.lit(0)
+        for k in range(width):
+            bits = bits.bitwiseOR(F.when(F.get("_a", j + (k - edits)) == char, 1 << k).otherwise(0))
+        return bits
 
-    def step(state: Column, j: Column) -> Column:
-        char = F.get(state["b"], j)
-        same = sum((F.when(F.get(state["a"], j + (k - edits)) == char, 1 << k).otherwise(0) for k in range(width)), F.lit(0))
+    every = F.transform(F.sequence(F.lit(0), F.size("_b") - 1), matches)
+    pairs = pairs.withColumn("_same", F.when(F.col("_likely"), every).otherwise(F.array().cast("array<int>")))
+
+    def step(state: Column, same: Column) -> Column:
         new: list[Column] = []
         for e, name in enumerate(names):
             cell = state[name].bitwiseAND(same)
@@ -114,73 +127,90 @@ def within(left: Column, right: Column, edits: int) -> Column:
                 before = state[names[e - 1]]
                 cell = cell.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(new[-1], 1).bitwiseAND(full))
             new.append(cell)
-        alive = state[names[0]]
-        for name in names[1:]:
-            alive = alive.bitwiseOR(state[name])
-        return F.when(
-            alive != 0, F.struct(state["a"].alias("a"), state["b"].alias("b"), *[c.cast("int").alias(x) for c, x in zip(new, names)])
-        ).otherwise(state)
+        return F.struct(*[c.alias(name) for c, name in zip(new, names)])
+
+    start = F.struct(*[F.lit(sum(1 << (edits + d) for d in range(e + 1))).alias(name) for e, name in enumerate(names)])
+    cells = F.aggregate("_same", start, step, lambda state: _any([state[name] for name in names]))
+    end = F.call_function("shiftleft", F.lit(1), F.size("_a") - F.size("_b") + edits)
+    near = F.when(F.col("_likely"), cells.bitwiseAND(end) != 0).otherwise(F.lit(False))
+    return pairs.withColumn("near", near).drop("_a", "_b", "_a2", "_b2", "_likely", "_same")
 
-    def end(state: Column) -> Column:
-        cell = F.call_function("shiftleft", F.lit(1), F.length(left) - F.length(right) + edits)
-        reached = state[names[0]]
-        for name in names[1:]:
-            reached = reached.bitwiseOR(state[name])
-        return reached.bitwiseAND(cell) != 0
 
-    steps = F.sequence(F.lit(0), F.length(right) - 1)
-    return F.when(F.abs(F.length(left) - F.length(right)) <= edits, F.aggregate(steps, start, step, end)).otherwise(F.lit(False))
+def _any(bits: list[Column]) -> Column:
+    out = bits[0]
+    for more in bits[1:]:
+        out = out.bitwiseOR(more)
+    return out
 
 
 def _close(edits: int) -> Column:
-    """Letter counts allow the distance: an edit changes at most two counts by one, or one by one and the length."""
-    total = F.lit(0)
-    for i in range(len(CLASSES)):
-        total = total + F.abs(F.get("bag", F.lit(i)) - F.get("other_bag", F.lit(i)))
-    return total <= 2 * edits
+    """Counts allow the distance: an edit takes away a letter at most and adds one, takes away two neighbouring pairs of
+    letters at most and adds two.
+
+    The sums are tested after a few counts already, which rules out most pairs of lines that aren't close.
+    """
+    apart = [F.abs(F.get("bag", F.lit(i)) - F.get("other_bag", F.lit(i))) for i in range(len(CLASSES) + len(NEIGHBOURS))]
+    tests, done = [], F.lit(0)
+    for start, stop in ((0, 3), (3, 7), (7, len(CLASSES))):
+        done = sum(apart[start:stop], done)
+        tests.append(done <= 2 * edits)
+    pairs = F.lit(0)
+    for start in range(len(CLASSES), len(apart), 10):
+        pairs = sum(apart[start : start + 10], pairs)
+        tests.append(pairs <= 4 * edits)
+    out = tests[0]
+    for test in tests[1:]:
+        out = out & test
+    return out
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """``id`` of the lines whose pair ``(id, other)`` lies within the distance."""
     one, two = texts.select("id", "line"), texts.select(F.col("id").alias("other"), F.col("line").alias("other_line"))
-    met = pairs.join(one, "id").join(two, "other").withColumn("near", within(F.col("line"), F.col("other_line"), edits))
-    return met.filter("near").select("id").distinct()
+    met = with_near(pairs.join(one, "id").join(two, "other"), "line", "other_line", edits)
+    # an aggregate between the test and its use keeps the planner from folding the steps into one expression
+    return met.groupBy("id").agg(F.max("near").alias("near")).filter("near").select("id")
 
 
-def near_lines(table: DataFrame, docs: DataFrame, doc_id: str, text: str, edits: int) -> DataFrame:
-    """``(h1, h2)`` of the lines of ``table`` with an earlier line within ``edits`` edits."""
-    keyed = table.filter("keys IS NOT NULL").select("h1", F.posexplode("keys").alias("number", "key"))
+def near_lines(docs: DataFrame, doc_id: str, text: str, edits: int, min_chars: int) -> DataFrame:
+    """``(h1, h2)`` of the lines with an earlier line within ``edits`` edits."""
+    lines = line_rows(docs, doc_id, text).filter(F.length("line") >= min_chars)
+    keyed = lines.select(first_hash(F.col("line")).alias("h1"), F.posexplode(keys_of(F.col("line"), edits)).alias("number", "key"))
     # an id is a line's hash but for the last bit, which says whether the key is an index entry
     entry = F.when(F.col("number") <= edits, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    rows = keyed.select("key", (F.col("h1").bitwiseAND(F.lit(-2)) + entry).alias("tagged")).repartition("key")
+    rows = keyed.select("key", (F.col("h1").bitwiseAND(F.lit(-2)) + entry).alias("tagged"))
     bare = F.col("tagged").bitwiseAND(F.lit(-2))
+    # equal lines are one id; partial sums fold them before the shuffle
     shared = rows.groupBy("key").agg(F.min(bare).alias("least"), F.max(bare).alias("most"), F.max(F.col("tagged").bitwiseAND(F.lit(1))).alias("entries"))
-    shared = shared.filter("least <> most AND entries = 1").select("key")
-    met = checkpointed(rows.join(shared, "key", "left_semi").select("key", bare.alias("id"), (F.col("tagged") != bare).alias("entry")).distinct())
+    shared = checkpointed(shared.filter("least <> most AND entries = 1").select("key"))
+    wanted = bit_map(shared.select(F.col("key").alias("hash")), MAP_BITS)
+    again = rows.filter(in_map(wanted.scalar(), F.col("key"), MAP_BITS)).distinct().join(shared, "key", "left_semi")
+    met = checkpointed(again.select("key", bare.alias("id"), (F.col("tagged") != bare).alias("entry")))
 
     known = bit_map(met.select(F.col("id").alias("hash")).distinct(), MAP_BITS)
-    lines = line_rows(docs, doc_id, text)
     rare = lines.filter(in_map(known.scalar(), first_hash(F.col("line")).bitwiseAND(F.lit(-2)), MAP_BITS))
     rare = rare.groupBy("line").agg(F.min(place_of(F.col("id"), F.col("line_no"))).alias("place"))
     n = F.length("line")
-    bag = F.array(*[(n - F.length(F.translate("line", chars, ""))) for chars in CLASSES])
+    letters = [n - F.length(F.translate("line", chars, "")) for chars in CLASSES]
+    bag = F.array(*letters, *[(n - F.length(F.replace(F.col("line"), F.lit(pair)))) / 2 for pair in NEIGHBOURS]).cast("array<int>")
     own = first_hash(F.col("line"))
     texts = rare.select(own.bitwiseAND(F.lit(-2)).alias("id"), own.alias("h1"), second_hash(F.col("line")).alias("h2"), "line", "place", bag.alias("bag"))
-    texts = checkpointed(texts.join(met.select("id").distinct(), "id", "left_semi"))
+    texts = texts.join(met.select("id").distinct(), "id", "left_semi").repartitionByRange("place").sortWithinPartitions("place", "line")
+    texts = checkpointed(texts.withColumn("pos", F.monotonically_increasing_id()).drop("place"))  # rises with the place
 
-    members = checkpointed(met.join(texts.select("id", "place", "bag"), "id"))
-    first = F.min(F.struct("place", "id", "bag"))
-    ahead = members.groupBy("key").agg(first.alias("any"), F.min(F.when(F.col("entry"), F.struct("place", "id", "bag"))).alias("entered"))
+    members = checkpointed(met.join(texts.select("id", "pos", "bag"), "id"))
+    first = F.min(F.struct("pos", "id", "bag"))
+    ahead = members.groupBy("key").agg(first.alias("any"), F.min(F.when(F.col("entry"), F.struct("pos", "id", "bag"))).alias("entered"))
     ahead = checkpointed(ahead)
     met_first = members.join(ahead, "key")
     leaders = F.array(F.when(F.col("entry"), F.col("any")), F.col("entered"))
-    tested = met_first.select("id", "place", "bag", F.explode(leaders).alias("o")).filter(F.col("o.place") < F.col("place"))
+    tested = met_first.select("id", "pos", "bag", F.explode(leaders).alias("o")).filter(F.col("o.pos") < F.col("pos"))
     tested = tested.select("id", F.col("o.id").alias("other"), "bag", F.col("o.bag").alias("other_bag")).filter(_close(edits))
     found = checkpointed(_linked(tested.select("id", "other").distinct(), texts, edits))
 
     rest = members.join(found, "id", "left_anti")
-    others = members.select("key", F.col("id").alias("other"), F.col("place").alias("other_place"), F.col("entry").alias("other_entry"), F.col("bag").alias("other_bag"))
-    pairs = rest.join(others, (rest["key"] == others["key"]) & (F.col("other_place") < F.col("place")) & (F.col("entry") | F.col("other_entry")) & _close(edits))
+    others = members.select("key", F.col("id").alias("other"), F.col("pos").alias("other_pos"), F.col("entry").alias("other_entry"), F.col("bag").alias("other_bag"))
+    pairs = rest.join(others, (rest["key"] == others["key"]) & (F.col("other_pos") < F.col("pos")) & (F.col("entry") | F.col("other_entry")) & _close(edits))
     more = _linked(pairs.select("id", "other").distinct(), texts, edits)
     return texts.join(found.unionByName(more), "id", "left_semi").select("h1", "h2")
 
@@ -192,11 +222,9 @@ def removals(
     equal an earlier line or only come near one. ``digest`` is the hash of the text."""
     line = F.col("line")
     lines = line_rows(docs, doc_id, text)
-    distinct = lines.groupBy("line").agg(F.min(place_of(F.col("id"), F.col("line_no"))).alias("place"), F.count("*").alias("copies"))
-    keys = F.when(F.length(line) >= min_chars, keys_of(line, max_edits))
-    table = written(distinct.select(first_hash(line).alias("h1"), second_hash(line).alias("h2"), "place", "copies", keys.alias("keys")), "lines")
-    near = near_lines(table, docs, doc_id, text, max_edits).withColumn("near", F.lit(True))
-    again = table.filter("copies > 1").select("h1", "h2", "place")
+    seen = lines.select(first_hash(line).alias("h1"), second_hash(line).alias("h2"), place_of(F.col("id"), F.col("line_no")).alias("place"))
+    again = seen.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    near = near_lines(docs, doc_id, text, max_edits, min_chars).withColumn("near", F.lit(True))
     judged = checkpointed(again.join(near, ["h1", "h2"], "full").select("h1", "h2", "place", F.coalesce("near", F.lit(False)).alias("near")))
     known = bit_map(judged.select(F.col("h1").alias("hash")), MAP_BITS)
     rows = line_rows(docs, doc_id, text, F.xxhash64(f"`{text}`").alias("digest"))

@@ -42,7 +42,7 @@ def test_distance_and_shared_keys(spark, edits):
     df = spark.createDataFrame(pairs, "a string, b string")
     index = F.slice(line_dedup.keys_of(F.col("b"), edits), 1, edits + 1)
     met = F.arrays_overlap(index, line_dedup.keys_of(F.col("a"), edits))
-    for r in df.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), edits).alias("near"), met.alias("met")).collect():
+    for r in line_dedup.with_near(df.withColumn("met", met), "a", "b", edits).collect():
         assert r.near == (distance(r.a, r.b) <= edits), (r.a, r.b)
         if r.near and len(r.a) >= len(r.b) > edits:
             assert r.met, (r.a, r.b)
@@ -57,7 +57,7 @@ def brute(docs, edits, min_chars):
                 places[line] = min(places.get(line, order(i, n)), order(i, n))
     long = [x for x in places if len(x) >= min_chars]
     near = {
-        a for a in long for b in long if places[b] < places[a] and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
+        a for a in long for b in long if (places[b], b) < (places[a], a) and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits
     }
     out = []
     for i, text, *_ in docs:
@@ -81,6 +81,7 @@ def corpus():
             lines.append(edited(rng, rng.choice(base), rng.randrange(4)) if kind < 0.5 else sentence(6) if kind < 0.7 else rng.choice(["", " ", base[0], template.format(rng.randrange(60))]))
         docs.append((i * 7 % 61, "\n".join(lines), "", "", 0))
     docs += [(None, base[0] + "\n" + base[1] + "x", "", "", 0), (None, None, None, None, None), (3, None, "", "", 0), (500, "\n \n", "", "", 0)]
+    docs += [(502, "a line of some length, first", "", "", 0), (502, "a line of some length, firsts", "", "", 0)]
     return docs + [(501, base[2] * 300 + "\n" + base[2] * 300 + "ab\n" + base[3], "", "", 0), (docs[4][0], docs[4][1], "", "", 0)]
 
 
