@@ -1,6 +1,7 @@
 """Every registered query runs on the smallest tables, and gives what its SQL gives."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -23,7 +24,7 @@ def base():
 
 def test_every_sql_has_its_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"embedded_chunks", "probed_vector_search"}
+    assert all(re.match(r"op\d+_|pipeline$", name) for name in set(QUERIES) - set(ORACLE))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
