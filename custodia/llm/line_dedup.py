@@ -65,26 +65,38 @@ def second_hash(line: Column) -> Column:
     return F.xxhash64(F.lit(29), line)
 
 
-def segment(length: Column, number: int, edits: int) -> tuple[Column, Column]:
+def segment(length: Column, number: Column, edits: int) -> tuple[Column, Column]:
     """1-based start and length of a segment (``number`` from 0) of lines of this length; later ones take the remainder."""
     parts = edits + 1
-    base, longer = F.floor(length / parts), length % parts
-    ahead = F.greatest(F.lit(number) - (F.lit(parts) - longer), F.lit(0))  # longer segments before this one
-    return (base * number + ahead + 1).cast("int"), (base + F.when(F.lit(number) >= F.lit(parts) - longer, 1).otherwise(0)).cast("int")
+    longer = length % parts
+    base = ((length - longer) / parts).cast("int")
+    ahead = F.greatest(number - (F.lit(parts) - longer), F.lit(0))  # longer segments before this one
+    return base * number + ahead + 1, base + F.when(number >= F.lit(parts) - longer, 1).otherwise(0)
 
 
-def keys_of(line: Column, edits: int) -> Column:
-    """All keys of a line: the first ``edits + 1`` are its index entries, the others probes."""
-    n, index, probes = F.length(line), [], []
+def wide(line: Column) -> Column:
+    """A line in four bytes a character, so that a segment is found without walking through the text."""
+    return F.encode(line, "UTF-32")
+
+
+def key_rows(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` with a row for each ``key`` of their ``wide`` text; ``entry`` is 1 for index entries and 0 for probes.
+
+    The kinds of keys are exploded before the keys are made: one short expression is compiled well, a dozen aren't.
+    """
+    kinds = []
     for shorter in range(edits + 1):
-        length = n - shorter
-        for i in range(edits + 1):
-            start, size = segment(length, i, edits)
-            left = edits - i  # edits that the text after the segment may still take
-            for shift in range(max(-i, shorter - left), min(i, shorter + left) + 1):
-                key = F.xxhash64(length, F.lit(i), F.substring(line, start + shift, size))
-                (index if shorter == 0 and shift == 0 else probes).append(key)
-    return F.array(*index, *probes)
+        for number in range(edits + 1):
+            left = edits - number  # edits that the text after the segment may still take
+            for shift in range(max(-number, shorter - left), min(number, shorter + left) + 1):
+                fields = {"shorter": shorter, "number": number, "shift": shift, "entry": int(shorter == 0 and shift == 0)}
+                kinds.append(F.struct(*[F.lit(value).alias(name) for name, value in fields.items()]))
+    others = [c for c in lines.columns if c != "wide"]
+    rows = lines.select("*", F.explode(F.array(*kinds)).alias("kind"))
+    length = (F.octet_length("wide") / 4).cast("int") - F.col("kind.shorter")
+    start, size = segment(length, F.col("kind.number"), edits)
+    key = F.xxhash64(length, F.col("kind.number"), F.substring(F.col("wide"), (start + F.col("kind.shift")) * 4 - 3, size * 4))
+    return rows.select(*others, key.alias("key"), F.col("kind.entry").cast("bigint").alias("entry"))
 
 
 def with_near(pairs: DataFrame, left: str, right: str, edits: int) -> DataFrame:
@@ -175,10 +187,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 def near_lines(docs: DataFrame, doc_id: str, text: str, edits: int, min_chars: int) -> DataFrame:
     """``(h1, h2)`` of the lines with an earlier line within ``edits`` edits."""
     lines = line_rows(docs, doc_id, text).filter(F.length("line") >= min_chars)
-    keyed = lines.select(first_hash(F.col("line")).alias("h1"), F.posexplode(keys_of(F.col("line"), edits)).alias("number", "key"))
+    keyed = key_rows(lines.select(first_hash(F.col("line")).alias("h1"), wide(F.col("line")).alias("wide")), edits)
     # an id is a line's hash but for the last bit, which says whether the key is an index entry
-    entry = F.when(F.col("number") <= edits, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    rows = keyed.select("key", (F.col("h1").bitwiseAND(F.lit(-2)) + entry).alias("tagged"))
+    rows = keyed.select("key", (F.col("h1").bitwiseAND(F.lit(-2)) + F.col("entry")).alias("tagged"))
     bare = F.col("tagged").bitwiseAND(F.lit(-2))
     # equal lines are one id; partial sums fold them before the shuffle
     shared = rows.groupBy("key").agg(F.min(bare).alias("least"), F.max(bare).alias("most"), F.max(F.col("tagged").bitwiseAND(F.lit(1))).alias("entries"))

@@ -40,12 +40,13 @@ def test_distance_and_shared_keys(spark, edits):
         a = "".join(rng.choice("abcdé 𝔘") for _ in range(rng.randrange(edits + 1, 40)))
         pairs.append((a, edited(rng, a, rng.randrange(edits + 3)) or "a"))
     df = spark.createDataFrame(pairs, "a string, b string")
-    index = F.slice(line_dedup.keys_of(F.col("b"), edits), 1, edits + 1)
-    met = F.arrays_overlap(index, line_dedup.keys_of(F.col("a"), edits))
-    for r in line_dedup.with_near(df.withColumn("met", met), "a", "b", edits).collect():
+    df = df.withColumn("n", F.monotonically_increasing_id()).cache()
+    index, probes = (line_dedup.key_rows(df.select("n", line_dedup.wide(F.col(c)).alias("wide")), edits) for c in ("b", "a"))
+    met = {r.n for r in index.filter("entry = 1").join(probes, ["n", "key"]).select("n").distinct().collect()}
+    for r in line_dedup.with_near(df, "a", "b", edits).collect():
         assert r.near == (distance(r.a, r.b) <= edits), (r.a, r.b)
         if r.near and len(r.a) >= len(r.b) > edits:
-            assert r.met, (r.a, r.b)
+            assert r.n in met, (r.a, r.b)
 
 
 def brute(docs, edits, min_chars):
