@@ -9,7 +9,8 @@ weighted Jaccard similarity. Only points before a time bound are made, as later
 
 Texts with the same words are one text from the start. Texts that share a band are compared by exact multiset Jaccard
 similarity: first with the smallest text of the bucket, and then, where a bucket still holds several classes, with the
-rest of it, so no pair that shares a band is left untested unless it is in one class already.
+rest of it, so no pair that shares a band is left untested unless it is in one class already or its signatures rule it
+out (a pair just similar enough is lost by the bands with a chance of 5e-5, by that test with one of 3e-7).
 
 Defined results. Null and empty texts, and texts without words, have no shingles and stay alone. Texts of fewer words than a
 shingle are one shingle. Repeated rows and ids are members like others. Null ids can't name a class unless no
@@ -18,11 +19,12 @@ member has an id. Extra columns are ignored. Empty tables give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.llm.common import plain_words
@@ -34,9 +36,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
-#: Leaders that a bucket tests in one of the later rounds, and pairs per member below which the rest is tested at once.
-LEADERS = 4
-PAIRS_PER_MEMBER = 4
+#: Leaders that a bucket tests in one of the later rounds, and comparisons per member below which the rest meets at once.
+LEADERS = 16
+PAIRS_PER_MEMBER = 2000
+#: Slots of the signature are compared before texts are, by four bits each; a pair goes if more slots differ than the
+#: similarity allows by this many standard deviations.
+DEVIATIONS = 5.0
 #: Words that are worked on at once.
 PIECE = 1 << 17
 
@@ -122,6 +127,13 @@ def band_values(best: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return value.view(np.int64)
 
 
+def sketch_words(best: np.ndarray) -> np.ndarray:
+    """Four bits of each slot, sixteen slots in a number."""
+    codes = (_mixed(best.view(np.uint64)) & np.uint64(15)).astype(np.uint64)
+    codes = np.pad(codes, ((0, 0), (0, -codes.shape[1] % 16))).reshape(len(best), -1, 16)
+    return (codes << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def members_of(owner: np.ndarray, keys: np.ndarray, counts: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """The multisets as sets, one number for each copy of a shingle, and how many each text has."""
     copy = _spread(np.zeros(len(counts), dtype=np.int64), counts).astype(np.uint64)
@@ -158,7 +170,8 @@ def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def banded(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """``(row, id, digest, d1, d2, n, bands)``: digest of the text, of its words, number of shingles, and band values (none without words)."""
+    """``(row, id, digest, d1, d2, n, bands)``: digest of the text, of its words, number of shingles, and
+    band values with the words of the sketch behind them (none without words)."""
     read = _hashed(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id())
     n = F.when(F.size("h") > 0, F.greatest(F.size("h") - size + 1, F.lit(1))).otherwise(0).cast("bigint")
     read = read.select("row", "id", "digest", "d1", "d2", n.alias("n"), "h")
@@ -167,9 +180,10 @@ def banded(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
         def made(words, ends):
             texts = len(ends) - 1
             owner, keys, counts = shingles(words, ends, size)
-            values = band_values(signatures(owner, keys, counts, texts, bands * rows), bands, rows)
+            best = signatures(owner, keys, counts, texts, bands * rows)
+            values = np.concatenate([band_values(best, bands, rows), sketch_words(best)], axis=1)
             filled = np.bincount(owner, minlength=texts) > 0
-            return values[filled].ravel(), filled * bands
+            return values[filled].ravel(), filled * values.shape[1]
 
         return _with_list(batches, "bands", made)
 
@@ -189,63 +203,73 @@ def _multisets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataF
     return read.mapInArrow(work, "rep bigint, members array<bigint>")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose multisets have at least this Jaccard similarity."""
-    one = sets.select(F.col("rep").alias("a"), F.col("members").alias("left"))
-    two = sets.select(F.col("rep").alias("b"), F.col("members").alias("right"))
-    shared = F.size(F.array_intersect("left", "right"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("shared"), (F.size("left") + F.size("right")).alias("all"))
-    return met.filter(F.col("shared") >= similarity * (F.col("all") - F.col("shared"))).select("a", "b")
+def _similar(similarity: float) -> Column:
+    """Jaccard similarity of the multisets ``members`` and ``other_members``."""
+    shared, both = F.size(F.array_intersect("members", "other_members")), F.size("members") + F.size("other_members")
+    return shared * (1 + similarity) >= similarity * both
 
 
-def _in_reach(similarity: float):
-    """Sizes of the two texts allow the similarity."""
-    return F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
+def _possible(similarity: float, slots: int) -> Column:
+    """Sizes and sketches of two texts (``n, sketch, other_n, other_sketch``) allow the similarity."""
+    differ = F.lit(0)
+    for i in range(-(-slots // 16)):
+        bits = F.get("sketch", F.lit(i)).bitwiseXOR(F.get("other_sketch", F.lit(i)))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(bits)
+    chance = (1 - similarity) * 15 / 16
+    most = math.ceil(slots * chance + DEVIATIONS * math.sqrt(slots * chance * (1 - chance)))
+    return (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")) & (differ <= most)
 
 
-def linked(members: DataFrame, verify, similarity: float) -> DataFrame:
-    """``(node, root)`` of the classes of ``members (bucket, rep, n)``; texts without a link have no row.
+def linked(members: DataFrame, sets: DataFrame, similarity: float, slots: int) -> DataFrame:
+    """``(node, root)`` of the classes of ``members (bucket, rep, n, sketch)``; texts without a link have no row.
 
-    ``verify`` takes distinct pairs ``(a, b)`` with ``a < b`` and gives those that are similar.
+    ``sets`` has the multiset (``members``) and all ``buckets`` of each ``rep``. Sizes, sketches and then the multisets are compared in the
+    condition of a join, so that pairs that aren't similar are never rows.
     """
-    leader = checkpointed(members.groupBy("bucket").agg(F.min("rep").alias("a")))
-    sizes = members.select(F.col("rep").alias("a"), F.col("n").alias("other_n")).distinct()
-    first = members.join(leader, "bucket").filter("a < rep").select("a", F.col("rep").alias("b"), "n").distinct()
-    first = first.join(sizes, "a").filter(_in_reach(similarity)).select("a", "b")
-    links = checkpointed(verify(first))
-    rest = members
-    done = False
+    possible, similar = _possible(similarity, slots), _similar(similarity)
+    facts = members.select(F.col("rep").alias("a"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch")).dropDuplicates(["a"])
+    leader = members.groupBy("bucket").agg(F.min("rep").alias("a"))
+    first = members.join(leader.hint("merge"), "bucket").filter("a < rep").dropDuplicates(["a", "rep"])
+    first = first.join(facts.hint("merge"), "a").filter(possible).select("a", "rep")
+    first = first.join(sets.drop("buckets").hint("merge"), "rep")  # the leader's multiset meets it below
+    leaders = sets.select(F.col("rep").alias("a"), F.col("members").alias("other_members"))
+    links = checkpointed(first.join(leaders.hint("merge"), "a").filter(similar).select("a", F.col("rep").alias("b")))
+    rest, done = members, False
     while True:
         root = components(links)
         if done:
             return root
-        rest = rest.select("bucket", "rep", "n").join(root.withColumnRenamed("node", "rep"), "rep", "left")
+        rest = rest.select("bucket", "rep", "n", "sketch").join(root.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
         rest = checkpointed(rest.withColumn("class", F.coalesce("root", "rep")).drop("root"))
-        per_class = checkpointed(rest.groupBy("bucket", "class").agg(F.count("*").alias("own")))
-        per_bucket = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("own").alias("all"), F.sum(F.col("own") * F.col("own")).alias("squares"))
-        mixed = checkpointed(per_bucket.filter("classes > 1").withColumn("open", (F.col("all") * F.col("all") - F.col("squares")) / 2))
-        still, held = mixed.agg(F.sum("open"), F.sum("all")).first()
-        if not still:
+        per_class = rest.groupBy("bucket", "class").agg(F.count("*").alias("own"))
+        largest = F.max(F.struct("own", "class")).alias("largest")
+        mixed = per_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("own").alias("all"), largest).filter("classes > 1")
+        mixed = checkpointed(mixed.select("bucket", "all", F.col("largest.class").alias("main"), (F.col("all") - F.col("largest.own")).alias("odd")))
+        compared, held = mixed.agg(F.sum(F.col("all") * F.col("odd")), F.sum("all")).first()
+        if not compared:
             return root
-        rest = checkpointed(rest.join(mixed.select("bucket"), "bucket", "left_semi"))
-        per_class = per_class.join(mixed.select("bucket"), "bucket", "left_semi")
-        if still <= PAIRS_PER_MEMBER * held:
-            other = per_class.select("bucket", F.col("class").alias("other_class"))
-            classes = per_class.select("bucket", "class").join(other, "bucket").filter("class < other_class")
-            two = rest.select("bucket", F.col("class").alias("other_class"), F.col("rep").alias("other"), F.col("n").alias("other_n"))
-            pairs = rest.join(classes, ["bucket", "class"]).join(two, ["bucket", "other_class"])
+        rest = rest.join(mixed.select("bucket", "main").hint("merge"), "bucket")
+        full = rest.join(sets.hint("merge"), "rep")
+        other = full.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "n", "sketch", "class", "members", "buckets")])
+        here = F.col("bucket") == F.array_min(F.array_intersect("buckets", "other_buckets"))  # each pair in one bucket only
+        if compared <= PAIRS_PER_MEMBER * held:
+            # texts outside their bucket's largest class meet all others of the bucket, each pair once
+            once = (F.col("other_class") == F.col("main")) | (F.col("rep") < F.col("other_rep"))
+            met = full.filter("class <> main").join(other.hint("merge"), "bucket")
+            pairs = met.filter((F.col("class") != F.col("other_class")) & once & possible & here & similar)
             done = True
         else:
-            # too many to list at once: a few leaders of each bucket meet all others of it and leave
-            ahead = F.slice(F.array_sort(F.collect_set("rep")), 1, LEADERS)
-            lists = rest.groupBy("bucket", F.pmod("rep", F.lit(64)).alias("part")).agg(F.min("rep").alias("rep")).groupBy("bucket")
-            chosen = lists.agg(ahead.alias("reps")).select("bucket", F.explode("reps").alias("other"))
-            owners = rest.select("bucket", F.col("rep").alias("other"), F.col("class").alias("other_class"), F.col("n").alias("other_n"))
-            chosen = checkpointed(chosen.join(owners, ["bucket", "other"]))
-            pairs = rest.join(chosen, "bucket").filter("class <> other_class")
-            rest = checkpointed(rest.join(chosen.select("bucket", F.col("other").alias("rep")), ["bucket", "rep"], "left_anti"))
-        pairs = pairs.filter(_in_reach(similarity)).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        links = checkpointed(links.unionByName(verify(pairs)))
+            # too many to compare at once: some leaders of each bucket meet all others of it and leave
+            ahead = rest.groupBy("bucket", F.pmod("rep", F.lit(64)).alias("part")).agg(F.min("rep").alias("rep")).groupBy("bucket")
+            chosen = ahead.agg(F.slice(F.array_sort(F.collect_set("rep")), 1, LEADERS).alias("reps"))
+            chosen = checkpointed(chosen.select("bucket", F.explode("reps").alias("other_rep")))
+            met = full.join(chosen.join(other.hint("merge"), ["bucket", "other_rep"]).hint("merge"), "bucket")
+            pairs = met.filter((F.col("class") != F.col("other_class")) & possible & here & similar)
+            rest = checkpointed(rest.join(chosen.withColumnRenamed("other_rep", "rep").hint("merge"), ["bucket", "rep"], "left_anti"))
+        pairs = pairs.select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("b")).distinct()
+        links = checkpointed(links.unionByName(pairs))
 
 
 def near_duplicates(
@@ -263,18 +287,22 @@ def near_duplicates(
     """
     scanned = checkpointed(banded(docs, doc_id, text, size, bands, rows))
     groups = checkpointed(scanned.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
-    reps = scanned.join(groups.select(F.col("rep").alias("row")), "row", "left_semi")
-    buckets = reps.select(F.col("row").alias("rep"), "n", F.posexplode("bands").alias("band", "value"))
-    buckets = buckets.select(F.xxhash64("band", "value").alias("bucket"), "rep", "n")
+    reps = scanned.join(groups.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
+    buckets = reps.select(F.col("row").alias("rep"), F.posexplode(F.slice("bands", 1, bands)).alias("band", "value"))
+    buckets = buckets.select(F.xxhash64("band", "value").alias("bucket"), "rep")
     full = checkpointed(buckets.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1").select("bucket"))
-    members = checkpointed(buckets.join(full, "bucket"))
+    shared = buckets.join(full.hint("merge"), "bucket")
+    facts = reps.select(F.col("row").alias("rep"), "n", F.slice("bands", bands + 1, -(-bands * rows // 16)).alias("sketch"))
+    members = checkpointed(shared.join(facts.hint("merge"), "rep"))
     wanted = groups.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "d1", "d2")
-    sets = checkpointed(_multisets(docs, doc_id, text, size, checkpointed(wanted)))
-    roots = linked(members, lambda pairs: _similar(pairs, sets, similarity), similarity).withColumnRenamed("node", "rep")
+    owned = F.transform(F.slice("bands", 1, bands), lambda value, band: F.xxhash64(band, value))
+    owned = reps.select(F.col("row").alias("rep"), owned.alias("buckets"))
+    sets = checkpointed(_multisets(docs, doc_id, text, size, wanted).join(owned.hint("merge"), "rep"))
+    roots = linked(members, sets, similarity, bands * rows)
+    roots = roots.withColumnRenamed("node", "rep")
     classes = checkpointed(groups.join(roots, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root")))
     own = scanned.select("row", "id", "digest", "d1", "d2", "n")
     placed = own.filter("n > 0").join(classes, ["d1", "d2"]).unionByName(own.filter("n = 0").withColumn("root", F.col("row")))
-    placed = checkpointed(placed)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     heads = checkpointed(placed.groupBy("root").agg(first, F.count("*").alias("class_size")))
     return placed.join(heads, "root").select(

@@ -74,6 +74,7 @@ def test_classes_against_brute_force(spark):
 
 def test_leader_rounds_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "PAIRS_PER_MEMBER", 0.2)
+    monkeypatch.setattr(near_duplicates, "LEADERS", 2)
     docs = texts(random.Random(12), 5)
     base = [f"v{i}" for i in range(120)]
     for i in range(14):  # a chain of texts: neighbours are similar, ends are not
@@ -115,6 +116,20 @@ def test_shingles_of_many_texts():
     assert [keys[owner == i].tolist() for i in range(len(texts))] == alone
 
 
+def test_sketches_count_differing_slots(spark):
+    rng = np.random.default_rng(8)
+    best = rng.random((2, 125))
+    best[1, 30:] = best[0, 30:]
+    words = near_duplicates.sketch_words(best)
+    codes = [[int(w) >> (4 * k) & 15 for w in row for k in range(16)] for row in words]
+    differ = sum(x != y for x, y in zip(*codes))
+    assert 15 <= differ <= 30
+    df = spark.createDataFrame([(9, words[0].tolist(), 9, words[1].tolist())], "n long, sketch array<long>, other_n long, other_sketch array<long>")
+    assert df.filter(near_duplicates._possible(0.8, 125)).count() == 1
+    far = spark.createDataFrame([(9, words[0].tolist(), 9, (~words[1]).tolist())], df.schema)
+    assert far.filter(near_duplicates._possible(0.8, 125)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + rng.randrange(1, 50)) for _ in range(80)] + [(7, 7), (None, 3), (200, 100)]
