@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from custodia.llm import decontaminate, html_text, language, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sql, token_counts, toxicity
 from custodia.llm.common import table
+from custodia.session import checkpointed
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_counts.with_suffix_sums(token_counts.histogram(token_counts.lengths(docs)))
+    counts = checkpointed(token_counts.histogram(token_counts.lengths(docs)))  # several sums read it, texts are encoded once
+    return token_counts.with_suffix_sums(counts)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
