@@ -31,7 +31,7 @@ ENTROPY = 0.95
 REPEATS = 4.0
 BLOCK_TOKENS = 1 << 20
 #: Rows that one range of the order holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 STEPS = 40
 SEED = 7
 
