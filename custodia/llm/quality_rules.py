@@ -19,8 +19,6 @@ from custodia.llm.common import union_length
 from custodia.session import checkpointed
 
 BUCKETS = 1 << 14
-#: At most so many trusted documents are counted: their ids are broadcast, 16 bytes each.
-TRUSTED_ROWS = 50_000
 #: Mean log ratio (in nats) a document needs.
 THRESHOLD = -0.05
 SMOOTHING = 1.0
@@ -96,18 +94,16 @@ def _buckets(rows: DataFrame, buckets: int, *others: str) -> DataFrame:
     return pair.select(*others, F.explode(F.array("one", "two")).alias("bucket")).filter(F.col("bucket").isNotNull())
 
 
-def ratios(
-    docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS
-) -> DataFrame:
+def ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, buckets: int = BUCKETS) -> DataFrame:
     """``(bucket, raw, target, ratio)``: counts in the corpus and in trusted documents, log ratio in millionths.
 
-    ``trusted`` has the trusted ids in its first column. One scan counts both; beyond ``trusted_rows`` ids, those
-    with the smallest hashes are taken.
+    ``trusted`` has the trusted ids in its first column; all of them are counted, in the same scan as the corpus.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("id")).filter(F.col("id").isNotNull()).distinct()
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(trusted_rows)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.transform(spaced_words(F.col(f"`{text}`")), lambda w: F.xxhash64(w)).alias("h"))
-    flagged = rows.join(F.broadcast(ids.withColumn("target", F.lit(1))), "id", "left")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    # texts are shuffled as they are, the hashes of their words would be larger
+    met = rows.join(ids.withColumn("target", F.lit(1)), "id", "left")
+    flagged = met.select("target", F.transform(spaced_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
     counts = _buckets(flagged, buckets, "target").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
     all_buckets = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
     full = checkpointed(all_buckets.join(counts, "bucket", "left").fillna(0, ["raw", "target"]))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from custodia.llm import quality_rules
 
@@ -93,3 +94,9 @@ def test_no_python(spark):
     df = spark.createDataFrame([(1, "a b", "", "")], SCHEMA)
     model = quality_rules.ratios(df, df.select("doc_id"), "doc_id", "text", 16)
     assert not re.search("Python|Arrow|Cartesian", quality_rules.judged(df, model, buckets=16)._jdf.queryExecution().toString())
+
+
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    model = quality_rules.ratios(docs, docs.select("doc_id"), "doc_id", "text", 16)
+    assert tuple(model.agg(F.sum("raw"), F.sum("target")).first()) == (60_000, 60_000)
