@@ -272,10 +272,10 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: s
     share = known.agg(F.avg("label"), F.count("*")).first()
     if share[0] in (None, 0.0, 1.0):
         return Scorer(model, {}, None, float(share[0] or 0.0))
-    # ids are at most about ``fit_rows`` (see sampled); copies with the same beginning are learned from once
+    # ids are at most about ``fit_rows`` (see sampled); equal texts are learned from once
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
-    rows = checkpointed(rows.dropDuplicates(["label", "second", "text"]).withColumn("opening", F.xxhash64(F.substring("text", 1, 60))))
-    first = rows.filter("NOT second").dropDuplicates(["label", "opening"]).select("label", "text")
+    rows = checkpointed(rows.select("label", "second", "text").distinct())
+    first = rows.filter("NOT second").select("label", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, shown = Restorer(model), {0: Counter(), 1: Counter()}

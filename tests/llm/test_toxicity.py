@@ -103,6 +103,14 @@ def test_scores_of_planted_noise(spark):
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) / len(held) > 0.97
 
 
+def test_texts_with_one_header_are_all_learned_from(spark):
+    docs, labels = corpus(random.Random(8), 600)
+    header = "from the archive of one hot source, all pages of which begin alike, "
+    docs = [(i, header + text, "", "") for i, text, *_ in docs]
+    got = toxicity.scored(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).filter("held_out").collect()
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in got) / len(got) > 0.97
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, "")], [(i, 0, "") for i in range(9)]])
 def test_few_labels(spark, labels):
     docs = [(1, "a b", "", ""), (2, None, "", "")]
