@@ -6,7 +6,8 @@ labels makes runs of blocks agree. It is trained on labelled pages by the gradie
 are decoded by Viterbi. Pages are independent rows, so nothing is shuffled.
 
 Defined results. Null and empty pages, and pages without main text, give the empty text. Unclosed tags, comments and
-quotes end with the page. Repeated rows are extracted one by one. Extra columns are ignored; empty tables give no rows.
+quotes end with the page. Drawings (svg) are no text, formulas (math) are inline text; both are empty if their tag ends in
+"/". Repeated rows are extracted one by one. Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ BLOCK_TAGS = frozenset(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style title textarea template svg math iframe object noembed noframes xmp".split())
+RAW_TAGS = frozenset("script style title textarea template svg iframe object noembed noframes xmp".split())
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(
@@ -40,6 +41,7 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""\b(class|id|role|keep|drop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORD = re.compile(r"[a-z]+")
+UNQUOTED = re.compile(r"""=\s*[^\s"'=]+\Z""")
 STEPS = 250
 PENALTY = 0.02
 
@@ -116,6 +118,26 @@ class _Page:
                 return  # a stray inline end doesn't reach beyond its block
 
 
+def empty(attributes: str) -> bool:
+    """Whether a tag closes itself; a slash at the end of an unquoted value belongs to the value."""
+    return attributes.endswith("/") and not UNQUOTED.search(attributes)
+
+
+def after_svg(source: str, at: int) -> int:
+    """Where the svg element ends whose content begins at ``at``; with too few closing tags, behind the last of them."""
+    depth, last = 1, len(source)
+    for found in TOKEN.finditer(source, at):
+        if (found.group(2) or found.group(5) or "").lower() != "svg":
+            continue
+        if found.group(1) or found.group(4):
+            depth, last = depth - 1, found.end()
+            if not depth:
+                break
+        elif not empty(found.group(3) or found.group(6) or ""):
+            depth += 1
+    return last
+
+
 def cut(page: str | None, marks: bool = False) -> list[Block]:
     """Blocks of a page, in page order. ``marks`` reads the marks of labelled pages."""
     state, at, source = _Page(marks), 0, page or ""
@@ -129,13 +151,18 @@ def cut(page: str | None, marks: bool = False) -> list[Block]:
         tag = (found.group(2) or found.group(5) or "").lower()
         if not tag:
             continue
+        attributes = found.group(3) or found.group(6) or ""
         if found.group(1) or found.group(4):
             state.end(tag)
+        elif tag in ("svg", "math") and empty(attributes):
+            continue
+        elif tag == "svg":
+            at = after_svg(source, at)
         elif tag in RAW_TAGS:
             close = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*(?:>|\Z)", re.I).search(source, at)
             at = close.end() if close else len(source)
         else:
-            state.start(tag, found.group(3) or found.group(6) or "")
+            state.start(tag, attributes)
     if at < len(source):
         state.add(source[at:])
     state.flush()

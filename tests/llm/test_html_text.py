@@ -34,6 +34,18 @@ def test_blocks():
     assert html_text.cut("<div class='Main-ad x'><p>t</p></div>")[0].names == ("main", "ad", "x")
 
 
+def test_drawings_and_formulas():
+    assert texts('<p>a<svg width="1" /> b</p><p>c <SVG/>d<math/> e') == ["a b", "c d e"]
+    assert texts("<p>a <svg><g><svg>x</svg></g><text>y</text></svg>b<p>c") == ["a b", "c"]
+    assert texts("<p>a <svg><svg/><text>x</text></svg>b <svg id=1/>x</svg>c <svg d='k=1'/>d") == ["a b c d"]
+    assert texts("<p>a <svg><svg>x</svg>b<p>c") == ["a b", "c"] and texts("a <svg>b<p>c") == ["a"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["so x=2 holds"]
+    begin = time.time()
+    for page in ("<svg>" * 100_000, "<svg>" * 50_000 + "</svg>" * 50_000, "<svg>" * 50_000 + "</svg>", "<svg/>" * 50_000):
+        html_text.cut(page)
+    assert time.time() - begin < 20
+
+
 def test_strange_pages_take_linear_time():
     begin = time.time()
     for page in ("<" * 300_000, "<a " + '"' * 100_001, "<a b='" * 20_000, "<p>" * 100_000 + "x", "</p>" * 100_000, "<!--" * 50_000, "&" * 300_000):
