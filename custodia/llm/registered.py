@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custodia.llm import decontaminate, html_text, language, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sql, token_counts, toxicity
+from custodia.llm import (
+    decontaminate,
+    filter_audit,
+    html_text,
+    language,
+    line_dedup,
+    mixing,
+    near_duplicates,
+    quality_classifier,
+    quality_rules,
+    ranked_search,
+    sql,
+    token_counts,
+    toxicity,
+    vector_links,
+)
 from custodia.llm.common import table
 from custodia.session import checkpointed
 
@@ -61,6 +76,20 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = checkpointed(ranked_search.index(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return ranked_search.search(blocks, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return filter_audit.audit(filter_audit.failure_sets(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +103,15 @@ QUERIES = {
         op8_quality,
         op9_line_dedup,
         op10_html_text,
+        op11_vector_links,
+        op12_ranked_search,
+        op13_filter_audit,
     )
 }
-ORACLE = {"op6_decontamination": sql.OP6, "op9_line_dedup": sql.OP9}
+ORACLE = {
+    "op6_decontamination": sql.OP6,
+    "op9_line_dedup": sql.OP9,
+    "op11_vector_links": sql.OP11,
+    "op12_ranked_search": sql.OP12,
+    "op13_filter_audit": sql.OP13,
+}
