@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -64,23 +64,29 @@ def embed(df: DataFrame, embedder: Callable[[pd.Series], list] | None = None, te
     return df.withColumn(out, vectors(F.col(text)))
 
 
-#: Fixed value: the characters that stand for the 64 places of a hashed vector, in order.
-PLACES = "0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmno"
+#: Places of a hashed vector; place ``i`` is written as the character with the code ``FIRST_PLACE + i``.
+PLACES = 64
+FIRST_PLACE = 48
 
 
 def word_places(text: Column) -> Column:
-    """One character of ``PLACES`` for each word of a text, by the first two digits of the word's md5."""
+    """A character for each word of a text, by the first two digits of the word's md5."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
-    place = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int") % len(PLACES)
-    return F.array_join(F.transform(words, lambda w: F.char(F.lit(ord(PLACES[0])) + place(w))), "")
+    place = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int") % PLACES
+    return F.array_join(F.transform(words, lambda w: F.char(F.lit(FIRST_PLACE) + place(w))), "")
 
 
 def hashed_words(places: Column) -> Column:
     """A small deterministic vector from ``word_places``: counts scaled to length one, zeros without words."""
-    counts = F.array(*[(F.length(places) - F.length(F.translate(places, c, ""))).cast("double") for c in PLACES])
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * n))
-    scaled = F.transform(F.arrays_zip(counts.alias("n"), F.array_repeat(length, len(PLACES)).alias("l")), lambda z: F.when(z["l"] > 0, z["n"] / z["l"]).otherwise(0.0))
-    return scaled.cast("array<float>")
+
+    def count(texts: pd.Series) -> pd.Series:
+        sizes = texts.str.len().to_numpy(dtype="int64")
+        at = np.frombuffer("".join(texts).encode(), dtype=np.uint8).astype("int64") - FIRST_PLACE
+        counts = np.bincount(np.repeat(np.arange(len(texts)), sizes) * PLACES + at, minlength=len(texts) * PLACES).reshape(-1, PLACES)
+        length = np.sqrt((counts.astype("float64") ** 2).sum(axis=1, keepdims=True))
+        return pd.Series(list((counts / np.where(length > 0, length, 1)).astype("float32")))
+
+    return F.pandas_udf(count, "array<float>")(places)
 
 
 def _unit(vectors: pd.Series, width: int | None = None) -> np.ndarray:
@@ -171,6 +177,10 @@ class Lists:
     centers: np.ndarray
     radius: np.ndarray
     members: np.ndarray
+    stored: bool = False  # one partition of a table per list, so that other lists need not be read
+
+    def of(self, chunks: DataFrame) -> Lists:
+        return replace(self, chunks=chunks)
 
     def gaps(self, unit: np.ndarray) -> np.ndarray:
         """Distance of each direction to each center."""
@@ -255,14 +265,28 @@ def _nothing(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     return chunks.sparkSession.createDataFrame([], f"query_id {types[0]}, chunk_id {types[1]}, similarity double, rank int")
 
 
-def _search(lists: Lists, queries: DataFrame, k: int, threshold: float, secured: bool, nprobe: int, exact: bool) -> DataFrame:
+def _search(
+    lists: Lists,
+    queries: DataFrame,
+    k: int,
+    threshold: float,
+    secured: bool,
+    nprobe: int,
+    exact: bool,
+    maps: Callable[[DataFrame], DataFrame] | None = None,
+    decode: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+) -> DataFrame:
     """First every query's ``nprobe`` nearest lists, then, if ``exact``, each list whose center and radius still allow
-    a chunk as good as the ``k``-th found. Queries stay rows of a table all the way."""
+    a chunk as good as the ``k``-th found. Queries stay rows of a table all the way.
+
+    ``maps`` adds bit maps of the lists that are open to a query; ``decode`` makes the vectors of rows that have none.
+    """
     if not len(lists.ids):
         return _nothing(lists.chunks, queries)
     asked = queries.select("query_id", "embedding", *([_grants_of_asker().alias("grants")] if secured else []))
-    asked = checkpointed(asked)
-    first = checkpointed(top_k(_search_pairs(lists, _probes(asked.withColumn("limit", F.lit(None).cast("double")), lists, nprobe, threshold), k, threshold), k))
+    asked = checkpointed(maps(asked) if maps else asked)
+    nearest = _probes(asked.withColumn("limit", F.lit(None).cast("double")), lists, nprobe, threshold)
+    first = checkpointed(top_k(_search_pairs(lists, nearest, k, threshold, decode), k))
     if not exact or nprobe >= len(lists.ids):
         return first
     kth = first.filter(F.col("rank") == k).select("query_id", F.col("similarity").alias("limit"))
@@ -274,7 +298,7 @@ def _search(lists: Lists, queries: DataFrame, k: int, threshold: float, secured:
 def _probes(asked: DataFrame, lists: Lists, nprobe: int, threshold: float) -> DataFrame:
     """A row for each query and list to search: the nearest lists without a ``limit``, the other open ones with it."""
     own = Lists(None, lists.ids, lists.centers, lists.radius, lists.members)
-    names = [c for c in asked.columns if c != "limit"]
+    names = [c for c in asked.columns if c not in ("limit", "maps")]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -283,19 +307,31 @@ def _probes(asked: DataFrame, lists: Lists, nprobe: int, threshold: float) -> Da
                 unit = _unit(batch["embedding"], own.centers.shape[1])
                 sound = ~np.isnan(unit).any(axis=1)
                 batch, gaps = batch[sound], own.gaps(unit[sound])
+                closed = _closed(batch["maps"], own.ids) if "maps" in batch else np.zeros(gaps.shape, dtype=bool)
+                gaps[closed] = np.inf
                 wanted = np.zeros(gaps.shape, dtype=bool)
                 np.put_along_axis(wanted, np.argsort(gaps, axis=1, kind="stable")[:, :nprobe], True, axis=1)
                 limit = batch["limit"].to_numpy(dtype="float64")
                 if not np.isnan(limit).all():
                     reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * limit)) + 1e-6
                     wanted = (gaps - own.radius[None, :] <= reach[:, None]) & ~wanted
-                query, place = np.nonzero(wanted)
+                query, place = np.nonzero(wanted & ~closed)
                 yield batch[names].iloc[query].assign(list_id=own.ids[place].astype("int32"))
 
-    return asked.mapInPandas(probe, StructType([f for f in asked.schema.fields if f.name != "limit"]).add("list_id", "integer"))
+    return asked.mapInPandas(probe, StructType([f for f in asked.schema.fields if f.name in names]).add("list_id", "integer"))
+
+
+def _closed(maps: pd.Series, ids: np.ndarray) -> np.ndarray:
+    """Query by list: no bit map of the query has the list's bit set."""
+    shut = np.ones((len(maps), len(ids)), dtype=bool)
+    for row, some in enumerate(maps):
+        for words in some:
+            bits = np.asarray(words, dtype="int64")[ids // 64] >> (ids % 64) & 1
+            shut[row] &= bits == 0
+    return shut
 
 
-def _search_pairs(lists: Lists, probes: DataFrame, k: int, threshold: float) -> DataFrame:
+def _search_pairs(lists: Lists, probes: DataFrame, k: int, threshold: float, decode: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """Chunks and queries meet by list. A long list is dealt over shares, the queries of a list over groups, so a meeting
     has at most about ``BLOCK_ROWS`` chunks and ``QUERY_ROWS`` queries; only queries that probe a list are scored in it."""
     spark = probes.sparkSession
@@ -304,8 +340,11 @@ def _search_pairs(lists: Lists, probes: DataFrame, k: int, threshold: float) ->
     sizes = spark.createDataFrame([(int(i), -(-int(n) // BLOCK_ROWS)) for i, n in zip(lists.ids, lists.members)], "list_id int, shares int")
     plan = sizes.join(asked, "list_id").withColumn("parts", F.ceil(F.col("asked") / QUERY_ROWS).cast("int")).drop("asked")
     plan = checkpointed(plan)  # one row for each list
+    chunks = lists.chunks.drop("gap")
+    if lists.stored:
+        chunks = chunks.filter(F.col("list_id").isin([row["list_id"] for row in plan.select("list_id").collect()]))
     share, part = F.pmod(F.xxhash64("chunk_id"), F.col("shares")), F.pmod(F.xxhash64("query_id"), F.col("parts"))
-    left = lists.chunks.drop("gap").join(plan, "list_id").withColumn("share", share.cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = chunks.join(plan, "list_id").withColumn("share", share.cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = probes.join(plan, "list_id").withColumn("part", part.cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     keys = ["list_id", "share", "part"]
     types = dict(probes.dtypes)["query_id"], dict(lists.chunks.dtypes)["chunk_id"]
@@ -313,7 +352,7 @@ def _search_pairs(lists: Lists, probes: DataFrame, k: int, threshold: float) ->
     def search(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(some):
             return pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []})
-        return _best(rows, some, k, threshold)
+        return _best(decode(rows) if decode else rows, some, k, threshold)
 
     left, right = left.drop("shares", "parts"), right.drop("shares", "parts")
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys))

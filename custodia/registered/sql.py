@@ -92,20 +92,29 @@ VECTORS = """topics AS (
       SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings)
     GROUP BY label, dim) GROUP BY label)"""
 
-REQUESTS = """asked AS (
+ASKED = """asked AS (
   SELECT p.c_custkey AS request_id, p.c_custkey * 3 + q.pos AS query_id, q.pos AS query_pos, 'topic ' || t.topic AS query,
     t.embedding, p.email, p.employee_id, p.groups
   FROM principals p, (SELECT unnest([0, 1, 2]) AS pos) q, topics t
-  WHERE t.topic = (p.c_custkey + q.pos) % (SELECT count(DISTINCT label) FROM embeddings)),
-vec_chunks AS (
-  SELECT e.vec_id AS chunk_id, e.embedding, d.source AS title, d.category, d.entitled_emails, d.extracted_employee_id
-  FROM embeddings e JOIN docs d ON d.document_id = e.vec_id % (SELECT count(*) FROM documents)),
-found AS (
+  WHERE t.topic = (p.c_custkey + q.pos) % (SELECT count(DISTINCT label) FROM embeddings))"""
+
+VEC_CHUNKS = """vec_chunks AS (
+  SELECT e.vec_id AS chunk_id, e.embedding, e.vec_id AS chunk_index, d.source AS title, d.category, d.entitled_emails, d.extracted_employee_id
+  FROM embeddings e JOIN docs d ON d.document_id = e.vec_id % (SELECT count(*) FROM documents))"""
+
+# Chunks of the texts; titles and places in the text are shared by several of them.
+TEXT_CHUNKS = """vec_chunks AS (
+  SELECT c.document_id * 100000 + c.chunk_index AS chunk_id, e.embedding, c.chunk_index, d.source || ' ' || (d.document_id % 20) AS title, d.category,
+    d.entitled_emails, d.extracted_employee_id, c.chunk AS content
+  FROM chunks c JOIN docs d ON d.document_id = c.document_id
+  JOIN embeddings e ON e.vec_id = (c.document_id * 31 + c.chunk_index) % (SELECT count(*) FROM embeddings))"""
+
+FUSED = """found AS (
   SELECT * FROM (
-    SELECT query_id, request_id, query_pos, query, chunk_id, title, category, similarity,
+    SELECT query_id, request_id, query_pos, query, chunk_id, chunk_index, title, category, similarity,
       row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, chunk_id) AS rank
     FROM (
-      SELECT a.query_id, a.request_id, a.query_pos, a.query, c.chunk_id, c.title, c.category,
+      SELECT a.query_id, a.request_id, a.query_pos, a.query, c.chunk_id, c.chunk_index, c.title, c.category,
         list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), a.embedding) AS similarity
       FROM asked a, vec_chunks c
       WHERE list_contains(c.entitled_emails, a.email)
@@ -116,11 +125,13 @@ found AS (
   WHERE rank <= 10),
 fused AS (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, first_seen) AS position FROM (
-    SELECT request_id, title, chunk_id, sum(1.0 / rank) AS score, min(query_pos * 1000 + rank) AS first_seen,
-      string_agg(query, ',' ORDER BY query_pos, rank) AS queries
-    FROM found GROUP BY request_id, title, chunk_id)
+    SELECT request_id, title, arg_min(chunk_id, query_pos * 1000 + rank) AS chunk_id, arg_min(category, query_pos * 1000 + rank) AS category,
+      sum(1.0 / rank) AS score, min(query_pos * 1000 + rank) AS first_seen, string_agg(query, ',' ORDER BY query_pos, rank) AS queries
+    FROM found GROUP BY request_id, title, chunk_index)
   QUALIFY position <= 15)"""
 
+REQUESTS = f"{ASKED},\n{VEC_CHUNKS},\n{FUSED}"
+
 MAIL = """sound AS (
   SELECT l_orderkey AS message_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
     'line_' || l_linenumber || '_' || l_partkey || '.txt' AS filename, l_returnflag AS name, l_linestatus
@@ -179,10 +190,11 @@ ROUTED = with_(FILES) + """SELECT file_id, target, CASE WHEN target IS NULL THEN
 FROM (SELECT *, CASE WHEN list_contains(labels, 'CONFIDENTIAL') THEN 'quarantine'
   WHEN list_contains(labels, 'GATED') THEN 'allowed' END AS target FROM files WHERE labels IS NOT NULL)"""
 
-SEARCH = with_(VECTORS) + """SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (
+SEARCH = """SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, chunk_id) AS rank FROM (
-    SELECT t.topic AS query_id, e.vec_id AS chunk_id,
-      list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), t.embedding) AS similarity FROM topics t, embeddings e)
+    SELECT q.vec_id AS query_id, e.vec_id AS chunk_id,
+      list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
+    FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
   WHERE round(similarity, 9) > 0.2) WHERE rank <= 10"""
 
 LINEAGE = """lineage AS (
@@ -418,7 +430,7 @@ FROM titled t JOIN counted c ON c.document_id = t.document_id""",
      ORDER BY document_id), '')) FROM (SELECT * FROM titled WHERE length(title) > 255 ORDER BY document_id LIMIT 5)) AS first_errors
 FROM titled t JOIN counted c ON c.document_id = t.document_id""",
     "vector_search": SEARCH,
-    "probed_vector_search": f"SELECT query_id, count(*) AS n_true, true AS similarities_right, true AS recalled FROM ({SEARCH}) GROUP BY query_id",
+    "probed_vector_search": f"SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_true, true AS similarities_right, true AS recalled, true AS few_scored FROM ({SEARCH})",
     "secured_indexed_search": with_(DOCS, PRINCIPALS, VECTORS, REQUESTS)
     + "SELECT query_id, chunk_id, round(similarity, 6) AS similarity, rank FROM found",
     "indexed_vector_search": SEARCH,
@@ -431,15 +443,20 @@ FROM titled t JOIN counted c ON c.document_id = t.document_id""",
   round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY request_id, title ORDER BY position) AS of_title FROM fused)
 WHERE of_title <= 3""",
-    "context_texts": with_(DOCS, PRINCIPALS, VECTORS, REQUESTS)
+    "indexed_retrieval": with_(DOCS, PRINCIPALS, VECTORS, REQUESTS)
+    + """SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY position) AS number, title, chunk_id,
+  round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY request_id, title ORDER BY position) AS of_title FROM fused)
+WHERE of_title <= 3""",
+    "context_texts": with_(DOCS, PRINCIPALS, VECTORS, CHUNKS, ASKED, TEXT_CHUNKS, FUSED)
     + """, numbered AS (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY position) AS number
   FROM (SELECT *, row_number() OVER (PARTITION BY request_id, title ORDER BY position) AS of_title FROM fused)
   WHERE of_title <= 3),
 texts AS (
-  SELECT n.request_id, string_agg('Document ' || n.number || ' (from ' || n.title || ', category: ' || c.category
+  SELECT n.request_id, string_agg('Document ' || n.number || ' (from ' || n.title || ', category: ' || n.category
       || ') (relevance: ' || printf('%.3f', n.score) || '):' || chr(10) || '   Matched queries: '
-      || replace(n.queries, ',', ', ') || chr(10) || 'chunk ' || n.chunk_id || ' of ' || n.title || chr(10),
+      || replace(n.queries, ',', ', ') || chr(10) || c.content || chr(10),
     chr(10) || '---' || chr(10) ORDER BY n.number) AS context
   FROM numbered n JOIN vec_chunks c ON c.chunk_id = n.chunk_id GROUP BY n.request_id)
 SELECT r.request_id, md5(coalesce(t.context, 'No relevant documents found for this query.')) AS context_md5

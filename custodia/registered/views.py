@@ -136,6 +136,24 @@ def vec_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.join(info, "document_id").withColumn("chunk_index", F.col("chunk_id"))
 
 
+def text_chunks(spark: SparkSession, sf: str, chunks: DataFrame) -> DataFrame:
+    """Chunks of the texts (document_id, chunk_index, chunk) with a vector each. Titles and places in the text are shared by several of them."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = table(spark, sf, "embeddings").agg(F.count("*").alias("n")).scalar()
+    info = secured_docs(spark, sf).drop("title", "content", "created_at")
+    named = chunks.join(info, "document_id").withColumn("vec_id", (F.col("document_id") * 31 + F.col("chunk_index")) % n)
+    return named.join(vectors, "vec_id").select(
+        (F.col("document_id") * 100_000 + F.col("chunk_index")).alias("chunk_id"),
+        F.concat_ws(" ", "source", F.col("document_id") % 20).alias("title"),
+        "chunk_index",
+        F.col("chunk").alias("content"),
+        "embedding",
+        "category",
+        "entitled_emails",
+        "extracted_employee_id",
+    )
+
+
 def topic_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """The mean vector of each embedding label, ``topic, embedding``: the questions of the tests."""
     cells = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
