@@ -618,6 +618,13 @@ def batch_plan(spark, sf):
     return batching.plan_batches(files, 200_000, 25, path="path", size="size")
 
 
+@query
+def large_batch_plan(spark, sf):
+    """Few and long batches, up to a million files each, over blocks far shorter than a batch."""
+    files = view.files(spark, sf).select("path", "size")
+    return batching.plan_batches(files, 500_000, 1_000_000, path="path", size="size", block=16)
+
+
 # --- catalog --------------------------------------------------------------------------------
 
 

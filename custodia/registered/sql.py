@@ -359,6 +359,18 @@ packed AS (
     CASE WHEN p.used + o.size > 200000 OR p.n >= 25 THEN 1 ELSE p.n + 1 END,
     CASE WHEN p.used + o.size > 200000 OR p.n >= 25 THEN p.batch + 1 ELSE p.batch END
   FROM packed p JOIN ordered o ON o.rn = p.rn + 1)
+SELECT path, size, batch FROM packed""",
+    "large_batch_plan": with_(FILES).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + """,
+ordered AS (SELECT path, size, row_number() OVER (ORDER BY path) AS rn FROM files),
+packed AS (
+  SELECT rn, path, size, size AS used, 1 AS n, CAST(0 AS BIGINT) AS batch FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.rn, o.path, o.size,
+    CASE WHEN p.used + o.size > 500000 OR p.n >= 1000000 THEN o.size ELSE p.used + o.size END,
+    CASE WHEN p.used + o.size > 500000 OR p.n >= 1000000 THEN 1 ELSE p.n + 1 END,
+    CASE WHEN p.used + o.size > 500000 OR p.n >= 1000000 THEN p.batch + 1 ELSE p.batch END
+  FROM packed p JOIN ordered o ON o.rn = p.rn + 1)
 SELECT path, size, batch FROM packed""",
     "selected_labels": with_(FILES, CATALOG) + "SELECT id, name, type FROM tags",
     "label_datasources": with_(FILES, CATALOG)
