@@ -124,3 +124,17 @@ def test_annotations_and_rules(spark, monkeypatch):
     assert annotate.annotate(docs, words.limit(0)).count() == 0
     rules = spark.createDataFrame([("fin", "Sensitive"), ("law", "Sensitive"), ("law", "ITAR")], "annotator string, label string")
     assert rows(annotate.apply_label_rules(annotate.annotate(docs, words), rules)) == [(1, ["ITAR", "Sensitive"])]
+
+
+def test_keywords_with_shared_pieces_and_odd_texts(spark):
+    """Many keywords that begin alike, letters of several bytes, and texts longer than a piece of work."""
+    from custodia.operators import annotate
+
+    head = "a common beginning "
+    words = [head + f"{i:03d}" for i in range(300)] + ["é", "日本", "ÄÖÜ-groß", "x" * 400, "", head]
+    texts = [head.upper() + "007 and 日本語", None, "", "e" + "é" * 3, "äöü-GROSS äöü-groß", "y" * 2_000_000 + head + "299", "x" * 399, "x" * 401 + head[:-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dictionary = spark.createDataFrame([("a", w) for w in words] + [("b", "é"), ("b", None)], "annotator string, keyword string")
+    found = {(r["doc_id"], r["annotator"], r["keyword"]) for r in annotate.annotate(docs, dictionary).collect()}
+    pairs = [("a", w) for w in words if w] + [("b", "é")]
+    assert found == {(i, a, w) for i, t in enumerate(texts) for a, w in pairs if t and w.lower() in t.lower()}
