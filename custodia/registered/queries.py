@@ -107,11 +107,12 @@ def streamed_routing(spark, sf):
 
 @query
 def streamed_sync(spark, sf):
-    """ST2: arriving events upserted cycle by cycle; the latest one per user is left."""
+    """ST2: events that arrive in any order, upserted cycle by cycle; the latest one per user is left."""
     inbox, target, state, failures = (scratch_folder(spark, name) for name in ("events", "synced", "state", "failed"))
     events = view.table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
-    events.repartitionByRange(3, "event_id").write.parquet(inbox)  # in the order of events, so that cycles are too
-    arriving = streams.arriving(spark, inbox, events.schema, fmt="parquet", per_batch=3)
+    shuffled = F.xxhash64("event_id")
+    events.repartitionByRange(6, shuffled).write.parquet(inbox)  # every cycle has late rows
+    arriving = streams.arriving(spark, inbox, events.schema, fmt="parquet", per_batch=2)
     streams.sync_stream(arriving, target, ["user_id"], ["event_id"], state, failures, 8, every=None).awaitTermination()
     return tables.read_keyed(spark, target)
 

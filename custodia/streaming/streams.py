@@ -46,14 +46,15 @@ def route_stream(
 def sync_stream(
     rows: DataFrame, target: str, keys: list[str], order: list[str], checkpoint: str, failures: str, buckets: int | None = None, every: str | None = "60 seconds"
 ) -> StreamingQuery:
-    """Upsert each batch into a keyed table, the last row per key by ``order``.
+    """Upsert each batch into a keyed table, the last row per key by ``order``, whatever batch it comes in: rows that arrive
+    late or again never replace newer ones.
 
     A cycle that fails repeatedly is logged, its rows go to ``failures`` with the error, and the next cycle
     runs (``replay`` takes them up again). An upsert done twice after a restart gives the same table.
     """
 
     def cycle(batch: DataFrame) -> None:
-        tables.merge_upsert(tables.latest_per_key(batch, keys, order), target, keys, buckets)
+        tables.merge_upsert(tables.latest_per_key(batch, keys, order), target, keys, buckets, order)
 
     return each_cycle(rows, cycle, checkpoint, failures, every)
 

@@ -60,6 +60,23 @@ def test_polled_sync_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
     assert rows(tables.read_keyed(spark, target)) == [("a", 2, "y"), ("b", 5, "new"), ("c", 1, "lost?")]
 
 
+def test_late_and_repeated_rows_change_nothing(spark, tmp_path):
+    inbox, target = tmp_path / "in", str(tmp_path / "target")
+    schema = "k string, t int, v string"
+
+    def run(name, records):
+        drop_file(inbox, name, records)
+        arriving = streams.arriving(spark, str(inbox), schema)
+        streams.sync_stream(arriving, target, ["k"], ["t"], str(tmp_path / "state"), str(tmp_path / "failed"), 4, every=None).awaitTermination()
+        return rows(tables.read_keyed(spark, target))
+
+    assert run("1.json", [{"k": "a", "t": 5, "v": "new"}, {"k": "n", "t": None, "v": "undated"}]) == [("a", 5, "new"), ("n", None, "undated")]
+    manifests = len(list((tmp_path / "target" / "manifest").iterdir()))
+    assert run("2.json", [{"k": "a", "t": 3, "v": "late"}, {"k": "a", "t": 5, "v": "again"}]) == [("a", 5, "new"), ("n", None, "undated")]
+    assert len(list((tmp_path / "target" / "manifest").iterdir())) == manifests
+    assert run("3.json", [{"k": "a", "t": 4, "v": "late"}, {"k": "b", "t": 1, "v": "first"}, {"k": "n", "t": 0, "v": "dated"}]) == [("a", 5, "new"), ("b", 1, "first"), ("n", 0, "dated")]
+
+
 def test_mail_gate_over_a_folder(spark, tmp_path):
     inbox = tmp_path / "mail"
     inbox.mkdir()
