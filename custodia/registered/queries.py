@@ -1001,3 +1001,25 @@ def mail_verdicts(spark, sf):
         view.mail_messages(spark, sf), view.mail_attachments(spark, sf), view.mail_labels(spark, sf), view.blocked_labels(spark)
     )
     return verdicts.withColumn("classification_error", F.col("classification_error").cast("int"))
+
+
+@query
+def late_mail_verdicts(spark, sf):
+    """ST4: the same verdicts when mails and classifications are two streams; a classification that failed is an answer that never comes."""
+    inbox, desk, out, state = (scratch_folder(spark, name) for name in ("mails", "answers", "verdicts", "state"))
+    mails, parts, named = view.mail_messages(spark, sf), view.mail_attachments(spark, sf), view.mail_labels(spark, sf)
+    at = lambda column: F.timestamp_seconds(F.lit(1_700_000_000) + column)
+    held = parts.groupBy("message_id").agg(F.collect_list(F.struct("att_pos", "filename")).alias("attachments"))
+    sent = mails.join(held, "message_id", "left").withColumn("arrived", at(F.col("message_id") % 600))
+    sound = parts.filter("NOT classification_error").select("message_id", "att_pos")
+    told = named.join(sound, ["message_id", "att_pos"]).groupBy("message_id", "att_pos").agg(F.collect_list(F.struct("hit_pos", "label_pos", "name")).alias("labels"))
+    told = told.withColumn("answered", at(F.col("message_id") % 600 + 30 + F.col("message_id") % 3000))  # up to 50 minutes later
+    # a last mail and a last answer, a day later, move the clocks of both streams on
+    last = sent.agg(F.lit(-1).cast("bigint").alias("message_id"), at(F.lit(86_400)).alias("arrived"), F.lit("x").alias("sender"))
+    sent.unionByName(last, allowMissingColumns=True).repartition(3).write.parquet(inbox)
+    end = told.agg(F.lit(-1).cast("bigint").alias("message_id"), at(F.lit(172_800)).alias("answered"))
+    told.unionByName(end, allowMissingColumns=True).repartition(3).write.parquet(desk)
+    arriving = lambda folder: streams.arriving(spark, folder, spark.read.parquet(folder).schema, fmt="parquet", per_batch=3)
+    streams.late_label_gate(arriving(inbox), arriving(desk), view.blocked_labels(spark), out, state, "1 hour").awaitTermination()
+    verdicts = spark.read.parquet(out).filter("message_id >= 0").drop("batch")
+    return verdicts.withColumn("classification_error", F.col("classification_error").cast("int"))

@@ -480,6 +480,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b
     "mail_verdicts": with_(MAIL.format(rows="(SELECT * FROM sound WHERE l_linestatus <> 'F')"))
     + f""", parts AS (
   SELECT message_id, count(*) AS n, max(CAST(l_linestatus = 'F' AS INTEGER)) AS failed FROM sound GROUP BY message_id)
+SELECT o_orderkey AS message_id, CAST(left(reply, 3) AS INTEGER) AS code, reply, n_attachments, classification_error FROM (
+  SELECT o_orderkey, coalesce(p.n, 0) AS n_attachments, coalesce(p.failed, 0) AS classification_error,
+    CASE WHEN o_orderpriority = '5-LOW' THEN '{wire.MAIL_ERROR}' WHEN o_orderstatus = 'P' THEN '{wire.MAIL_SYNTAX}'
+      WHEN b.filename IS NOT NULL THEN '550 Blocked - Returned goods found in ' || b.filename
+      ELSE '{wire.MAIL_ACCEPTED}' END AS reply
+  FROM orders LEFT JOIN parts p ON p.message_id = o_orderkey LEFT JOIN first_bad b ON b.message_id = o_orderkey)""",
+    "late_mail_verdicts": with_(MAIL.format(rows="(SELECT * FROM sound WHERE l_linestatus <> 'F')"))
+    + f""", parts AS (
+  SELECT message_id, count(*) AS n, max(CAST(l_linestatus = 'F' AS INTEGER)) AS failed FROM sound GROUP BY message_id)
 SELECT o_orderkey AS message_id, CAST(left(reply, 3) AS INTEGER) AS code, reply, n_attachments, classification_error FROM (
   SELECT o_orderkey, coalesce(p.n, 0) AS n_attachments, coalesce(p.failed, 0) AS classification_error,
     CASE WHEN o_orderpriority = '5-LOW' THEN '{wire.MAIL_ERROR}' WHEN o_orderstatus = 'P' THEN '{wire.MAIL_SYNTAX}'

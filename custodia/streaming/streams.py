@@ -142,3 +142,47 @@ def classified(found: DataFrame, classify: Callable[[DataFrame], DataFrame], att
     named = reduce(DataFrame.unionByName, good) if good else spark.createDataFrame([], LABELS)
     failed = reduce(lambda a, b: a | b, bad, F.lit(False))
     return named, found.select("message_id", "att_pos", "filename", failed.alias("classification_error"))
+
+
+def decided_mails(mails: DataFrame, answers: DataFrame, wait: str) -> DataFrame:
+    """Mails with what the classifier said of each attachment in time, once nothing more can come: a stream.
+
+    ``mails``, a stream: message_id, arrived (timestamp), sender, has_content, parse_ok, and attachments (an array of structs with
+    att_pos and filename). ``answers``, a stream: message_id, att_pos, answered (timestamp), labels (an array of structs with hit_pos,
+    label_pos, name). Both streams are joined as they come, whichever side is first. An attachment without an answer within
+    ``wait`` of its mail's arrival is let go unclassified; repeated answers count once. The watermarks bound what is held: a
+    mail leaves when its time is up, and answers to mails that are decided, or that never come, are dropped.
+    """
+    parts = mails.withWatermark("arrived", "0 seconds").select(
+        "message_id", "arrived", "sender", "has_content", "parse_ok", F.posexplode_outer("attachments").alias("at", "attachment")
+    )
+    parts = parts.select("*", F.col("attachment.att_pos").alias("att_pos"), F.col("attachment.filename").alias("filename")).drop("attachment")
+    told = answers.withWatermark("answered", wait).dropDuplicatesWithinWatermark(["message_id", "att_pos"])
+    told = told.select(F.col("message_id").alias("of_message"), F.col("att_pos").alias("of_att"), "answered", "labels")
+    in_time = F.col("answered").between(F.col("arrived"), F.col("arrived") + F.expr(f"INTERVAL {wait}"))
+    met = parts.join(told, (F.col("message_id") == F.col("of_message")) & (F.col("att_pos") == F.col("of_att")) & in_time, "left")
+    met = met.select("message_id", "arrived", "sender", "has_content", "parse_ok", "at", "att_pos", "filename", F.col("answered").isNotNull().alias("classified"), "labels")
+    found = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("att_pos", "filename", "classified", "labels"))).alias("attachments")
+    return met.groupBy("arrived", "message_id", "sender", "has_content", "parse_ok").agg(found)
+
+
+def late_label_gate(mails: DataFrame, answers: DataFrame, blocked: DataFrame, out: str, checkpoint: str, wait: str = "1 hour", every: str | None = None) -> StreamingQuery:
+    """Verdicts for mails whose classification answers later than the mail arrives; see ``decided_mails``.
+
+    Attachments without an answer in time pass, and the verdict says so (``classification_error``).
+    """
+
+    def gate(batch: DataFrame, number: int) -> None:
+        decided = batch.persist()
+        try:
+            parts = decided.select("message_id", F.inline("attachments"))
+            attachments = parts.select("message_id", "att_pos", "filename", (~F.col("classified")).alias("classification_error"))
+            named = parts.filter("classified").select("message_id", "att_pos", F.inline("labels"))
+            verdicts = mail.mail_gate(decided.drop("attachments", "arrived"), attachments, named, blocked).withColumn("batch", F.lit(number))
+            writer = verdicts.write.mode("overwrite").partitionBy("batch")
+            writer.option("partitionOverwriteMode", "dynamic").parquet(out)
+        finally:
+            decided.unpersist()
+
+    writer = decided_mails(mails, answers, wait).writeStream.outputMode("append").foreachBatch(gate)
+    return _start(writer.option("checkpointLocation", checkpoint), every)

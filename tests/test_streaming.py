@@ -133,3 +133,38 @@ def test_classifier_that_fails_while_it_runs(spark):
     assert rows(flagged.filter("classification_error"), "message_id") == [("m3",)]
     named, flagged = streams.classified(found, classify, attempts=1)
     assert named.count() == 0 and flagged.filter("classification_error").count() == 9
+
+
+def test_answers_before_after_and_never(spark, tmp_path):
+    """Mails wait for late answers in state; what comes too late, twice or for nobody changes nothing."""
+    parts = "attachments array<struct<att_pos: int, filename: string>>"
+    sent = f"message_id string, arrived timestamp, sender string, has_content boolean, parse_ok boolean, {parts}"
+    told = "message_id string, att_pos int, answered timestamp, labels array<struct<hit_pos: int, label_pos: int, name: string>>"
+    blocked = spark.createDataFrame([(0, "Secret", "Secret found")], "pos int, name string, message string")
+    mails, answers, out = tmp_path / "mails", tmp_path / "answers", str(tmp_path / "out")
+
+    def mail_(name, minute, *files):
+        return {"message_id": name, "arrived": f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z", "sender": "a@x", "has_content": True, "parse_ok": True, "attachments": [{"att_pos": i, "filename": f} for i, f in enumerate(files)]}
+
+    def answer(name, pos, minute, *names):
+        labels = [{"hit_pos": 0, "label_pos": i, "name": n} for i, n in enumerate(names)]
+        return {"message_id": name, "att_pos": pos, "answered": f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z", "labels": labels}
+
+    def run():
+        arriving = [streams.arriving(spark, str(folder), schema) for folder, schema in ((mails, sent), (answers, told))]
+        streams.late_label_gate(*arriving, blocked, out, str(tmp_path / "state"), "30 minutes").awaitTermination()
+
+    drop_file(mails, "1.json", [mail_("late", 1, "a", "b"), mail_("never", 2, "c"), mail_("plain", 3), mail_("too late", 4, "d"), mail_("half", 5, "e", "f")])
+    drop_file(answers, "1.json", [answer("first", 0, 5, "Secret"), answer("nobody", 0, 5, "Secret"), answer("half", 0, 6, "Fine")])
+    run()
+    drop_file(mails, "2.json", [mail_("first", 5, "g")])
+    drop_file(answers, "2.json", [answer("late", 1, 20, "Fine", "Secret"), answer("late", 0, 21), answer("late", 1, 22, "Secret"), answer("too late", 0, 50, "Secret")])
+    run()
+    drop_file(mails, "3.json", [mail_("end", 600)])
+    drop_file(answers, "3.json", [answer("end", 0, 1200)])
+    run()
+    run()
+    got = {r["message_id"]: (r["code"], r["n_attachments"], r["classification_error"]) for r in spark.read.parquet(out).filter("message_id <> 'end'").collect()}
+    want = {"late": (550, 2, False), "never": (250, 1, True), "plain": (250, 0, False), "too late": (250, 1, True), "half": (250, 2, True), "first": (550, 1, False)}
+    assert got == want
+    assert spark.read.parquet(out).filter("message_id = 'late'").first()["reply"] == "550 Blocked - Secret found in b"
