@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.llm.common import union_length
+from custodia.llm.decontaminate import bit_map, in_map
 from custodia.session import checkpointed
 
 BUCKETS = 1 << 14
+#: Smallest and largest map of trusted ids, in bits.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 24
 #: Mean log ratio (in nats) a document needs.
 THRESHOLD = -0.05
 SMOOTHING = 1.0
@@ -97,16 +100,21 @@ def _buckets(rows: DataFrame, buckets: int, *others: str) -> DataFrame:
 def ratios(docs: DataFrame, trusted: DataFrame, doc_id: str, text: str, buckets: int = BUCKETS) -> DataFrame:
     """``(bucket, raw, target, ratio)``: counts in the corpus and in trusted documents, log ratio in millionths.
 
-    ``trusted`` has the trusted ids in its first column; all of them are counted, in the same scan as the corpus.
+    ``trusted`` has the trusted ids in its first column; all of them are counted. A bit map keeps other documents out of the join
+    that finds them; its size follows the number of ids, and it decides nothing.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("id")).filter(F.col("id").isNotNull()).distinct()
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    # texts are shuffled as they are, the hashes of their words would be larger
-    met = rows.join(ids.withColumn("target", F.lit(1)), "id", "left")
-    flagged = met.select("target", F.transform(spaced_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    counts = _buckets(flagged, buckets, "target").groupBy("bucket").agg(F.count("*").alias("raw"), F.count("target").alias("target"))
+    ids = trusted.select(F.col(trusted.columns[0]).cast(docs.schema[doc_id].dataType).alias("id")).filter(F.col("id").isNotNull()).distinct()
+    ids = checkpointed(ids)
+    bits = min(max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()), MOST_BITS)
+    known = bit_map(ids.select(F.xxhash64("id").alias("hash")), bits)
+    words = lambda: F.transform(spaced_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")
+    raw = _buckets(rows.select(words()), buckets).groupBy("bucket").agg(F.count("*").alias("raw"))
+    # only texts whose id may be trusted are shuffled, as they are: the hashes of their words would be larger
+    met = rows.filter(in_map(known.scalar(), F.xxhash64("id"), bits)).join(ids.hint("merge"), "id")
+    target = _buckets(met.select(words()), buckets).groupBy("bucket").agg(F.count("*").alias("target"))
     all_buckets = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
-    full = checkpointed(all_buckets.join(counts, "bucket", "left").fillna(0, ["raw", "target"]))
+    full = checkpointed(all_buckets.join(raw, "bucket", "left").join(target, "bucket", "left").fillna(0, ["raw", "target"]))
     sums = full.agg(F.sum("raw").alias("raw_all"), F.sum("target").alias("target_all"))
     share = lambda n, total: F.ln((F.col(n) + SMOOTHING) / (F.col(total) + SMOOTHING * buckets))
     ratio = F.when(F.col("target_all") > 0, F.round((share("target", "target_all") - share("raw", "raw_all")) * MILLION)).otherwise(0)
