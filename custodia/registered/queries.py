@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming, text, values
-from ..operators import access, annotate, batching, catalog, labels, mail, matching, policies, quality, retrieval, vector_index
+from ..operators import access, annotate, batching, catalog, incremental, labels, mail, matching, policies, quality, retrieval, vector_index
 from ..plans import jobs
 from ..session import scratch_folder
 from ..sources import files, ndjson, tables
@@ -219,10 +219,13 @@ def exported_policy(spark, sf):
 
 @query
 def label_mirror(spark, sf):
-    """One folder per label with its files."""
+    """One folder per label with its files, in no more Parquet files than the label's weight asks for."""
     folder = scratch_folder(spark, "mirror")
-    ndjson.mirror_by_label(view.files(spark, sf).select("file_id", "size", "labels"), folder)
-    return spark.read.parquet(folder).select("label", "file_id", "size")
+    ndjson.mirror_by_label(view.files(spark, sf).select("file_id", "size", "labels"), folder, rows_per_file=200)
+    rows = spark.read.parquet(folder).withColumn("file", F.input_file_name())
+    held = rows.groupBy("label").agg(F.count_distinct("file").alias("files"), F.ceil(F.count("*") / 200).alias("needed"))
+    bounded = held.select("label", (F.col("files") <= 2 * F.col("needed")).alias("few_files"))
+    return rows.join(bounded, "label").select("label", "file_id", "size", "few_files")
 
 
 @query
@@ -746,6 +749,39 @@ def catalog_cycle(spark, sf):
     return kept.unionByName(new).unionByName(processes).unionByName(edges)
 
 
+@query
+def incremental_cycle(spark, sf):
+    """What a second cycle has to write after a first one, and a third, equal one: nothing."""
+    state = scratch_folder(spark, "fingerprints")
+    files = view.files(spark, sf).select(F.col("file_id").alias("qualified_name"), "source", "labels", "doc_id")
+    incremental.changes(files.drop("doc_id"), state).remember()
+    moved = F.when(F.col("doc_id") % 13 == 0, F.lit("elsewhere")).otherwise(F.col("source"))
+    next_ = files.filter("doc_id % 11 <> 0").withColumn("source", moved)
+    added = files.filter("doc_id % 17 = 0").withColumn("qualified_name", F.concat(F.lit("new "), "qualified_name"))
+    next_ = next_.unionByName(added).drop("doc_id")
+    second = incremental.changes(next_, state)
+    second.remember()
+    third = incremental.changes(next_, state)
+    done = second.rows.select(F.lit(2).alias("cycle"), "qualified_name", "change").unionByName(third.rows.select(F.lit(3).alias("cycle"), "qualified_name", "change"))
+    untouched = next_.join(second.rows, "qualified_name", "left_anti").select(F.lit(2).alias("cycle"), "qualified_name", F.lit("untouched").alias("change"))
+    return done.unionByName(untouched)
+
+
+@query
+def embedded_loads(spark, sf):
+    """Two loads of chunks; the second embeds only texts that are new, and drops vectors of texts that are gone."""
+    store = scratch_folder(spark, "vectors")
+    docs = view.secured_docs(spark, sf).select("document_id", "content")
+    first = incremental.embed_load(_chunks(spark, sf), store, "one")
+    edited = F.when(F.col("document_id") % 3 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content"))
+    chunks = retrieval.chunk_text(docs.withColumn("content", edited))
+    second = incremental.embed_load(chunks, store, "two", "one")
+    shown = lambda load, done: done.chunks.filter("embedding IS NOT NULL").agg(
+        F.lit(load).alias("load"), F.count("*").alias("n_chunks"), F.lit(done.embedded).cast("bigint").alias("embedded"), F.lit(done.dropped).cast("bigint").alias("dropped")
+    )
+    return shown(1, first).unionByName(shown(2, second))
+
+
 @query
 def entity_upsert(spark, sf):
     """Created, updated and kept rows of a keyed upsert."""

@@ -244,7 +244,7 @@ UNION ALL SELECT file_id, size + 1, '2024-03-02' FROM files""",
     + """SELECT d.document_id, d.category, count(*) AS n_chunks FROM docs d JOIN chunks c ON c.document_id = d.document_id
 GROUP BY d.document_id, d.category""",
     "exported_policy": with_(FILES) + "SELECT file_id, path, size FROM files WHERE list_contains(labels, 'ROT')",
-    "label_mirror": with_(FILES) + "SELECT unnest(labels) AS label, file_id, size FROM files",
+    "label_mirror": with_(FILES) + "SELECT unnest(labels) AS label, file_id, size, true AS few_files FROM files",
     "scan_hits": "SELECT CAST(doc_id AS VARCHAR) AS hit_id, n_chars AS score FROM documents WHERE doc_id // 100 = 1",
     "datasource_documents": """SELECT doc_id, source AS datasource_id, n_chars FROM documents WHERE source IN ('src1', 'src3')""",
     "typed_values": """SELECT p_partkey, try_cast(split_part(p_brand, '#', 2) AS BIGINT) AS brand_number,
@@ -405,6 +405,14 @@ UNION ALL SELECT 'dxrds://acme/' || id, 'unstructured_datasource', name, 'create
 UNION ALL SELECT qualified_name, type_name, name, 'created' FROM lineage
 UNION ALL SELECT 'dxrds://acme/' || ds_id || ' dxrtag://acme/' || label_id,
   'unstructured_datasource_has_unstructured_dataset', NULL, 'created' FROM pairs""",
+    "incremental_cycle": """SELECT 2 AS cycle, CAST(doc_id AS VARCHAR) AS qualified_name,
+  CASE WHEN doc_id % 11 = 0 THEN 'deleted' WHEN doc_id % 13 = 0 THEN 'updated' ELSE 'untouched' END AS change FROM documents
+UNION ALL SELECT 2, 'new ' || doc_id, 'created' FROM documents WHERE doc_id % 17 = 0""",
+    "embedded_loads": with_(CHUNKS, CHUNKS.replace("tok AS", "tok2 AS").replace("starts AS", "starts2 AS").replace("chunks AS", "chunks2 AS").replace("FROM tok)", "FROM tok2)").replace("FROM starts)", "FROM starts2)")
+                            .replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' edited' ELSE text END AS text FROM documents)"))
+    + """SELECT 1 AS load, count(*) AS n_chunks, count(DISTINCT chunk) AS embedded, CAST(0 AS BIGINT) AS dropped FROM chunks
+UNION ALL SELECT 2, (SELECT count(*) FROM chunks2), (SELECT count(*) FROM (SELECT chunk FROM chunks2 EXCEPT SELECT chunk FROM chunks)),
+  (SELECT count(*) FROM (SELECT chunk FROM chunks EXCEPT SELECT chunk FROM chunks2))""",
     "entity_upsert": """SELECT coalesce(doc_id, vec_id) AS qualified_name,
   CASE WHEN vec_id IS NULL THEN quality ELSE label END AS quality, toxic,
   CASE WHEN vec_id IS NULL THEN 'kept' WHEN doc_id IS NULL THEN 'created' ELSE 'updated' END AS change

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 from ..functions import wire
 from ..functions.values import field, variant_int
+from ..operators.skew import heaviest
+
+#: Rows of a file of a mirrored label.
+ROWS_PER_FILE = 1_000_000
 
 
 def read_ndjson(
@@ -81,11 +85,16 @@ def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
     writer.option("header", True).csv(path) if fmt == "csv" else writer.json(path)
 
 
-def mirror_by_label(df: DataFrame, path: str, labels: str = "labels") -> None:
+def mirror_by_label(df: DataFrame, path: str, labels: str = "labels", rows_per_file: int = ROWS_PER_FILE) -> None:
     """One folder per label with the files that carry it; a file with two labels is in both.
 
-    The rebalance hint groups rows by label before the write and lets AQE split a label that
-    holds much of the data over several tasks.
+    Labels are weighed before the write: one with more than ``rows_per_file`` rows is dealt over as many shares as it needs, any
+    other is one share and one file. No file has more rows than that, and a label at most twice the files it needs.
     """
     per_label = df.withColumn("label", F.explode(F.array_distinct(labels))).drop(labels)
-    per_label.hint("rebalance", "label").write.mode("overwrite").partitionBy("label").parquet(path)
+    weights = per_label.groupBy("label").agg(F.count("*").alias("weight"))
+    heavy = heaviest(weights, ["label"], "weight", rows_per_file).select("label", F.ceil(F.col("weight") / rows_per_file).cast("int").alias("shares"))
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in per_label.columns if not isinstance(per_label.schema[c].dataType, MapType)], F.monotonically_increasing_id())
+    dealt = per_label.join(F.broadcast(heavy), "label", "left").withColumn("_share", F.pmod(row, F.coalesce("shares", F.lit(1))))
+    dealt = dealt.repartition("label", "_share").drop("shares", "_share")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("label").parquet(path)

@@ -198,3 +198,19 @@ def test_full_refresh(spark, tmp_path):
         tables.full_refresh({"d": spark.range(n), "c": spark.range(2 * n)}, root)
         assert tables.read_current(spark, root, "d").count() == n and tables.read_current(spark, root, "c").count() == 2 * n
     assert sorted(os.listdir(tmp_path / "r")) == ["current", "loads"]
+
+
+def test_mirror_writes_as_many_files_as_labels_need(spark, tmp_path):
+    """A label on a third of all rows is spread, rare ones get one file each, whatever the number of tasks."""
+    from pyspark.sql import functions as F
+
+    from custodia.sources import ndjson
+
+    labels = F.when(F.col("id") % 3 == 0, F.array(F.lit("hot"), F.concat(F.lit("rare"), F.col("id") % 40), F.lit("hot"))).when(F.col("id") % 3 == 1, F.array(F.concat(F.lit("rare"), F.col("id") % 40)))
+    files = spark.range(0, 3000, 1, 16).withColumn("labels", labels).withColumn("extra", F.create_map(F.lit("a"), F.col("id")))
+    ndjson.mirror_by_label(files, str(tmp_path / "mirror"), rows_per_file=100)
+    held = spark.read.parquet(str(tmp_path / "mirror")).withColumn("file", F.input_file_name())
+    per_file = held.groupBy("label", "file").agg(F.count("*").alias("n")).groupBy("label").agg(F.count("*").alias("files"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    got = {r["label"]: (r["files"], r["most"], r["n"]) for r in per_file.collect()}
+    assert got["hot"][2] == 1000 and 10 <= got["hot"][0] <= 20 and all(v[1] <= 100 for v in got.values())
+    assert len(got) == 41 and all(v[0] == 1 for k, v in got.items() if k != "hot")
