@@ -267,18 +267,19 @@ def line_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` without the removed lines; documents that lose all their lines go, blank ones stay as they are.
 
-    Only documents that may lose lines are shuffled.
+    Other columns pass through, whatever their names. Only documents that may lose lines are shuffled. A very long text costs time
+    and memory in proportion to its length.
     """
     gone = checkpointed(removals(docs, doc_id, text, **options))
     known = bit_map(gone.select(F.xxhash64("id", "digest").alias("hash")), MAP_BITS)
     own = F.xxhash64(F.col(f"`{doc_id}`").cast("bigint"), F.xxhash64(f"`{text}`"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    untouched = docs.filter(~in_map(known.scalar(), own, MAP_BITS))
-    marked = docs.filter(in_map(known.scalar(), own, MAP_BITS)).withColumn("_digest", F.xxhash64(f"`{text}`"))
-    changes = gone.select(F.col("id").alias("_id"), F.col("digest").alias("_own"), F.col("lines").alias("_lines"))
-    met = marked.join(changes, F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_own")), "left")
-    kept = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda line, i: ~F.array_contains(F.col("_lines"), i))
-    body = F.when(F.col("_lines").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
-    changed = met.withColumn("_body", body).filter(F.col("_lines").isNull() | filled(F.col("_body")))
-    changed = changed.select(*[F.col("_body").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
-    return untouched.select(*columns).unionByName(changed)
+    untouched = docs.filter(~in_map(known.scalar(), own, MAP_BITS)).select(*columns)
+    # the whole row lies in one column, whatever its columns are called
+    marked = docs.filter(in_map(known.scalar(), own, MAP_BITS))
+    marked = marked.select(F.struct(*columns).alias("row"), F.col(f"`{doc_id}`").cast("bigint").alias("own"), F.xxhash64(f"`{text}`").alias("hash"), F.split(F.col(f"`{text}`"), "\n").alias("parts"))
+    met = marked.join(gone, F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("digest")), "left").withColumn("whole", F.col(f"row.`{text}`"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "lines")  # by a hash set, linear in the lines
+    kept = F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n")
+    changed = met.withColumn("body", F.when(F.col("lines").isNull(), F.col("whole")).otherwise(kept)).filter(F.col("lines").isNull() | filled(F.col("body")))
+    return untouched.unionByName(changed.select(*[(F.col("body") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))

@@ -1,4 +1,9 @@
-"""Stages of the corpus pipeline: each applies one operator's decisions to whole documents."""
+"""Stages of the corpus pipeline: each applies one operator's decisions to whole documents.
+
+Defined results. Other columns pass through all stages but the last, whatever their names; ``n_chars`` follows the text. Documents with
+null ids, null or empty texts are kept as documents of their own, unless an operator's decision says otherwise; of
+repeated rows as many stay as the operator keeps. Empty tables give empty tables. Very long texts are worked on whole.
+"""
 
 from __future__ import annotations
 
@@ -24,15 +29,15 @@ def decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     partly = checkpointed(per_text.filter("kept < all").withColumn("hash", own))
     known = bit_map(partly.select("hash"), MAP_BITS)
     key = F.xxhash64("doc_id", digest_of("text"))
-    untouched = docs.filter(~in_map(known.scalar(), key, MAP_BITS))
-    marked = docs.filter(in_map(known.scalar(), key, MAP_BITS)).withColumn("_digest", digest_of("text"))
-    changes = partly.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_own"), F.col("kept").alias("_kept"))
-    met = marked.join(changes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_own")), "left")
-    met = met.filter("_kept IS NULL OR _kept > 0")
-    single, several = met.filter("_kept IS NULL"), met.filter("_kept > 0").dropDuplicates(["_id", "_own"])
-    several = several.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_kept"))))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return untouched.select(*columns).unionByName(single.select(*columns)).unionByName(several.select(*columns))
+    untouched = docs.filter(~in_map(known.scalar(), key, MAP_BITS)).select(*columns)
+    # the whole row lies in one column, whatever its columns are called
+    marked = docs.filter(in_map(known.scalar(), key, MAP_BITS)).select(F.struct(*columns).alias("row"), F.col("doc_id").alias("own"), digest_of("text").alias("text_digest"))
+    met = marked.join(partly.select("doc_id", "digest", "kept"), F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("text_digest") == F.col("digest")), "left")
+    met = met.filter("kept IS NULL OR kept > 0")
+    single, several = met.filter("kept IS NULL"), met.filter("kept > 0").dropDuplicates(["doc_id", "digest"])
+    several = several.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("kept"))))
+    return untouched.unionByName(single.select("row.*")).unionByName(several.select("row.*"))
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -47,8 +52,8 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
-    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole_row"))
+    return toxicity.scored(whole, table(spark, sf_dir, "labels")).filter("predicted = 0").select("whole_row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

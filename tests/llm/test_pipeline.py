@@ -1,5 +1,6 @@
 """Stages against brute force, their columns, and the whole run."""
 
+import hashlib
 import os
 import random
 
@@ -97,3 +98,22 @@ def test_run(spark):
     got = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
     assert got.groupBy("block", "position").count().filter(F.col("count") > 1).count() == 0
+
+
+def test_columns_with_any_name_pass_all_stages(spark, tmp_path):
+    """Columns named like helper columns, and a text of very many lines."""
+    names = ["row", "own", "hash", "parts", "lines", "body", "digest", "id", "kept", "copy", "predicted", "score", "held_out", "_lines", "_id", "whole_row", "text_digest"]
+    long = "\n".join(hashlib.md5(str(i % 700).encode()).hexdigest() for i in range(6000))
+    docs = [(1, "one two three four five six\nseven"), (2, "one two three four five six\neight"), (3, "one two three four five six\neight"), (4, long), (5, None), (None, "")]
+    folder = str(tmp_path)
+    spark.createDataFrame([(9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "nowhere to be found")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = spark.createDataFrame([(*d, *names) for d in docs], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, rows, folder)
+        assert after.columns == rows.columns, name
+        got = after.collect()
+        assert all(tuple(r)[2:] == tuple(names) for r in got), name
+        if name == "line_dedup":
+            texts = {r["doc_id"]: r["text"] for r in got}
+            assert texts[1].endswith("seven") and texts[4] == "\n".join(long.split("\n")[:700])
