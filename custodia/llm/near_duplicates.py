@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from custodia.llm.common import plain_words
 from custodia.llm.decontaminate import bit_map, in_map
 from custodia.llm.graph import components
+from custodia.operators.skew import join_by_weight
 from custodia.session import checkpointed
 
 SHINGLE = 5
@@ -39,6 +40,8 @@ ROWS = 5
 #: Leaders that a bucket tests in one of the later rounds, and comparisons per member below which the rest meets at once.
 LEADERS = 16
 PAIRS_PER_MEMBER = 2000
+#: Pairs of one leader that go into one share of the join with its text.
+LEADER_PAIRS = 1000
 #: Slots of the signature are compared before texts are, by four bits each; a pair goes if more slots differ than the
 #: similarity allows by this many standard deviations.
 DEVIATIONS = 5.0
@@ -191,16 +194,22 @@ def banded(docs: DataFrame, doc_id: str, text: str, size: int, bands: int, rows:
     return read.mapInArrow(work, f"row bigint, id {kind}, digest bigint, d1 bigint, d2 bigint, n bigint, bands array<bigint>")
 
 
+def _map_bits(held: int) -> int:
+    """Bits of a map of ``held`` hashes: 16 each, within 2^20 and 2^28 (32 MB); a fuller map only spares fewer rows the join."""
+    return 1 << min(max(20, (16 * held).bit_length()), 28)
+
+
 def _multisets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """``(rep, members)`` for the texts ``wanted (rep, d1, d2)``, read from the documents again."""
-    known = bit_map(wanted.select(F.col("d1").alias("hash")))
-    read = _hashed(docs, doc_id, text).filter(in_map(known.scalar(), F.col("d1"))).select("d1", "d2", "h")
-    read = read.groupBy("d1", "d2").agg(F.first("h").alias("h")).join(wanted, ["d1", "d2"]).select("rep", "h")
+    """``(rep, n, sketch, buckets, members)`` of the texts ``wanted (rep, d1, d2, n, sketch, buckets)``, read from the documents again."""
+    bits = _map_bits(wanted.count())
+    known = bit_map(wanted.select(F.col("d1").alias("hash")), bits)
+    read = _hashed(docs, doc_id, text).filter(in_map(known.scalar(), F.col("d1"), bits)).select("d1", "d2", "h")
+    read = read.groupBy("d1", "d2").agg(F.first("h").alias("h")).join(wanted, ["d1", "d2"]).select("rep", "n", "sketch", "buckets", "h")
 
     def work(batches):
         return _with_list(batches, "members", lambda words, ends: members_of(*shingles(words, ends, size), len(ends) - 1))
 
-    return read.mapInArrow(work, "rep bigint, members array<bigint>")
+    return read.mapInArrow(work, "rep bigint, n bigint, sketch array<bigint>, buckets array<bigint>, members array<bigint>")
 
 
 def _similar(similarity: float) -> Column:
@@ -222,26 +231,34 @@ def _possible(similarity: float, slots: int) -> Column:
     return (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")) & (differ <= most)
 
 
+def _met(pairs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs (a, rep)`` with ``columns`` of both texts, those of ``a`` called ``other_...``.
+
+    A leader may stand in very many pairs; its pairs are dealt over as many shares as their number asks for.
+    """
+    here = pairs.join(texts.select("rep", *columns).hint("merge"), "rep")
+    theirs = texts.select(F.col("rep").alias("a"), *[F.col(c).alias(f"other_{c}") for c in columns])
+    weighed = pairs.groupBy("a").agg(F.count("*").alias("weight")).join(theirs.hint("merge"), "a")
+    return join_by_weight(here, weighed, ["a"], "weight", "rep", LEADER_PAIRS)
+
+
 def linked(members: DataFrame, sets: DataFrame, similarity: float, slots: int) -> DataFrame:
-    """``(node, root)`` of the classes of ``members (bucket, rep, n, sketch)``; texts without a link have no row.
+    """``(node, root)`` of the classes of ``members (bucket, rep, lead)``; texts without a link have no row.
 
-    ``sets`` has the multiset (``members``) and all ``buckets`` of each ``rep``. Sizes, sketches and then the multisets are compared in the
-    condition of a join, so that pairs that aren't similar are never rows.
+    ``lead`` is the smallest text of the bucket. ``sets`` has size, sketch, all ``buckets`` and the multiset (``members``) of each ``rep``.
+    Pairs with leaders are made distinct over all buckets and pass the test of sizes and sketches as ids before multisets meet. What is
+    compared later is compared in the condition of a join, so that pairs that aren't similar are never rows.
     """
     possible, similar = _possible(similarity, slots), _similar(similarity)
-    facts = members.select(F.col("rep").alias("a"), F.col("n").alias("other_n"), F.col("sketch").alias("other_sketch")).dropDuplicates(["a"])
-    leader = members.groupBy("bucket").agg(F.min("rep").alias("a"))
-    first = members.join(leader.hint("merge"), "bucket").filter("a < rep").dropDuplicates(["a", "rep"])
-    first = first.join(facts.hint("merge"), "a").filter(possible).select("a", "rep")
-    first = first.join(sets.drop("buckets").hint("merge"), "rep")  # the leader's multiset meets it below
-    leaders = sets.select(F.col("rep").alias("a"), F.col("members").alias("other_members"))
-    links = checkpointed(first.join(leaders.hint("merge"), "a").filter(similar).select("a", F.col("rep").alias("b")))
+    first = checkpointed(members.filter("lead < rep").select(F.col("lead").alias("a"), "rep").distinct())
+    first = checkpointed(_met(first, sets, ["n", "sketch"]).filter(possible).select("a", "rep"))
+    links = checkpointed(_met(first, sets, ["members"]).filter(similar).select("a", F.col("rep").alias("b")))
     rest, done = members, False
     while True:
         root = components(links)
         if done:
             return root
-        rest = rest.select("bucket", "rep", "n", "sketch").join(root.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+        rest = rest.select("bucket", "rep").join(root.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
         rest = checkpointed(rest.withColumn("class", F.coalesce("root", "rep")).drop("root"))
         per_class = rest.groupBy("bucket", "class").agg(F.count("*").alias("own"))
         largest = F.max(F.struct("own", "class")).alias("largest")
@@ -286,18 +303,17 @@ def near_duplicates(
     ``class_id`` is the smallest id of the class, ``kept`` holds for one document of each class, ``digest`` is a hash of the text.
     """
     scanned = checkpointed(banded(docs, doc_id, text, size, bands, rows))
-    groups = checkpointed(scanned.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), F.count("*").alias("copies")))
-    reps = scanned.join(groups.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
-    buckets = reps.select(F.col("row").alias("rep"), F.posexplode(F.slice("bands", 1, bands)).alias("band", "value"))
-    buckets = buckets.select(F.xxhash64("band", "value").alias("bucket"), "rep")
-    full = checkpointed(buckets.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1").select("bucket"))
-    shared = buckets.join(full.hint("merge"), "bucket")
-    facts = reps.select(F.col("row").alias("rep"), "n", F.slice("bands", bands + 1, -(-bands * rows // 16)).alias("sketch"))
-    members = checkpointed(shared.join(facts.hint("merge"), "rep"))
-    wanted = groups.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "d1", "d2")
-    owned = F.transform(F.slice("bands", 1, bands), lambda value, band: F.xxhash64(band, value))
-    owned = reps.select(F.col("row").alias("rep"), owned.alias("buckets"))
-    sets = checkpointed(_multisets(docs, doc_id, text, size, wanted).join(owned.hint("merge"), "rep"))
+    # equal words have equal sizes and bands, so any row of a group serves
+    own_text = [F.first(c).alias(c) for c in ("n", "bands")]
+    groups = checkpointed(scanned.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("rep"), *own_text))
+    keys = F.transform(F.slice("bands", 1, bands), lambda value, band: F.xxhash64(band, value))
+    buckets = groups.select("rep", F.explode(keys).alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("held"), F.min("rep").alias("lead")).filter("held > 1")
+    members = checkpointed(buckets.join(checkpointed(shared.select("bucket", "lead")).hint("merge"), "bucket"))
+    sketch = F.slice("bands", bands + 1, -(-bands * rows // 16)).alias("sketch")
+    wanted = groups.join(members.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    wanted = checkpointed(wanted.select("rep", "d1", "d2", "n", sketch, keys.alias("buckets")))
+    sets = checkpointed(_multisets(docs, doc_id, text, size, wanted))
     roots = linked(members, sets, similarity, bands * rows)
     roots = roots.withColumnRenamed("node", "rep")
     classes = checkpointed(groups.join(roots, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root")))

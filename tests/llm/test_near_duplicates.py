@@ -75,6 +75,7 @@ def test_classes_against_brute_force(spark):
 def test_leader_rounds_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "PAIRS_PER_MEMBER", 0.2)
     monkeypatch.setattr(near_duplicates, "LEADERS", 2)
+    monkeypatch.setattr(near_duplicates, "LEADER_PAIRS", 2)  # leaders' pairs are dealt over shares
     docs = texts(random.Random(12), 5)
     base = [f"v{i}" for i in range(120)]
     for i in range(14):  # a chain of texts: neighbours are similar, ends are not
@@ -130,8 +131,32 @@ def test_sketches_count_differing_slots(spark):
     assert far.filter(near_duplicates._possible(0.8, 125)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("size", [None, 8])  # in one task; over tasks with star rounds
+def test_components(spark, size):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + rng.randrange(1, 50)) for _ in range(80)] + [(7, 7), (None, 3), (200, 100)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    rng.shuffle(links)
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long"), size=size).collect()}
     assert {got[i] for i in range(61)} == {0} and got[200] == 100 and all(r == 100 for n, r in got.items() if n >= 100)
+    assert set(got) == {n for link in links for n in link if n is not None}
+
+
+def test_contraction_of_links():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        u, v = rng.integers(0, 60, (2, rng.integers(1, 70))) * 1000 - 7
+        root = {n: n for n in [*u.tolist(), *v.tolist()]}
+        for _ in root:
+            for x, y in zip(u.tolist(), v.tolist()):
+                root[x] = root[y] = min(root[x], root[y])
+        node, least = graph.smallest_reachable(u, v)
+        assert dict(zip(node.tolist(), least.tolist())) == {n: r for n, r in root.items() if n != r}
+
+
+def test_bit_maps_grow_with_the_texts():
+    bits = [near_duplicates._map_bits(n) for n in (0, 1, 70_000, 2_000_000, 10**10)]
+    assert bits == [1 << 20, 1 << 20, 1 << 21, 1 << 25, 1 << 28]
+
+
+def test_no_links(spark):
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
