@@ -7,7 +7,7 @@ are decoded by Viterbi. Pages are independent rows, so nothing is shuffled.
 
 Defined results. Null and empty pages, and pages without main text, give the empty text. Unclosed tags, comments and
 quotes end with the page. Drawings (svg) are no text, formulas (math) are inline text; both are empty if their tag ends in
-"/". Repeated rows are extracted one by one. Extra columns are ignored; empty tables give no rows.
+"/". Very long and deeply nested pages are worked on whole, in time linear in their length. Repeated rows are extracted one by one. Extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ import html
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ BLOCK_TAGS = frozenset(
     "select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LANDMARKS = frozenset("article main nav header footer aside form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAF_TAGS = HEADINGS | frozenset("p pre li dt dd blockquote".split())
 RAW_TAGS = frozenset("script style title textarea template svg iframe object noembed noframes xmp".split())
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -46,55 +50,116 @@ STEPS = 250
 PENALTY = 0.02
 
 
+@dataclass(eq=False)
+class Element:
+    """An open element with its parent, what it adds to the features of the blocks under it, and what they inherit."""
+
+    tag: str
+    names: tuple[str, ...] = ()
+    parent: Element | None = None
+    features: tuple[str, ...] = ()
+    #: Innermost block tag and the one above it, innermost landmark, and elements with names below that landmark.
+    own: str = ""
+    outer: str = ""
+    landmark: str = ""
+    inner: int = 0
+    mark: bool | None = None
+
+
 @dataclass
 class Block:
-    """Text of a leaf block with what stands above it."""
+    """Text of a leaf block with the element it stands in and the one that holds its paragraph."""
 
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    place: Element
+    holder: Element
     linked: int
-    mark: bool | None = None
 
+    @property
+    def mark(self) -> bool | None:
+        return self.place.mark
 
-@dataclass
-class _Open:
-    tag: str
-    names: tuple[str, ...] = ()
-    mark: bool | None = None
+    @property
+    def names(self) -> tuple[str, ...]:
+        """Classes, ids and roles of all elements above, outermost first."""
+        return tuple(n for e in reversed(above(self.place)) for n in e.names)
 
 
-@dataclass
-class _Page:
-    """State of the cutter: open elements and the block being read."""
+def above(element: Element) -> list[Element]:
+    """The element and all above it, innermost first."""
+    out = [element]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
 
-    marks: bool
-    open: list[_Open] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    blocks: list[Block] = field(default_factory=list)
+
+class _Page:
+    """State of the cutter: open elements and the block being read. All steps take constant time, at any depth."""
+
+    def __init__(self, marks: bool):
+        self.marks = marks
+        self.open: list[Element] = [Element("")]
+        self.places: dict[str, list[int]] = {}  # where in ``open`` each tag stands
+        self.block_places: list[int] = [0]
+        self.names: dict[str, int] = {}
+        self.parts: list[str] = []
+        self.linked = 0
+        self.blocks: list[Block] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split()) if self.parts else ""
         if text:
-            mark = next((o.mark for o in reversed(self.open) if o.mark is not None), None) if self.marks else None
-            names = tuple(n for o in self.open for n in o.names)
-            self.blocks.append(Block(text, tuple(o.tag for o in self.open if o.tag in BLOCK_TAGS), names, self.linked, mark))
+            at = self.block_places[-1]
+            holder = self.open[at].parent if self.open[at].tag in LEAF_TAGS else self.open[at]
+            self.blocks.append(Block(text, self.open[-1], holder, self.linked))
         self.parts, self.linked = [], 0
 
     def add(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         self.parts.append(text)
-        if any(o.tag == "a" for o in self.open[-3:]):
+        if any(e.tag == "a" for e in self.open[-3:]):
             self.linked += len(text)
 
+    def push(self, tag: str, names: tuple[str, ...], mark: bool | None) -> None:
+        parent, block = self.open[-1], tag in BLOCK_TAGS
+        fresh = [f"name_{w}" for w in dict.fromkeys(names) if not self.names.get(w)]
+        if block and not self.places.get(tag):
+            fresh.append(f"in_{tag}")
+        for w in names:
+            self.names[w] = self.names.get(w, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        if block:
+            self.block_places.append(len(self.open))
+        lands = tag in LANDMARKS
+        self.open.append(
+            Element(
+                tag,
+                names,
+                parent,
+                tuple(fresh),
+                tag if block else parent.own,
+                parent.own if block else parent.outer,
+                tag if lands else parent.landmark,
+                0 if lands else parent.inner + bool(names),
+                parent.mark if mark is None else mark,
+            )
+        )
+
+    def pop(self) -> None:
+        gone = self.open.pop()
+        self.places[gone.tag].pop()
+        if gone.tag in BLOCK_TAGS:
+            self.block_places.pop()
+        for w in gone.names:
+            self.names[w] -= 1
+
     def start(self, tag: str, attributes: str) -> None:
         if tag in BLOCK_TAGS:
             self.flush()
-            while self.open and (self.open[-1].tag not in BLOCK_TAGS or self.open[-1].tag == "p"):
-                self.open.pop()  # inline elements and paragraphs end where a block begins
-            if self.open and self.open[-1].tag in CLOSES_ITSELF.get(tag, ()):
-                self.open.pop()
+            while len(self.open) > 1 and (self.open[-1].tag not in BLOCK_TAGS or self.open[-1].tag == "p"):
+                self.pop()  # inline elements and paragraphs end where a block begins
+            if self.open[-1].tag in CLOSES_ITSELF.get(tag, ()):
+                self.pop()
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID_TAGS:
@@ -105,17 +170,17 @@ class _Page:
             names = tuple(w for key, value in found if key in ("class", "id", "role") for w in WORD.findall(value.lower()))
             if self.marks:
                 mark = next((key == "keep" for key, _ in found if key in ("keep", "drop")), None)
-        self.open.append(_Open(tag, names, mark))
+        self.push(tag, names, mark)
 
     def end(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.flush()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if tag not in BLOCK_TAGS and self.open[i].tag in BLOCK_TAGS:
-                return  # a stray inline end doesn't reach beyond its block
+        at = self.places.get(tag)
+        if not at or (tag not in BLOCK_TAGS and at[-1] < self.block_places[-1]):
+            return  # a stray end; an inline one doesn't reach beyond its block
+        stop = at[-1]
+        while len(self.open) > stop:
+            self.pop()
 
 
 def empty(attributes: str) -> bool:
@@ -184,31 +249,52 @@ def text_features(block: Block, place: int, total: int) -> list[str]:
     ]
 
 
-def place_features(tags: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
-    """Tags and names above a block, its own tag, and whether the innermost landmark is an article or something else."""
-    out = [f"in_{t}" for t in set(tags)] + [f"name_{w}" for w in set(names)]
-    out.append(f"own_{tags[-1] if tags else ''}")
-    marks = [t for t in tags if t in ("article", "main", "nav", "header", "footer", "aside", "form")]
-    out.append(f"landmark_{marks[-1] if marks else ''}")
+def place_features(place: Element) -> list[str]:
+    """What a block's place says beyond the tags and names above it, which its elements hold."""
+    return [f"own_{place.own}", f"pair_{place.outer}_{place.own}", f"landmark_{place.landmark}", f"inner{min(place.inner, 2)}_{place.landmark}"]
+
+
+def page_features(blocks: list[Block]) -> list[list[str]]:
+    """How a block stands to its page: whether the page has an article, whether that holds its paragraphs itself or in
+    elements with names, and the share of the block's holder in the text, measured by the holder with most of it."""
+    held: dict[Element, int] = {}
+    direct = named = 0
+    for b in blocks:
+        held[b.holder] = held.get(b.holder, 0) + len(b.text) - b.linked
+        if b.place.landmark in ("article", "main") and b.place.own not in HEADINGS:
+            direct, named = direct + len(b.text) * (not b.place.inner), named + len(b.text) * bool(b.place.inner)
+    most, flow = max(held.values(), default=0), 3 * direct // (direct + named) if direct + named else "none"
+    out = []
+    for b in blocks:
+        at = f"{min(b.place.inner, 1)}_{b.place.landmark}"
+        share = 3 * held[b.holder] // most if most > 0 else 0
+        out.append([f"flow{flow}_{at}", f"share{share}_{at}", f"flow{flow}_share{share}_{at}"])
     return out
 
 
+def local_features(blocks: list[Block]) -> list[list[str]]:
+    """All features of each block but those that the elements above it hold."""
+    return [text_features(b, i, len(blocks)) + place_features(b.place) + page for i, (b, page) in enumerate(zip(blocks, page_features(blocks)))]
+
+
 class Field:
     """Weights of the field: for each feature and label, and for each pair of labels."""
 
     def __init__(self, weights: dict[str, tuple[float, float]], pairs: np.ndarray):
-        self.weights, self.pairs, self.places = weights, pairs, {}
+        self.weights, self.pairs = weights, pairs
 
     def points(self, blocks: list[Block]) -> np.ndarray:
-        out = np.zeros((len(blocks), 2))
-        for i, b in enumerate(blocks):
-            key = (b.tags, b.names)
-            if key not in self.places:
-                if len(self.places) > 50_000:
-                    self.places.clear()
-                self.places[key] = self._sum(place_features(*key))
-            own, above = self._sum(text_features(b, i, len(blocks))), self.places[key]
-            out[i] = own[0] + above[0], own[1] + above[1]
+        out, known = np.zeros((len(blocks), 2)), {}
+        for i, (b, local) in enumerate(zip(blocks, local_features(blocks))):
+            chain, at = [], b.place
+            while at is not None and at not in known:
+                chain.append(at)
+                at = at.parent
+            for element in reversed(chain):  # each element is summed once
+                own, outer = self._sum(element.features), known.get(element.parent, (0.0, 0.0))
+                known[element] = own[0] + outer[0], own[1] + outer[1]
+            own, outer = self._sum(local), known[b.place]
+            out[i] = own[0] + outer[0], own[1] + outer[1]
         return out
 
     def _sum(self, features: list[str]) -> tuple[float, float]:
@@ -263,7 +349,8 @@ def trained(pages: list[str], steps: int = STEPS, penalty: float = PENALTY) -> F
     for page in pages:
         blocks = cut(page, marks=True)
         rows = [
-            [index.setdefault(f, len(index)) for f in text_features(b, i, len(blocks)) + place_features(b.tags, b.names)] for i, b in enumerate(blocks)
+            [index.setdefault(f, len(index)) for f in [*local, *[f for e in above(b.place) for f in e.features]]]
+            for b, local in zip(blocks, local_features(blocks))
         ]
         if rows:
             data.append((rows, np.array([int(bool(b.mark)) for b in blocks])))
@@ -283,9 +370,15 @@ def trained(pages: list[str], steps: int = STEPS, penalty: float = PENALTY) -> F
     return Field({f: tuple(weights[i].tolist()) for f, i in index.items()}, pairs)
 
 
+@lru_cache(maxsize=1)
+def default_field() -> Field:
+    """Field fitted to the labelled pages of this package, once in a process."""
+    return trained(labelled_pages())
+
+
 def extracted(pages: DataFrame, html_column: str = "html", fitted: Field | None = None) -> DataFrame:
     """``pages`` without the html, with ``text`` and ``n_chars``; columns with these names are replaced."""
-    model = fitted or trained(labelled_pages())
+    model = fitted or default_field()
     others = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
     kept = pages.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{html_column}`"))
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("text", T.StringType())])

@@ -1,7 +1,8 @@
 """Labelled pages to train the extractor on: layouts with a mark on each part, filled with made-up words.
 
 ``keep`` on an element says that its blocks belong to the main text, ``drop`` that they don't; the nearest mark above a
-block counts. ``{p}`` stands for a paragraph, ``{h}`` for a heading, ``{s}`` for a few words, ``{l}`` for a list of links.
+block counts. ``{p}`` stands for a paragraph, ``{h}`` for a heading, ``{s}`` for a few words, ``{l}`` for a list of links,
+``{n}`` for a class name that says nothing.
 The extractor never sees the marks.
 """
 
@@ -35,6 +36,21 @@ LAYOUTS = (
     """<body drop><nav>{l}</nav><article keep><h1>{h}</h1><div>{p}</div><div>{s}</div><div>{p}</div></article><div class="ads"><p>{p}</p></div><aside>{l}<p>{p}</p></aside>
     <div class="modal popup"><p>{s}</p></div><footer><small>{s}</small></footer></body>""",
     """<body drop><div class="ad">{p}</div><article keep><h1>{h}</h1><p>{s}</p><p>{s}</p></article><section id="discussion" class="replies"><p>{p}</p><p>{p}</p></section><footer>{p}</footer></body>""",
+    """<body keep><p>{p}</p><p>{p}</p><p>{p}</p></body>""",
+    """<body keep><h1>{h}</h1><p>{p}</p><p>{s}.</p><p>{p}</p></body>""",
+    """<body keep>{p}</body>""",
+    """<body keep>{p}<br><br>{p}<div>{p}</div></body>""",
+    """<body drop><div class="{n}">{l}</div><div class="{n}" keep><h1>{h}</h1><p>{p}</p><p>{p}</p><p>{p}</p><p>{p}</p></div><div class="{n}">&copy; {s}</div></body>""",
+    """<body drop><nav>{l}</nav><article keep><h1>{h}</h1><p>{p}</p><p>{p}</p><p>{p}</p><p>{p}</p><div class="{n} {n}" drop><p>{p}</p></div></article><footer>{s}</footer></body>""",
+    """<body drop><nav>{l}</nav><article keep><div class="{n}" drop><p>{s}</p></div><h1>{h}</h1><p>{p}</p><p>{p}</p><p>{p}</p><p>{p}</p>
+    <div class="{n}" drop><p>{s}</p><p>{s}.</p></div><div class="{n}" drop>{p}</div></article><footer>{s}</footer></body>""",
+    """<body drop><nav>{l}</nav><article keep><div class="{n}"><h1>{h}</h1><p>{p}</p><p>{p}</p><p>{p}</p><p>{p}</p></div></article><footer>{s}</footer></body>""",
+    """<body drop><nav>{l}</nav><main keep><h1>{h}</h1><p class="{n}">{p}</p><p class="{n}">{p}</p><p>{p}</p><p>{p}</p><div class="{n}" drop><div class="{n}"><p>{p}</p></div>
+    <div class="{n}"><p>{s}</p></div></div></main><footer>{s}</footer></body>""",
+    """<body drop><div id="{n}"><ul>{l}</ul></div><main keep><div class="{n} {n}"><h1>{h}</h1><p>{p}</p><p>{p}</p></div></main><footer>{l}</footer></body>""",
+    """<body drop><article keep><h1>{h}</h1><div class="{n}"><p>{p}</p><p>{p}</p></div><div class="{n}"><p>{p}</p></div><div class="{n}"><p>{p}</p><p>{p}</p></div></article>
+    <footer>{s}</footer></body>""",
+    """<body drop><nav>{l}</nav><article keep><h1>{h}</h1><section class="{n} {n}"><p>{p}</p><p>{p}</p></section><section class="{n}"><h2>{h}</h2><p>{p}</p></section></article></body>""",
 )
 SYLLABLES = "ba ce di fo gu la me ni po ru sa te vi zo kra ble sten ough".split()
 
@@ -45,11 +61,13 @@ def _words(rng: random.Random, low: int, high: int) -> str:
     return " ".join(w + rng.choice(["", "", "", "", ",", "."]) for w in made)
 
 
-def _filled(layout: str, rng: random.Random) -> str:
+def filled(layout: str, rng: random.Random) -> str:
+    """The layout with made-up words in its places."""
     made = {
         "p": lambda: _words(rng, 8, 90) + ".",
         "h": lambda: _words(rng, 3, 10),
         "s": lambda: _words(rng, 1, 8),
+        "n": lambda: "".join(rng.choice(SYLLABLES) for _ in range(4)),
         "l": lambda: "<ul>" + "".join(f'<li><a href="/{i}">{_words(rng, 1, 3)}</a></li>' for i in range(rng.randint(2, 7))) + "</ul>",
     }
     out, parts = [], layout.split("{")
@@ -62,4 +80,4 @@ def labelled_pages(copies: int = 6, seed: int = 5) -> list[str]:
     """Each layout filled ``copies`` times."""
     rng = random.Random(seed)
     head = '<!DOCTYPE html><html lang="en"><head><title>{s}</title><style>p{margin:0}</style></head>'.replace("{margin", "&#123;margin")
-    return [_filled(head, rng) + _filled(layout, rng) + "</html>" for layout in LAYOUTS for _ in range(copies)]
+    return [filled(head, rng) + filled(layout, rng) + "</html>" for layout in LAYOUTS for _ in range(copies)]

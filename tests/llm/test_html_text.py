@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import random
 import re
 import time
 from html import unescape
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 from custodia.llm import html_text
-from custodia.llm.labelled_pages import labelled_pages
+from custodia.llm.labelled_pages import filled, labelled_pages
 
 SCHEMA = "page_id long, url string, html string, text string, n_chars string"
 
@@ -82,6 +83,35 @@ def test_other_fillings_of_the_layouts(field):
     assert wrong / total < 0.02
 
 
+#: Layouts that are not among those trained on: no landmark, unknown names, comments and notices told by place and text.
+OTHER_LAYOUTS = (
+    "<html><body keep><h2>{h}</h2><p>{p}</p><p>{p}</p><p>{p}</p><p>{p}</p></body></html>",
+    "<p keep>{p}</p><p keep>{p}</p>",
+    "<html><body drop><nav>{l}</nav><article keep><h1>{h}</h1><p>{p}</p><h3>{h}</h3><p>{p}</p><p>{p}</p><p>{p}</p><div class='user-responses' drop><p>{s}</p><p>{s}</p></div></article></body></html>",
+    "<html><body drop><article keep><div class='disclaimer' drop><p>{s}</p></div><h1>{h}</h1><p>{p}</p><p>{p}</p><p>{p}</p></article><footer>{s}</footer></body></html>",
+    "<html><body drop><div id='masthead'>{l}</div><main keep><div class='wrap inner'><h1>{h}</h1><p>{p}</p><p>{p}</p><p>{p}</p></div></main><footer>{l}</footer></body></html>",
+    "<html><body drop><nav>{l}</nav><article keep><h1>{h}</h1><p>{p}</p><ul><li>{p}</li><li>{p}</li></ul><p>{p}</p></article><div class='ad'>{p}</div></body></html>",
+)
+
+
+def test_other_layouts(field):
+    wrong = total = 0
+    for seed in range(20):
+        rng = random.Random(seed)
+        for layout in OTHER_LAYOUTS:
+            blocks = html_text.cut(filled(layout, rng), marks=True)
+            wrong += sum(int(bool(b.mark)) != v for b, v in zip(blocks, field.decode(blocks)))
+            total += len(blocks)
+    assert wrong / total < 0.03
+
+
+def test_deep_pages_take_linear_time(field):
+    begin = time.time()
+    for page in ("<div>x" * 50_000, "<div>x" * 25_000 + "</p>" * 25_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<div class=a><p>x" * 25_000):
+        field.main_text(page)
+    assert time.time() - begin < 30
+
+
 def test_rows(spark, field):
     page = "<nav><a href=x>Menu here</a></nav><article><h1>On this</h1><p>Some longer words, and more of them.</p></article><footer>&copy; foot</footer>"
     rows = [(1, "u", page, "old", "old"), (1, "u", page, None, None), (None, None, None, None, None), (3, "", "", "", ""), (4, "", "<nav>x</nav>", "", "")]
