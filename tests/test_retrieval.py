@@ -189,3 +189,43 @@ def test_ingest(spark):
     metrics = jobs.run_metrics(result).first()
     assert (metrics["documents_processed"], metrics["chunks_created"], metrics["n_errors"]) == (3, 4, 1)
     assert metrics["first_errors"] == [f"Failed to process document {'t' * 300}: title longer than 255"]
+
+
+@pytest.mark.parametrize("few", [0, 20, 10_000])
+def test_askers_share_what_their_questions_and_grants_have_in_common(spark, vectors, few, monkeypatch):
+    """Very many askers of few questions: each direction is searched once for each grant that chunks hold, whoever asks."""
+    monkeypatch.setattr(retrieval, "FEW_ROWS", few)
+    probed, pairs = [], retrieval._search_pairs
+    monkeypatch.setattr(retrieval, "_search_pairs", lambda lists, probes, *rest: probed.append(probes.select("query_id").distinct().count()) or pairs(lists, probes, *rest))
+    categories = ["Records", "Performance Review", "Code of Conduct", None]
+    access = [(i, vectors[i].tolist(), categories[i % 4], ["u1@x", f"u{i % 5}@x"] if i % 2 else None, f"E{i % 7}") for i in range(300)]
+    schema = "chunk_id bigint, embedding array<float>, category string, entitled_emails array<string>, extracted_employee_id string"
+    chunks = spark.createDataFrame(access + access[:9], schema)  # some chunks come twice
+    people = [(f"u{i}@x", f"E{i}", ["can_see_all_reviews"] if i % 10 == 0 else []) for i in range(200)]
+    data = [(i % 190, vectors[i % 2].tolist(), *p) for i, p in enumerate(people)]  # and some query ids
+    asked = spark.createDataFrame(data, "query_id bigint, embedding array<float>, email string, employee_id string, groups array<string>")
+    found = retrieval.vector_search(chunks, asked, 6, 0.0, secured=True, lists=5, nprobe=1)
+    info = chunks.drop("embedding")
+    unit = vectors.astype("float64") / np.linalg.norm(vectors.astype("float64"), axis=1, keepdims=True)
+    scores = {}
+    for query, vector, email, employee, groups in data:
+        at = np.round(unit @ unit[data.index((query, vector, email, employee, groups)) % 2], 9)
+        may = [c for c, _, category, mails, own in access + access[:9] if category == "Code of Conduct" or email in (mails or []) or category == "Performance Review" and (groups or own == employee)]
+        scores.setdefault(query, []).extend((-at[c], c) for c in may if at[c] > 0)
+    want = [(q, c, rank) for q, some in scores.items() for rank, (_, c) in enumerate(sorted(some)[:6], start=1)]
+    assert info.count() == 309 and rows(found, "query_id", "chunk_id", "rank") == sorted(want, key=repr)
+    assert max(probed, default=0) <= 30  # 200 askers before
+
+
+def test_equal_contexts_are_written_once(spark, vectors, monkeypatch):
+    data = [(i, v.tolist(), "Code of Conduct", None, None, f"t{i % 4}", i, f"text {i}") for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(data, "chunk_id bigint, embedding array<float>, category string, entitled_emails array<string>, extracted_employee_id string, title string, chunk_index int, content string")
+    asked = [(i, i // 2, i % 2, f"q{(i + i // 2) % 2}", vectors[(i + i // 2) % 2].tolist(), f"u{i}@x", f"E{i}", []) for i in range(60)]
+    queries = spark.createDataFrame(asked, "query_id bigint, request_id bigint, query_pos int, query string, embedding array<float>, email string, employee_id string, groups array<string>")
+    want = rows(retrieval.format_context(jobs.retrieve(chunks, queries).drop("content").join(chunks.select("chunk_id", "content"), "chunk_id")))
+    written, write = [], retrieval.format_context
+    monkeypatch.setattr(retrieval, "format_context", lambda some, *rest: written.append(write(some, *rest)) or written[-1])
+    assert rows(jobs.retrieve_context(chunks, queries)) == want and len(want) == 30
+    assert written[0].count() == 2  # 30 before
+    nothing = jobs.retrieve_context(chunks, queries.withColumn("embedding", F.expr("transform(embedding, x -> 0f)"))).select("context").distinct()
+    assert rows(nothing) == [("No relevant documents found for this query.",)]
