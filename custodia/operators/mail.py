@@ -28,9 +28,10 @@ def first_blocked(labels: DataFrame, blocked: DataFrame) -> DataFrame:
     """The first blocked label of each message, in attachment, hit and label order.
 
     ``labels``: message_id, att_pos, hit_pos, label_pos, filename, name. A message with very many
-    labels is reduced to one row per task before the shuffle.
+    labels is reduced to one row per task before the shuffle. ``blocked`` is configuration and is broadcast, as labels share very
+    few names: dealt by name, one task would get most of them.
     """
-    found = labels.join(blocked_messages(blocked), "name")
+    found = labels.join(F.broadcast(blocked_messages(blocked)), "name")
     first = F.min_by(
         F.struct("att_pos", "filename", "name", "message"), F.struct("att_pos", "hit_pos", "label_pos")
     )
@@ -51,7 +52,7 @@ def mail_gate(messages: DataFrame, attachments: DataFrame, labels: DataFrame, bl
     )
     sound = attachments.filter("NOT coalesce(classification_error, false)").select("message_id", "att_pos", "filename")
     named = labels.select("message_id", "att_pos", "hit_pos", "label_pos", "name")
-    suspect = named.join(blocked.select("name").distinct(), "name", "left_semi")
+    suspect = named.join(F.broadcast(blocked.select("name").distinct()), "name", "left_semi")
     verdicts = first_blocked(suspect.join(sound, ["message_id", "att_pos"]), blocked)
     joined = messages.join(per_message, "message_id", "left").join(verdicts, "message_id", "left")
 

@@ -78,3 +78,19 @@ def test_verdicts(spark, blocked):
     assert got["failing"]["classification_error"] and not got["safe"]["classification_error"]
     open_gate = mail.mail_gate(messages, attachments, labels, blocked.limit(0))
     assert open_gate.filter("code = 550").count() == 0
+
+
+def test_labels_are_not_dealt_by_name(spark, blocked):
+    """Few names are shared by all labels: a shuffle by name would put them into as many tasks."""
+    labels = spark.range(4000).selectExpr("cast(id as string) message_id", "0 att_pos", "0 hit_pos", "0 label_pos", "'f' filename", "if(id % 2 = 0, 'sensitive', 'itar') name")
+    messages = spark.range(4000).selectExpr("cast(id as string) message_id", "'s@x' sender", "true has_content", "true parse_ok")
+    attachments = labels.select("message_id", "att_pos", "filename").selectExpr("*", "false classification_error")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables too large to be broadcast
+    try:
+        for found in (mail.first_blocked(labels, blocked), mail.mail_gate(messages, attachments, labels.drop("filename"), blocked)):
+            plan = found._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin [name#" not in plan
+            assert found.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
