@@ -229,3 +229,20 @@ def test_equal_contexts_are_written_once(spark, vectors, monkeypatch):
     assert written[0].count() == 2  # 30 before
     nothing = jobs.retrieve_context(chunks, queries.withColumn("embedding", F.expr("transform(embedding, x -> 0f)"))).select("context").distinct()
     assert rows(nothing) == [("No relevant documents found for this query.",)]
+
+
+def test_probes_leave_in_small_slices(spark):
+    """However many lists the queries of a batch probe, few rows with vectors are made at a time."""
+    queries = rng.normal(size=(600, 8)).astype("float32")
+    _, asked = frames(spark, queries, queries)
+    taken = []
+
+    class Asked:
+        columns, schema = [*asked.columns, "limit"], asked.schema
+        mapInPandas = staticmethod(lambda work, schema: taken.append(work))  # noqa: N815
+
+    centers = retrieval._unit(asked.limit(40).toPandas()["embedding"])
+    lists = retrieval.Lists(None, np.arange(40), centers, np.ones(40), np.ones(40, dtype="int64"))
+    retrieval._probes(Asked, lists, 40, 0.2)
+    sizes = [len(some) for some in taken[0](iter([asked.toPandas().assign(limit=np.nan)]))]
+    assert sum(sizes) == 600 * 40 and max(sizes) <= 8192  # 24,000 at once before
