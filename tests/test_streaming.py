@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from test_mail import message
 
-from custodia.operators import annotate, labels
+from custodia.operators import annotate, labels, mail
 from custodia.sources import tables
 from custodia.streaming import streams
 
@@ -168,3 +168,44 @@ def test_answers_before_after_and_never(spark, tmp_path):
     want = {"late": (550, 2, False), "never": (250, 1, True), "plain": (250, 0, False), "too late": (250, 1, True), "half": (250, 2, True), "first": (550, 1, False)}
     assert got == want
     assert spark.read.parquet(out).filter("message_id = 'late'").first()["reply"] == "550 Blocked - Secret found in b"
+
+
+def test_state_of_late_answers(spark, tmp_path, monkeypatch):
+    """What waits is a row for each mail and answer, on disk; it is read once, and what leaves it is not taken for next to nothing."""
+    mails, answers, out = str(tmp_path / "mails"), str(tmp_path / "answers"), str(tmp_path / "out")
+    blocked = spark.createDataFrame([(0, "Secret", "Secret found")], "pos int, name string, message string")
+    at = "timestamp_seconds(1700000000 + {})"
+    parts = "transform(sequence(0, 9), p -> named_struct('att_pos', p, 'filename', 'f' || p))"
+    who = "'s@x' sender, true has_content, true parse_ok"
+    sent = spark.range(300).selectExpr("id message_id", f"{at.format('id % 60')} arrived", *who.split(", "), f"{parts} attachments")
+    last = spark.range(1).selectExpr("-1L message_id", f"{at.format(86400)} arrived", *who.split(", "), "null attachments")
+    sent.union(last).coalesce(1).write.parquet(mails)
+    labels_ = "array(named_struct('hit_pos', 0, 'label_pos', 0, 'name', if(id % 2 = 0, 'Secret', 'Fine')))"
+    told = spark.range(300).selectExpr("id message_id", "3 att_pos", f"{at.format('id % 60 + 90')} answered", f"{labels_} labels")
+    end = spark.range(1).selectExpr("-1L message_id", "0 att_pos", f"{at.format(172800)} answered", f"{labels_} labels")
+    told.union(end).coalesce(1).write.parquet(answers)
+    plans, gate = [], mail.mail_gate
+
+    def watched(*tables_):
+        verdicts = gate(*tables_)
+        plans.append(verdicts._jdf.queryExecution().sparkPlan().toString())
+        return verdicts
+
+    monkeypatch.setattr(mail, "mail_gate", watched)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before, limit = spark.conf.get(provider, None), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+    try:
+        arriving = [streams.arriving(spark, folder, spark.read.parquet(folder).schema, "parquet") for folder in (mails, answers)]
+        query = streams.late_label_gate(*arriving, blocked, out, str(tmp_path / "state"), "1 hour")
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert spark.conf.get(provider, None) == before
+    got = spark.read.parquet(out).filter("message_id >= 0").groupBy("code", "n_attachments", "classification_error").count()
+    assert rows(got) == [(250, 10, True, 150), (550, 10, True, 150)]
+    held = [operator for progress in query.recentProgress for operator in progress.stateOperators]
+    assert sum(o.numRowsUpdated for o in held if o.operatorName == "symmetricHashJoin") <= 301 + 301
+    assert sum(o.numRowsRemoved for o in held if o.operatorName == "stateStoreSave") == 300
+    assert all(any("rocksdb" in name for name in o.customMetrics) for o in held)
+    assert "BroadcastHashJoin [message_id" not in plans[-1]
