@@ -40,12 +40,15 @@ ROWS = 5
 #: Leaders that a bucket tests in one of the later rounds, and comparisons per member below which the rest meets at once.
 LEADERS = 16
 PAIRS_PER_MEMBER = 2000
-#: Pairs of one leader that go into one share of the join with its text.
+#: Pairs of one leader that go into one share of the join with its sketch.
 LEADER_PAIRS = 1000
+#: Shingles in a block of texts whose multisets are compared, and pairs of texts in a cell of two blocks; both on average.
+BLOCK = 1 << 21
+CELL_PAIRS = 1 << 17
 #: Slots of the signature are compared before texts are, by four bits each; a pair goes if more slots differ than the
 #: similarity allows by this many standard deviations.
 DEVIATIONS = 5.0
-#: Words that are worked on at once.
+#: Words, or shingles, that are worked on at once.
 PIECE = 1 << 17
 
 
@@ -212,10 +215,54 @@ def _multisets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataF
     return read.mapInArrow(work, "rep bigint, n bigint, sketch array<bigint>, buckets array<bigint>, members array<bigint>")
 
 
-def _similar(similarity: float) -> Column:
-    """Jaccard similarity of the multisets ``members`` and ``other_members``."""
-    shared, both = F.size(F.array_intersect("members", "other_members")), F.size("members") + F.size("other_members")
-    return shared * (1 + similarity) >= similarity * both
+def shared_members(starts: np.ndarray, members: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many members texts ``a[i]`` and ``b[i]`` share; text ``k`` has ``members[starts[k] : starts[k + 1]]``, each once."""
+    distinct, code = np.unique(members, return_inverse=True)
+    held = np.zeros(len(distinct), dtype=np.int32)
+    sizes, shared = np.diff(starts), np.zeros(len(a), dtype=np.int64)
+    order = np.argsort(a, kind="stable")
+    work = np.cumsum(sizes[b[order]])
+    stops = np.flatnonzero(np.append(a[order][1:] != a[order][:-1], True)) + 1 if len(a) else []
+    start = 0
+    for end in stops:  # all pairs of one text
+        own = code[starts[a[order[start]]] : starts[a[order[start]] + 1]]
+        held[own] = 1
+        while start < end:  # about PIECE members at once, one pair at least
+            before = work[start - 1] if start else 0
+            stop = min(max(int(np.searchsorted(work, before + PIECE)), start + 1), end)
+            pairs = order[start:stop]
+            found = np.cumsum(held[code[_spread(starts[b[pairs]], sizes[b[pairs]])]])
+            shared[pairs] = np.diff(np.append(0, np.append(0, found)[work[start:stop] - before]))
+            start = stop
+        held[own] = 0
+    return shared
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs (a, rep)`` with a Jaccard similarity of their multisets of at least ``similarity``, as ``(a, b)``.
+
+    Texts are dealt over blocks, pairs over cells of two blocks. A multiset goes once to each cell in which it has a pair, however
+    many pairs or buckets it is in; blocks are as many as bound the multisets and the pairs of a cell.
+    """
+    per_text = pairs.select(F.explode(F.array("a", "rep")).alias("rep")).groupBy("rep").agg(F.count("*").alias("ends"))
+    ends, weight = per_text.join(sets.select("rep", "n").hint("merge"), "rep").agg(F.sum("ends"), F.sum("n")).first()
+    blocks = max(1, -(-(weight or 0) // BLOCK), math.ceil(math.sqrt((ends or 0) / 2 / CELL_PAIRS)))
+    x, y = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in ("a", "rep"))
+    dealt = pairs.select("a", "rep", (F.least(x, y) * blocks + F.greatest(x, y)).alias("cell"))
+    placed = dealt.select(F.col("cell").alias("place"), F.explode(F.array("a", "rep")).alias("rep")).distinct()
+    placed = placed.join(sets.select("rep", "members").hint("merge"), "rep")
+
+    def work(met: pa.Table, texts: pa.Table) -> pa.Table:
+        rep, lists = texts.column("rep").to_numpy(), texts.column("members").combine_chunks()
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        order = np.argsort(rep)
+        a, b = (order[np.searchsorted(rep, met.column(c).to_numpy(), sorter=order)] for c in ("a", "rep"))
+        values = lists.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]]
+        both = np.diff(starts)[a] + np.diff(starts)[b]
+        similar = shared_members(starts - starts[0], values, a, b) * (1 + similarity) >= similarity * both
+        return pa.table({"a": rep[a[similar]], "b": rep[b[similar]]})
+
+    return dealt.groupBy("cell").cogroup(placed.groupBy("place")).applyInArrow(work, "a bigint, b bigint")
 
 
 def _possible(similarity: float, slots: int) -> Column:
@@ -246,13 +293,13 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float, slots: int) -
     """``(node, root)`` of the classes of ``members (bucket, rep, lead)``; texts without a link have no row.
 
     ``lead`` is the smallest text of the bucket. ``sets`` has size, sketch, all ``buckets`` and the multiset (``members``) of each ``rep``.
-    Pairs with leaders are made distinct over all buckets and pass the test of sizes and sketches as ids before multisets meet. What is
-    compared later is compared in the condition of a join, so that pairs that aren't similar are never rows.
+    All pairs are made distinct over all buckets and pass the test of sizes and sketches as ids before multisets meet; multisets are
+    never dealt by bucket.
     """
-    possible, similar = _possible(similarity, slots), _similar(similarity)
+    possible, sizes = _possible(similarity, slots), sets.select("rep", "n", "sketch", "buckets")
     first = checkpointed(members.filter("lead < rep").select(F.col("lead").alias("a"), "rep").distinct())
     first = checkpointed(_met(first, sets, ["n", "sketch"]).filter(possible).select("a", "rep"))
-    links = checkpointed(_met(first, sets, ["members"]).filter(similar).select("a", F.col("rep").alias("b")))
+    links = checkpointed(_similar(first, sets, similarity))
     rest, done = members, False
     while True:
         root = components(links)
@@ -268,14 +315,15 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float, slots: int) -
         if not compared:
             return root
         rest = rest.join(mixed.select("bucket", "main").hint("merge"), "bucket")
-        full = rest.join(sets.hint("merge"), "rep")
-        other = full.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "n", "sketch", "class", "members", "buckets")])
-        here = F.col("bucket") == F.array_min(F.array_intersect("buckets", "other_buckets"))  # each pair in one bucket only
+        full = rest.join(sizes.hint("merge"), "rep")
+        other = full.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "n", "sketch", "class", "buckets")])
+        # each pair in one bucket only; a bucket stands at its band's place
+        here = F.col("bucket") == F.array_min(F.zip_with("buckets", "other_buckets", lambda x, y: F.when(x == y, x)))
         if compared <= PAIRS_PER_MEMBER * held:
             # texts outside their bucket's largest class meet all others of the bucket, each pair once
             once = (F.col("other_class") == F.col("main")) | (F.col("rep") < F.col("other_rep"))
             met = full.filter("class <> main").join(other.hint("merge"), "bucket")
-            pairs = met.filter((F.col("class") != F.col("other_class")) & once & possible & here & similar)
+            pairs = met.filter((F.col("class") != F.col("other_class")) & once & possible & here)
             done = True
         else:
             # too many to compare at once: some leaders of each bucket meet all others of it and leave
@@ -283,10 +331,10 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float, slots: int) -
             chosen = ahead.agg(F.slice(F.array_sort(F.collect_set("rep")), 1, LEADERS).alias("reps"))
             chosen = checkpointed(chosen.select("bucket", F.explode("reps").alias("other_rep")))
             met = full.join(chosen.join(other.hint("merge"), ["bucket", "other_rep"]).hint("merge"), "bucket")
-            pairs = met.filter((F.col("class") != F.col("other_class")) & possible & here & similar)
+            pairs = met.filter((F.col("class") != F.col("other_class")) & possible & here)
             rest = checkpointed(rest.join(chosen.withColumnRenamed("other_rep", "rep").hint("merge"), ["bucket", "rep"], "left_anti"))
-        pairs = pairs.select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("b")).distinct()
-        links = checkpointed(links.unionByName(pairs))
+        pairs = checkpointed(pairs.select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("rep")).distinct())
+        links = checkpointed(links.unionByName(_similar(pairs, sets, similarity)))
 
 
 def near_duplicates(

@@ -83,6 +83,40 @@ def test_leader_rounds_find_the_same(spark, monkeypatch):
     assert run(spark, docs) == brute(docs)
 
 
+@pytest.mark.parametrize("per_member", [2000, 0.2])  # the rest of a bucket at once; leaders in rounds
+def test_multisets_do_not_meet_by_bucket(spark, monkeypatch, per_member):
+    """A text is in up to 25 buckets and its multiset is by far its widest column: buckets deal ids and sketches only."""
+    plans, cut = [], near_duplicates.checkpointed
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(near_duplicates, "checkpointed", recorded)
+    monkeypatch.setattr(near_duplicates, "PAIRS_PER_MEMBER", per_member)
+    base = [f"v{i}" for i in range(130)]
+    docs = [(i, " ".join(base[9 * i : 9 * i + 80]), "", "") for i in range(5)]  # neighbours share bands, but 0.79 isn't enough
+    assert run(spark, docs) == brute(docs)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert any("bucket" in line and "sketch" in line for line in joins)
+    assert not [line for line in joins if "bucket" in line and "members" in line]
+
+
+def test_similar_pairs_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 40)
+    monkeypatch.setattr(near_duplicates, "CELL_PAIRS", 3)
+    monkeypatch.setattr(near_duplicates, "PIECE", 25)
+    rng = random.Random(5)
+    sets = [rng.sample(range(-9, 9), rng.randrange(1, 18)) for _ in range(24)]
+    pairs = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(150)} | {(0, i) for i in range(1, 24)})
+    texts = spark.createDataFrame([(i, len(m), m) for i, m in enumerate(sets)], "rep long, n long, members array<long>")
+    want = [(a, b) for a, b in pairs if len(set(sets[a]) & set(sets[b])) >= 0.5 * len(set(sets[a]) | set(sets[b]))]
+    for some in (pairs, []):
+        got = near_duplicates._similar(spark.createDataFrame(some, "a long, rep long"), texts, 0.5).collect()
+        assert sorted((r.a, r.b) for r in got) == (want if some else [])
+    assert 5 < len(want) < len(pairs) - 5
+
+
 @pytest.mark.parametrize("docs", [[], [(1, None, None, None)], [(None, "a b", None, None), (None, "a b", None, None)]])
 def test_small_tables(spark, docs):
     got = near_duplicates.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()
