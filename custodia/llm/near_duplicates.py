@@ -48,6 +48,8 @@ CELL_PAIRS = 1 << 17
 #: Slots of the signature are compared before texts are, by four bits each; a pair goes if more slots differ than the
 #: similarity allows by this many standard deviations.
 DEVIATIONS = 5.0
+#: Places of a text's parity bits.
+PARITY = 1024
 #: Words, or shingles, that are worked on at once.
 PIECE = 1 << 17
 
@@ -147,6 +149,16 @@ def members_of(owner: np.ndarray, keys: np.ndarray, counts: np.ndarray, texts: i
     return made, np.bincount(owner, weights=counts, minlength=texts).astype(np.int64)
 
 
+def parity_words(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of ``PARITY`` places an odd number of a text's members fall on, 64 places in a number.
+
+    Two texts differ in at most as many places as they have members that the other one lacks.
+    """
+    place = np.repeat(np.arange(len(sizes)), sizes) * PARITY + (members & (PARITY - 1))
+    odd = (np.bincount(place, minlength=len(sizes) * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(sizes), PARITY), axis=1).view(np.int64)
+
+
 def _with_list(batches: Iterator[pa.RecordBatch], name: str, made) -> Iterator[pa.RecordBatch]:
     """Replace the column of word hashes by the lists that ``made(words, ends)`` gives (values and their numbers)."""
     for whole in batches:
@@ -203,16 +215,24 @@ def _map_bits(held: int) -> int:
 
 
 def _multisets(docs: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """``(rep, n, sketch, buckets, members)`` of the texts ``wanted (rep, d1, d2, n, sketch, buckets)``, read from the documents again."""
+    """``(rep, n, sketch, buckets, parity, members)`` of the texts ``wanted (rep, d1, d2, n, sketch, buckets)``, read from the documents again."""
     bits = _map_bits(wanted.count())
     known = bit_map(wanted.select(F.col("d1").alias("hash")), bits)
     read = _hashed(docs, doc_id, text).filter(in_map(known.scalar(), F.col("d1"), bits)).select("d1", "d2", "h")
     read = read.groupBy("d1", "d2").agg(F.first("h").alias("h")).join(wanted, ["d1", "d2"]).select("rep", "n", "sketch", "buckets", "h")
 
     def work(batches):
-        return _with_list(batches, "members", lambda words, ends: members_of(*shingles(words, ends, size), len(ends) - 1))
+        def made(words, ends):
+            members, sizes = members_of(*shingles(words, ends, size), len(ends) - 1)
+            parity = parity_words(members, sizes)
+            return np.insert(members, np.repeat(np.cumsum(sizes) - sizes, parity.shape[1]), parity.ravel()), sizes + parity.shape[1]
 
-    return read.mapInArrow(work, "rep bigint, n bigint, sketch array<bigint>, buckets array<bigint>, members array<bigint>")
+        return _with_list(batches, "both", made)
+
+    read = read.mapInArrow(work, "rep bigint, n bigint, sketch array<bigint>, buckets array<bigint>, both array<bigint>")
+    ahead = PARITY // 64
+    split = F.slice("both", 1, ahead).alias("parity"), F.slice("both", F.lit(ahead + 1), F.size("both") - ahead).alias("members")
+    return read.select("rep", "n", "sketch", "buckets", *split)
 
 
 def shared_members(starts: np.ndarray, members: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -278,6 +298,14 @@ def _possible(similarity: float, slots: int) -> Column:
     return (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")) & (differ <= most)
 
 
+def _near(similarity: float) -> Column:
+    """Sizes and parities of two texts (``n, parity, other_n, other_parity``) allow the similarity; no similar pair fails."""
+    differ = F.lit(0)
+    for i in range(PARITY // 64):
+        differ = differ + F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("other_parity", F.lit(i))))
+    return differ * (1 + similarity) <= (F.col("n") + F.col("other_n")) * (1 - similarity) + 0.001
+
+
 def _met(pairs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
     """``pairs (a, rep)`` with ``columns`` of both texts, those of ``a`` called ``other_...``.
 
@@ -293,10 +321,11 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float, slots: int) -
     """``(node, root)`` of the classes of ``members (bucket, rep, lead)``; texts without a link have no row.
 
     ``lead`` is the smallest text of the bucket. ``sets`` has size, sketch, all ``buckets`` and the multiset (``members``) of each ``rep``.
-    All pairs are made distinct over all buckets and pass the test of sizes and sketches as ids before multisets meet; multisets are
-    never dealt by bucket.
+    All pairs are made distinct over all buckets and pass the test of sizes and sketches as ids before multisets meet, the pairs of a
+    bucket's rest also that of parities; multisets are never dealt by bucket.
     """
-    possible, sizes = _possible(similarity, slots), sets.select("rep", "n", "sketch", "buckets")
+    possible, sizes = _possible(similarity, slots), sets.select("rep", "n", "sketch", "parity", "buckets")
+    near = _near(similarity)
     first = checkpointed(members.filter("lead < rep").select(F.col("lead").alias("a"), "rep").distinct())
     first = checkpointed(_met(first, sets, ["n", "sketch"]).filter(possible).select("a", "rep"))
     links = checkpointed(_similar(first, sets, similarity))
@@ -316,14 +345,14 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float, slots: int) -
             return root
         rest = rest.join(mixed.select("bucket", "main").hint("merge"), "bucket")
         full = rest.join(sizes.hint("merge"), "rep")
-        other = full.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "n", "sketch", "class", "buckets")])
+        other = full.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("rep", "n", "sketch", "parity", "class", "buckets")])
         # each pair in one bucket only; a bucket stands at its band's place
         here = F.col("bucket") == F.array_min(F.zip_with("buckets", "other_buckets", lambda x, y: F.when(x == y, x)))
         if compared <= PAIRS_PER_MEMBER * held:
             # texts outside their bucket's largest class meet all others of the bucket, each pair once
             once = (F.col("other_class") == F.col("main")) | (F.col("rep") < F.col("other_rep"))
             met = full.filter("class <> main").join(other.hint("merge"), "bucket")
-            pairs = met.filter((F.col("class") != F.col("other_class")) & once & possible & here)
+            pairs = met.filter((F.col("class") != F.col("other_class")) & once & possible & near & here)
             done = True
         else:
             # too many to compare at once: some leaders of each bucket meet all others of it and leave
@@ -331,7 +360,7 @@ def linked(members: DataFrame, sets: DataFrame, similarity: float, slots: int) -
             chosen = ahead.agg(F.slice(F.array_sort(F.collect_set("rep")), 1, LEADERS).alias("reps"))
             chosen = checkpointed(chosen.select("bucket", F.explode("reps").alias("other_rep")))
             met = full.join(chosen.join(other.hint("merge"), ["bucket", "other_rep"]).hint("merge"), "bucket")
-            pairs = met.filter((F.col("class") != F.col("other_class")) & possible & here)
+            pairs = met.filter((F.col("class") != F.col("other_class")) & possible & near & here)
             rest = checkpointed(rest.join(chosen.withColumnRenamed("other_rep", "rep").hint("merge"), ["bucket", "rep"], "left_anti"))
         pairs = checkpointed(pairs.select(F.least("rep", "other_rep").alias("a"), F.greatest("rep", "other_rep").alias("rep")).distinct())
         links = checkpointed(links.unionByName(_similar(pairs, sets, similarity)))

@@ -102,6 +102,22 @@ def test_multisets_do_not_meet_by_bucket(spark, monkeypatch, per_member):
     assert not [line for line in joins if "bucket" in line and "members" in line]
 
 
+def test_parities_never_rule_out_a_similar_pair(spark):
+    rng = np.random.default_rng(2)
+    rows, sims = [], []
+    for n in (1, 3, 40, 300, 5000):
+        for lost in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.5):
+            a = rng.integers(-(2**63), 2**63, n)
+            b = np.concatenate([a[int(n * lost) :], rng.integers(-(2**63), 2**63, int(n * lost))])
+            x, y = near_duplicates.parity_words(np.concatenate([a, b]), np.array([n, len(b)])).tolist()
+            rows.append((len(sims), n, x, len(b), y))
+            sims.append(len(set(a) & set(b)) / len(set(a) | set(b)))
+    df = spark.createDataFrame(rows, "i long, n long, parity array<long>, other_n long, other_parity array<long>")
+    left = {r.i for r in df.filter(near_duplicates._near(0.8)).select("i").collect()}
+    assert {i for i, s in enumerate(sims) if s >= 0.8} <= left
+    assert not [i for i, s in enumerate(sims) if s < 0.7 and 3 < rows[i][1] < 5000 and i in left]
+
+
 def test_similar_pairs_over_cells(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 40)
     monkeypatch.setattr(near_duplicates, "CELL_PAIRS", 3)
