@@ -34,6 +34,8 @@ BLOCK_TOKENS = 1 << 20
 RANGE_ROWS = 2_000
 STEPS = 40
 SEED = 7
+#: Sources in a partition; their table is read about 50 times, and each time a partition is a task.
+SOURCES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -161,8 +163,9 @@ def mixed(
     """The mix of ``docs``; the budget is all their tokens unless it is given."""
     tokens = checkpointed(token_table(docs, doc_id, source, text))
     sources = checkpointed(source_table(tokens))
-    total = sources.agg(F.sum("source_tokens")).first()[0] or 0
-    goal = total if budget is None else budget
+    total, n = sources.agg(F.sum("source_tokens"), F.count("*")).first()
+    sources = sources.coalesce(max(1, -(-n // SOURCES)))
+    goal = (total or 0) if budget is None else budget
     exponent = bisected(checkpointed(sources.filter("source_tokens > 0")), float(goal), entropy, repeats)
     out = realised(tokens, weights(sources, exponent.value), goal, block_tokens)
     return out.withColumnRenamed("id", doc_id)

@@ -18,13 +18,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from custodia.llm.common import fold
 from custodia.llm.language import sampled
@@ -71,13 +70,18 @@ def symbol_table() -> np.ndarray:
     return _TABLE[0]
 
 
+def one_by_one(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch, of which Python holds one at a time."""
+    return (value.as_py() for value in column)
+
+
 def trigram_counts(docs: DataFrame, text: str) -> np.ndarray:
     """Counts of all symbol trigrams of all texts; at most 64^3 sums leave the cluster."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
         for batch in batches:
-            for body in batch.column(0).to_pylist():
+            for body in one_by_one(batch.column(0)):
                 last = np.array([BOUNDARY, BOUNDARY])
                 for start in range(0, len(body or ""), PIECE):
                     codes = np.frombuffer(body[start : start + PIECE].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -248,7 +252,7 @@ class Scorer:
         self.model, self.weights, self.curve, self.constant = model, weights, curve, constant
         self.starts = {f.lstrip("=")[:3] for f in weights}
 
-    def summaries(self, texts: list[str | None]) -> list[list[float]]:
+    def summaries(self, texts: Iterable[str | None]) -> list[list[float]]:
         restorer = Restorer(self.model) if not hasattr(self, "restorer") else self.restorer
         self.restorer = restorer
         out = []
@@ -257,9 +261,9 @@ class Scorer:
             out.append(summary(evidence(words, self.weights, self.starts), n))
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(texts), self.constant)
+            return np.array([self.constant for _ in texts])
         return 1 / (1 + np.exp(-np.clip(np.array(self.summaries(texts)).reshape(-1, 5) @ self.curve, -30, 30)))
 
 
@@ -280,7 +284,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: s
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, shown = Restorer(model), {0: Counter(), 1: Counter()}
         for batch in batches:
-            for y, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for y, body in zip(batch.column(0).to_pylist(), one_by_one(batch.column(1))):
                 own = set()
                 for w in restorer.words(body)[0]:
                     own.update(features(w))
@@ -299,7 +303,7 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: s
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array(scorer.summaries(batch.column(1).to_pylist()), pa.list_(pa.float64()))
+            made = pa.array(scorer.summaries(one_by_one(batch.column(1))), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["label", "x"])
 
     seen = rows.filter("second").select("label", "text").mapInArrow(summed, "label int, x array<double>").collect()
@@ -314,17 +318,17 @@ def learned(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: s
 def scored(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """All columns of ``docs`` with ``held_out, score, predicted``; columns with these names are replaced."""
+    """All columns of ``docs`` with ``held_out, score, predicted``; columns with these names are replaced.
+
+    Only the text goes to Python, and only the score comes back.
+    """
     scorer = learned(docs, labels, label, doc_id, text, fit_rows)
-    others = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in others])
-    at = others.index(text)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted")]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = pa.array(scorer.scores(batch.column(at).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(others))], score], names=[*others, "score"])
+    def work(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(scorer.scores(one_by_one(column)), pa.float64())
 
-    out = kept.mapInArrow(work, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    out = docs.select(*others, F.arrow_udf(work, "double")(F.col(text)).alias("score"))
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
-    return out.select(*[F.col(f"`{c}`") for c in others], (fold(F.col(doc_id), 5) == 0).alias("held_out"), "score", predicted)
+    return out.select(*others, (fold(F.col(doc_id), 5) == 0).alias("held_out"), "score", predicted)

@@ -96,6 +96,23 @@ def test_small_tables(spark, docs):
     assert got.columns == ["doc_id", "source", "tokens", "weight", "epoch", "block", "position"]
 
 
+def test_few_sources_are_one_task(spark, monkeypatch):
+    parts, bisected = [], mixing.bisected
+    monkeypatch.setattr(mixing, "bisected", lambda sources, *a: parts.append(sources.rdd.getNumPartitions()) or bisected(sources, *a))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for key, value in zip(was, ("9", "false")):
+            spark.conf.set(key, value)
+        docs = spark.createDataFrame([(i, f"s{i % 5}", "x y", "", "") for i in range(50)], SCHEMA)
+        whole = sorted(map(str, mixing.mixed(docs).collect()))
+        monkeypatch.setattr(mixing, "SOURCES", 2)
+        assert sorted(map(str, mixing.mixed(docs).collect())) == whole
+    finally:
+        for key, value in was.items():
+            spark.conf.set(key, value)
+    assert parts == [1, 3]
+
+
 def test_epochs_are_permuted_differently(spark):
     docs = [(i, "a", "x", "", "") for i in range(60)] + [(100 + i, "b", "x", "", "") for i in range(600)]
     got = mixing.mixed(spark.createDataFrame(docs, SCHEMA), entropy=1.0, repeats=3.0, block_tokens=60)

@@ -119,6 +119,29 @@ def test_few_labels(spark, labels):
     assert toxicity.scored(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, LABELS)).count() == 0
 
 
+def test_only_texts_go_to_python_one_at_a_time(spark, monkeypatch):
+    docs, labels = corpus(random.Random(7), 200)
+    df = spark.createDataFrame(docs, DOCS).withColumn("row", F.struct("doc_id", "text"))
+    got = toxicity.scored(df, spark.createDataFrame(labels, LABELS))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    assert got.columns == ["doc_id", "text", "row", "held_out", "score", "predicted"]
+    assert all(r.row.text == r.text and r.row.doc_id == r.doc_id for r in got.collect())
+    scorer = toxicity.Scorer(model_of("a b"), {}, np.ones(5), None)
+    monkeypatch.setattr(scorer, "restorer", toxicity.Restorer(scorer.model), raising=False)
+    seen = []
+
+    def texts():
+        for text in ("a", None, "b"):
+            assert len(seen) == calls[0]
+            seen.append(text)
+            yield text
+
+    calls, words = [0], scorer.restorer.words
+    monkeypatch.setattr(scorer.restorer, "words", lambda text: calls.__setitem__(0, calls[0] + 1) or words(text))
+    assert len(scorer.scores(texts())) == 3 and calls == [3]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are not there")
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
