@@ -209,3 +209,76 @@ def test_state_of_late_answers(spark, tmp_path, monkeypatch):
     assert sum(o.numRowsRemoved for o in held if o.operatorName == "stateStoreSave") == 300
     assert all(any("rocksdb" in name for name in o.customMetrics) for o in held)
     assert "BroadcastHashJoin [message_id" not in plans[-1]
+
+
+def test_attachments_and_answers_wait_in_files(spark, tmp_path, monkeypatch):
+    """State is one narrow row for each mail; mails that are due are decided in shares, with the verdicts they get together."""
+    mails, answers, out = str(tmp_path / "mails"), str(tmp_path / "answers"), str(tmp_path / "out")
+    blocked = spark.createDataFrame([(0, "Secret", "Secret found")], "pos int, name string, message string")
+    parts = "transform(sequence(0, id % 4), p -> named_struct('att_pos', p, 'filename', 'f' || p))"
+    sent = spark.range(200).selectExpr("id message_id", "timestamp_seconds(1700000000 + id) arrived", "'s@x' sender", "true has_content", "true parse_ok", f"{parts} attachments")
+    last = spark.range(1).selectExpr("-1L message_id", "timestamp_seconds(1700090000) arrived", "'s@x' sender", "true has_content", "true parse_ok", "null attachments")
+    sent.union(sent.filter("id = 7")).union(last).coalesce(2).write.parquet(mails)  # one mail comes twice
+    labels_ = "array(named_struct('hit_pos', 0, 'label_pos', 0, 'name', if(id % 3 = 0, 'Secret', 'Fine')))"
+    told = spark.range(200).selectExpr("id message_id", "explode(sequence(0L, id % 4)) att_pos", "timestamp_seconds(1700000060 + id) answered", f"{labels_} labels")
+    end = spark.range(1).selectExpr("-1L message_id", "0L att_pos", "timestamp_seconds(1700200000) answered", f"{labels_} labels")
+    told.union(told).union(end).coalesce(2).write.parquet(answers)
+    calls, gate = [], mail.mail_gate
+    monkeypatch.setattr(mail, "mail_gate", lambda *tables_: calls.append(1) or gate(*tables_))
+    monkeypatch.setattr(streams, "DUE_AT_ONCE", 50, raising=False)
+    arriving = [streams.arriving(spark, folder, spark.read.parquet(folder).schema, "parquet") for folder in (mails, answers)]
+    query = streams.late_label_gate(*arriving, blocked, out, str(tmp_path / "state"), "1 hour")
+    query.awaitTermination()
+    got = spark.read.parquet(out)
+    assert rows(got, "message_id") == sorted([(i,) for i in range(200)], key=repr)
+    assert rows(got, "message_id", "code", "classification_error") == sorted([(i, 250 if i % 3 else 550, False) for i in range(200)], key=repr)
+    assert got.filter("message_id = 7").first()["n_attachments"] == 8
+    held = [operator for progress in query.recentProgress for operator in progress.stateOperators]
+    assert sum(operator.numRowsUpdated for operator in held) == 201
+    assert len(calls) == 1 + 5  # nothing is due in the first batch, 200 mails in the second
+
+
+def test_log_of_what_waits(spark, tmp_path):
+    """A batch that runs again replaces its rows; what is behind the watermark is dropped, hours that are over are deleted."""
+    log, hour = str(tmp_path / "log"), 3_600_000
+    schema = (
+        "kind string, minute int, message_id string, sender string, has_content boolean, parse_ok boolean, "
+        "attachments array<struct<att_pos: int, filename: string>>, att_pos int, labels array<struct<hit_pos: int, label_pos: int, name: string>>"
+    )
+
+    def log_batch(number, watermark, *events):
+        batch = spark.createDataFrame([(kind, minute, name, "a@x", True, True, [(0, "f")] if kind == "mail" else None, 0, [(0, 0, label)] if label else None) for kind, minute, name, label in events], schema)
+        at = F.timestamp_seconds(F.col("minute") * 60)
+        batch = batch.select("kind", F.when(F.col("kind") != "answer", at).alias("arrived"), *schema_columns, F.when(F.col("kind") == "answer", at).alias("answered"))
+        return streams.log_events(batch, number, log, watermark, "30 minutes")
+
+    schema_columns = ["message_id", "sender", "has_content", "parse_ok", "attachments", "att_pos", "labels"]
+    said = lambda kept, number: rows(streams.decided_mails(kept, number, "30 minutes").selectExpr("message_id", "attachments[0].classified found", "attachments[0].labels[0].name name"))
+    first = [("mail", 5, "a", None), ("mail", 6, "b", None), ("answer", 4, "b", "before"), ("answer", 7, "a", "A")]
+    log_batch(0, 0, *first)
+    kept = log_batch(0, 0, *first)  # again, after a crash
+    assert kept.count() == 4
+    assert said(kept, 0) == []
+    # the answer before the mail stands until the watermark is half an hour beyond it, so that later one is a repeated one; another is too late
+    kept = log_batch(1, 0, ("answer", 10, "b", "again"), ("answer", 20, "a", "repeated"), ("mail", 50, "c", None), ("answer", 60, "c", "C"))
+    kept = log_batch(2, 20 * 60_000, ("mail", 15, "late", None), ("answer", 18, "late", "L"), ("due", 5, "a", None), ("due", 6, "b", None))
+    assert said(kept, 2) == [("a", True, "A"), ("b", False, None)]
+    assert kept.filter("message_id = 'late'").count() == 0
+    kept = log_batch(3, 3 * hour, ("due", 50, "c", None))
+    assert said(kept, 3) == []  # a mail whose hour is over has been decided before
+    assert rows(kept.filter("hour = 0")) == []
+
+
+def test_answer_after_one_that_no_longer_stands(spark, tmp_path):
+    """An answer for an attachment counts again when the watermark is past the time of the one before."""
+    log = str(tmp_path / "log")
+    sent = "kind string, arrived timestamp, message_id string, sender string, has_content boolean, parse_ok boolean, attachments array<struct<att_pos: int, filename: string>>"
+    told = "kind string, message_id string, att_pos int, answered timestamp, labels array<struct<hit_pos: int, label_pos: int, name: string>>"
+    at = lambda minute: f"timestamp_seconds({minute * 60})"
+    empty = spark.createDataFrame([], sent).unionByName(spark.createDataFrame([], told), allowMissingColumns=True)
+    answer = lambda minute, name: spark.range(1).selectExpr("'answer' kind", "'m' message_id", "0 att_pos", f"{at(minute)} answered", f"array(named_struct('hit_pos', 0, 'label_pos', 0, 'name', '{name}')) labels")
+    mail_ = lambda kind: spark.range(1).selectExpr(f"'{kind}' kind", f"{at(45)} arrived", "'m' message_id", "'s' sender", "true has_content", "true parse_ok", "array(named_struct('att_pos', 0, 'filename', 'f')) attachments")
+    for number, watermark, rows_ in ((0, 0, answer(10, "old")), (1, 30, answer(46, "no")), (2, 40, answer(50, "yes").unionByName(mail_("mail"), allowMissingColumns=True)), (3, 50, mail_("due"))):
+        kept = streams.log_events(empty.unionByName(rows_, allowMissingColumns=True), number, log, watermark * 60_000, "30 minutes")
+    got = streams.decided_mails(kept, 3, "30 minutes").selectExpr("attachments[0].labels[0].name name")
+    assert rows(got) == [("yes",)]
